@@ -10,6 +10,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import substring_dedup
+
+    kept = substring_dedup(table(spark, sf_dir, "documents"), window=20, start=5)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash_dedup import near_duplicates
 
@@ -30,6 +37,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_scoring import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,7 +58,13 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).withColumn("rate", F.round("rate", 6))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_toxicity, op4_exact_dedup, op7_packing, op8_source_mixing)}
+def op10_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lz_fingerprint import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op3_toxicity, op4_exact_dedup, op5_lm_scoring, op7_packing, op8_source_mixing, op10_lz_fingerprint)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": r"""
