@@ -58,13 +58,19 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).withColumn("rate", F.round("rate", 6))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lz_fingerprint import fingerprints
 
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op3_toxicity, op4_exact_dedup, op5_lm_scoring, op7_packing, op8_source_mixing, op10_lz_fingerprint)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op3_toxicity, op4_exact_dedup, op5_lm_scoring, op7_packing, op8_source_mixing, op9_warc, op10_lz_fingerprint)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": r"""
