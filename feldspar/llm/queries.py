@@ -43,6 +43,13 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
 
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import replace_pii
+
+    found = replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", F.size("pii_types").cast("bigint").alias("n_entities"), F.array_join("pii_types", ",").alias("entity_types"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -70,7 +77,7 @@ def op10_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op3_toxicity, op4_exact_dedup, op5_lm_scoring, op7_packing, op8_source_mixing, op9_warc, op10_lz_fingerprint)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op3_toxicity, op4_exact_dedup, op5_lm_scoring, op6_pii_surrogates, op7_packing, op8_source_mixing, op9_warc, op10_lz_fingerprint)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": r"""
