@@ -23,15 +23,16 @@ CAPACITY = 1024
 GROUP = 192
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
 _ODD = re.compile(r"\s\s|[^\S ]|^ | $")
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 700_000
 PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary, sequence_id bigint, offset bigint"
 
 
 class Encoder:
     """Ids of texts by ``tokenizers``; each distinct space-led piece of a text is encoded once while it is cached.
 
-    The byte-level pattern never lets a token span a single space's left edge between two visible characters, so a text
-    cut there has the ids of its pieces, one after another. The cache is emptied when it is full.
+    The byte-level pattern never lets a token span the left edge of a single space between two visible characters, so a
+    text cut there has the ids of its pieces, one after another. New pieces are encoded many at a time, joined again,
+    and told apart by the bytes that each id stands for. Half of the cache goes when it is full.
     """
 
     def __init__(self, path: str) -> None:
@@ -39,28 +40,58 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def pieces(self, text: str) -> list[str]:
-        if _ODD.search(text):
-            return _SAFE.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+        vocabulary = self.model.get_vocab()
+        self.size = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            self.size[i] = len(token)  # byte-level: a character stands for a byte
+        self.spaced: dict[str, bytes] = {}  # pieces after a space, which is left out of the key
+        self.bare: dict[str, bytes] = {}  # first pieces
+
+    def alone(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.model.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def learn(self, new: list[str], step: int = 2000) -> None:
+        odd = [p for p in new if p[:1].isspace() or p[-1:].isspace()]
+        self.spaced.update(zip(odd, self.alone([" " + p for p in odd]), strict=True))
+        plain = [p for p in new if not (p[:1].isspace() or p[-1:].isspace())]
+        groups = [plain[i : i + step] for i in range(0, len(plain), step)]
+        for group, e in zip(groups, self.model.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            ends = np.cumsum(self.size[ids])
+            cuts = np.searchsorted(ends, np.cumsum([len(p.encode()) + 1 for p in group]), side="left") + 1
+            if cuts[-1] != len(ids) or ends[-1] != sum(len(p.encode()) + 1 for p in group):
+                raise ValueError("the tokenizer isn't byte-level")
+            data, at = ids.tobytes(), 0
+            for p, end in zip(group, (cuts * 4).tolist(), strict=True):
+                self.spaced[p] = data[at:end]
+                at = end
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, with the end id 0."""
-        cut = [self.pieces(x) if x else [] for x in texts]
-        known = self.known
-        new = list({p for parts in cut for p in parts if p not in known})
-        if len(known) + len(new) > _CACHE_WORDS:
-            known.clear()
-            new = list({p for parts in cut for p in parts})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for p, e in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, dtype="<u4").tobytes()
-        end = b"\0\0\0\0"
-        return [np.frombuffer(b"".join([known[p] for p in parts]) + end, dtype="<u4") for parts in cut]
+        first, rest = [], []
+        for x in texts:
+            parts = x.split(" ") if not _ODD.search(x) else [p[i > 0 :] for i, p in enumerate(_SAFE.split(x))]
+            first.append(parts[0])
+            rest.append(parts[1:])
+        for known in (self.spaced, self.bare):
+            if len(known) > _CACHE_WORDS:
+                for p in list(known)[: len(known) // 2]:
+                    del known[p]
+        self.learn([p for p in set().union(*rest) if p not in self.spaced])
+        new = [p for p in set(first) if p not in self.bare]
+        self.bare.update(zip(new, self.alone(new), strict=True))
+        end, get = b"\0\0\0\0", self.spaced.__getitem__
+        return [np.frombuffer(self.bare[a] + b"".join(map(get, r)) + end, dtype="<u4") for a, r in zip(first, rest, strict=True)]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker process's encoder; its cache outlives a task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def differencing(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
@@ -68,34 +99,40 @@ def differencing(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]
     if not lengths:
         return []
     k = max(1, -(-sum(lengths) // capacity))
-    while True:
-        if k >= len(lengths):
-            return [[i] for i in range(len(lengths))]
+    while k < len(lengths):
         heap = []
         for i, x in enumerate(lengths):
             sums = np.zeros(k, dtype=np.int64)
             sums[0] = x
-            heap.append((-x, i, sums, [[i]] + [[] for _ in range(k - 1)]))
+            heap.append((-x, i, sums))
         heapq.heapify(heap)
-        serial = len(lengths)
+        merges: list[tuple[int, int, np.ndarray]] = []  # the two nodes of each merge, and where the sorted sums were
         while len(heap) > 1:
-            _, _, s1, m1 = heapq.heappop(heap)
-            _, _, s2, m2 = heapq.heappop(heap)
+            _, a, s1 = heapq.heappop(heap)
+            _, b, s2 = heapq.heappop(heap)
             sums = s1 + s2[::-1]
-            order = np.argsort(-sums, kind="stable")
+            order = sums.argsort()[::-1]
             sums = sums[order]
-            both = [m1[j] + m2[k - 1 - j] if m2[k - 1 - j] else m1[j] for j in order.tolist()]
-            heapq.heappush(heap, (-int(sums[0] - sums[-1]), serial, sums, both))
-            serial += 1
-        _, _, sums, members = heap[0]
-        if sums[0] <= capacity:
-            return [m for m in members if m]
+            heapq.heappush(heap, (int(sums[-1] - sums[0]), len(lengths) + len(merges), sums))
+            merges.append((a, b, order))
+        if heap[0][2][0] <= capacity:
+            labels: dict[int, np.ndarray] = {heap[0][1]: np.arange(k)}
+            for i in range(len(merges) - 1, -1, -1):
+                a, b, order = merges[i]
+                own = np.empty(k, dtype=np.int64)
+                own[order] = labels.pop(len(lengths) + i)
+                labels[a], labels[b] = own, own[::-1]
+            windows: list[list[int]] = [[] for _ in range(k)]
+            for i in range(len(lengths)):
+                windows[labels[i][0]].append(i)
+            return [w for w in windows if w]
         k += 1
+    return [[i] for i in range(len(lengths))]
 
 
 def _cut(path: str, id_name: str, text_name: str, capacity: int):
     def run(batches):
-        encoder = Encoder(path)
+        own = encoder(path)
         for batch in batches:
             ids = batch.column(id_name).to_pylist()
             texts = batch.column(text_name).to_pylist()
@@ -106,7 +143,7 @@ def _cut(path: str, id_name: str, text_name: str, capacity: int):
                     size += len(texts[upto] or "")
                     upto += 1
                 rows: list[tuple] = []
-                for d, one in zip(ids[at:upto], encoder.encode([x or "" for x in texts[at:upto]]), strict=True):
+                for d, one in zip(ids[at:upto], own.encode([x or "" for x in texts[at:upto]]), strict=True):
                     for start in range(0, len(one), capacity):
                         part = one[start : start + capacity]
                         rows.append((d, start, len(part), len(one), part.tobytes()))
@@ -133,7 +170,9 @@ def _place(capacity: int, group_rows: int):
             for at in range(0, len(lengths), group_rows):
                 some = lengths[at : at + group_rows]
                 ids, offsets = [0] * len(some), [0] * len(some)
-                for window in differencing(some, capacity):
+                rests = [i for i, x in enumerate(some) if x < capacity]
+                windows = differencing([some[i] for i in rests], capacity)
+                for window in [[i] for i, x in enumerate(some) if x == capacity] + [[rests[j] for j in w] for w in windows]:
                     offset = 0
                     for i in window:
                         ids[i], offsets[i] = sequence, offset
