@@ -9,8 +9,8 @@ The number of windows starts at ceil(tokens / capacity) and rises by one wheneve
 from __future__ import annotations
 
 import heapq
+import os
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,8 @@ from ._common import n_parts
 CAPACITY = 1024
 GROUP = 192
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
-_ODD = re.compile(r"\s\s|[^\S ]|^ | $")
+#: Texts whose white space is more than single spaces and line breaks between visible characters.
+_ODD = re.compile(r"\s\s|[^\S \n]|^\s|\s$")
 _CACHE_WORDS = 700_000
 PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary, sequence_id bigint, offset bigint"
 
@@ -36,6 +37,7 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
@@ -45,7 +47,8 @@ class Encoder:
         for token, i in vocabulary.items():
             self.size[i] = len(token)  # byte-level: a character stands for a byte
         self.spaced: dict[str, bytes] = {}  # pieces after a space, which is left out of the key
-        self.bare: dict[str, bytes] = {}  # first pieces
+        self.bare: dict[str, bytes] = {"": b""}  # the first pieces of lines
+        self.line_break = self.alone(["\n"])[0]
 
     def alone(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.model.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -57,9 +60,9 @@ class Encoder:
         groups = [plain[i : i + step] for i in range(0, len(plain), step)]
         for group, e in zip(groups, self.model.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, dtype="<u4")
-            ends = np.cumsum(self.size[ids])
-            cuts = np.searchsorted(ends, np.cumsum([len(p.encode()) + 1 for p in group]), side="left") + 1
-            if cuts[-1] != len(ids) or ends[-1] != sum(len(p.encode()) + 1 for p in group):
+            ends, upto = np.cumsum(self.size[ids]), np.cumsum([len(p.encode()) + 1 for p in group])
+            cuts = np.searchsorted(ends, upto, side="left") + 1
+            if cuts[-1] != len(ids) or (ends[cuts - 1] != upto).any():
                 raise ValueError("the tokenizer isn't byte-level")
             data, at = ids.tobytes(), 0
             for p, end in zip(group, (cuts * 4).tolist(), strict=True):
@@ -68,11 +71,17 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, with the end id 0."""
-        first, rest = [], []
+        first, rest = [], []  # by line; an odd text is one line
+        lines = []
         for x in texts:
-            parts = x.split(" ") if not _ODD.search(x) else [p[i > 0 :] for i, p in enumerate(_SAFE.split(x))]
-            first.append(parts[0])
-            rest.append(parts[1:])
+            if _ODD.search(x):
+                parts = [[p[i > 0 :] for i, p in enumerate(_SAFE.split(x))]]
+            else:
+                parts = [line.split(" ") for line in x.split("\n")]
+            lines.append(len(parts))
+            for p in parts:
+                first.append(p[0])
+                rest.append(p[1:])
         for known in (self.spaced, self.bare):
             if len(known) > _CACHE_WORDS:
                 for p in list(known)[: len(known) // 2]:
@@ -80,8 +89,13 @@ class Encoder:
         self.learn([p for p in set().union(*rest) if p not in self.spaced])
         new = [p for p in set(first) if p not in self.bare]
         self.bare.update(zip(new, self.alone(new), strict=True))
-        end, get = b"\0\0\0\0", self.spaced.__getitem__
-        return [np.frombuffer(self.bare[a] + b"".join(map(get, r)) + end, dtype="<u4") for a, r in zip(first, rest, strict=True)]
+        get = self.spaced.__getitem__
+        whole = [self.bare[a] + b"".join(map(get, r)) for a, r in zip(first, rest, strict=True)]
+        out, at = [], 0
+        for n in lines:
+            out.append(np.frombuffer(self.line_break.join(whole[at : at + n]) + b"\0\0\0\0", dtype="<u4"))
+            at += n
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
