@@ -1,4 +1,4 @@
-"""All registered queries of the library's own operators."""
+"""All registered queries of the library's own operators, each beside its DuckDB twin."""
 
 from __future__ import annotations
 
@@ -6,17 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query; ``sql`` is the DuckDB twin over the driver's tables."""
+
+    def keep(f: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return keep
+
+
+def _load() -> None:
+    pass
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _load()
     return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def queries() -> dict[str, Query]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(SQL)
