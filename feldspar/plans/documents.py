@@ -140,7 +140,9 @@ def e01(spark, d):
     """
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
     docs = a.table(spark, d, "documents").select("doc_id", words.alias("w"))
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(3)), " "))))
+    # the words beside the words after them: the array is named three times, not once an element
+    three = F.arrays_zip(F.col("w").alias("x"), F.slice("w", 2, 1 << 30).alias("y"), F.slice("w", 3, 1 << 30).alias("z"))
+    runs = F.array_distinct(F.transform(F.filter(three, lambda t: t["z"].isNotNull()), lambda t: F.xxhash64(F.concat_ws(" ", t["x"], t["y"], t["z"]))))
     sets = docs.where(F.size("w") >= 3).select("doc_id", runs.alias("s"))
     flat = sets.select("doc_id", F.size("s").alias("n"), F.explode("s").alias("v"))
     often = flat.groupBy("v").agg(F.count(F.lit(1)).alias("df"))
