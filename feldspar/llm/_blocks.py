@@ -44,10 +44,10 @@ def ordered(table: pa.Table) -> tuple[list, list[bytes]]:
     return [ids[i] for i in order], [texts[i] for i in order]
 
 
-def met(sent: DataFrame, compare: Callable[[int, list[np.ndarray]], list[np.ndarray]], dtype: np.dtype, sort_blocks: bool = True) -> DataFrame:
-    """Answers to messages of kind KEYS, bucket by bucket; state messages pass.
+def met(sent: DataFrame, compare: Callable[[int, list], list[np.ndarray]], decode: Callable[[int, bytes], object]) -> DataFrame:
+    """Answers to messages, bucket by bucket; state messages pass.
 
-    ``compare(kind, arrays)`` gets the arrays of one kind that the blocks sent, and returns one array for each.
+    ``compare(kind, decoded)`` gets what the blocks sent of one kind, and returns one array for each.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -55,8 +55,20 @@ def met(sent: DataFrame, compare: Callable[[int, list[np.ndarray]], list[np.ndar
         out = [(r["bucket"], r["block"], r["kind"], r["body"]) for r in rows if r["kind"] == STATE]
         for kind in sorted({r["kind"] for r in rows} - {STATE}):
             own = sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["block"])
-            answers = compare(kind, [np.frombuffer(r["body"], dtype=dtype[kind] if isinstance(dtype, dict) else dtype) for r in own])
+            answers = compare(kind, [decode(kind, r["body"]) for r in own])
             out += [(r["bucket"], r["block"], kind, a.tobytes()) for r, a in zip(own, answers, strict=True)]
         return messages(out)
 
     return sent.groupBy("bucket").applyInArrow(run, MESSAGE)
+
+
+def packed_counts(counts: np.ndarray) -> bytes:
+    """A byte a count, and the full number of those of 255 and more after all the bytes."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<u8").tobytes()
+
+
+def unpacked_counts(body: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(body[:n], dtype=np.uint8).astype(np.int64)
+    big = out == 255
+    out[big] = np.frombuffer(body[n : n + 8 * int(big.sum())], dtype="<u8")
+    return out

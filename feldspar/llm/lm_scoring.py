@@ -10,18 +10,16 @@ held-out counts: every training token is held out in turn, its own occurrence de
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._blocks import BLOCK_BYTES, MESSAGE, document_blocks, messages, met
+from ._blocks import BLOCK_BYTES, MESSAGE, document_blocks, messages, met, packed_counts, unpacked_counts
 from ._common import U64, by_bucket, join_hash, mix, word_hashes
 from .toxicity import is_held_out
 
 WORDS, PAIRS, WEIGHTS = 2, 3, 4
 END, START = mix(np.array([11, 12], dtype=U64))
-SENT = {WORDS: np.dtype([("k", "<u8"), ("c", "<u4")]), PAIRS: np.dtype([("k", "<u4"), ("m", "<u2"), ("c", "<u4")])}
 CONTEXTS, PAIR_BINS, WORD_BINS = 24, 48, 64
 
 
@@ -68,31 +66,36 @@ def _send(b: Block, block: int, n: int) -> list[tuple]:
     for kind, keys, counts in ((WORDS, b.words, b.word_counts()), (PAIRS, b.pairs, b.pair_counts())):
         order, bounds = by_bucket((keys >> U64(44)) % U64(n), n)
         keys, counts = keys[order], counts[order]
-        record = np.zeros(len(keys), dtype=SENT[kind])
-        if kind == WORDS:
-            record["k"], record["c"] = keys, counts
-        else:
-            record["k"], record["m"] = keys & U64(0xFFFFFFFF), (keys >> U64(32)) & U64(0xFFFF)
-            record["c"] = counts
         for i in range(n):
-            body = record[bounds[i] : bounds[i + 1]]
-            out.append((i, block, kind, body.tobytes()))
+            own = slice(bounds[i], bounds[i + 1])
+            k = keys[own]
+            # pairs: 48 bits, which with the bucket's number tell them apart; column by column, which compresses
+            packed = k.tobytes() if kind == WORDS else (k & U64(0xFFFFFFFF)).astype("<u4").tobytes() + ((k >> U64(32)) & U64(0xFFFF)).astype("<u2").tobytes()
+            out.append((i, block, kind, np.array([len(k)], dtype="<u8").tobytes() + packed + packed_counts(counts[own])))
     return out
 
 
-def _sum(kind: int, sent: list[np.ndarray]) -> list[np.ndarray]:
+def _decoded(kind: int, body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts that a block sent."""
+    n = int(np.frombuffer(body[:8], dtype="<u8")[0])
+    if kind == WORDS:
+        return np.frombuffer(body[8 : 8 + 8 * n], dtype="<u8"), unpacked_counts(body[8 + 8 * n :], n)
+    low, high = np.frombuffer(body[8 : 8 + 4 * n], dtype="<u4"), np.frombuffer(body[8 + 4 * n : 8 + 6 * n], dtype="<u2")
+    return low.astype(U64) | (high.astype(U64) << U64(32)), unpacked_counts(body[8 + 6 * n :], n)
+
+
+def _sum(kind: int, sent: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
     """Total counts of each block's keys; for words, first the bucket's tokens and distinct words in training."""
-    every = np.concatenate(sent)
-    key = every["k"].astype(U64) if kind == WORDS else every["k"].astype(U64) | (every["m"].astype(U64) << U64(32))
-    keys, inverse = np.unique(key, return_inverse=True)
+    keys, inverse = np.unique(np.concatenate([k for k, _ in sent]), return_inverse=True)
     inverse = inverse.reshape(-1)
-    total = np.bincount(inverse, weights=every["c"], minlength=len(keys)).astype(np.uint32)
-    cut = np.split(total[inverse] if len(keys) else total, np.cumsum([len(x) for x in sent])[:-1])
+    total = np.zeros(len(keys), dtype=np.int64)
+    np.add.at(total, inverse, np.concatenate([c for _, c in sent]))
+    cut = np.split(total[inverse], np.cumsum([len(k) for k, _ in sent])[:-1])
+    head = b""
     if kind == WORDS:
         real = keys != START
-        head = np.array([total[real].sum(dtype=np.int64) & 0xFFFFFFFF, int(total[real].sum(dtype=np.int64)) >> 32, np.count_nonzero(total[real])], dtype=np.uint32)
-        return [np.concatenate((head, x)) for x in cut]
-    return cut
+        head = np.array([total[real].sum(), np.count_nonzero(total[real])], dtype="<i8").tobytes()
+    return [np.frombuffer(head + packed_counts(x), dtype=np.uint8) for x in cut]
 
 
 def _totals(b: Block, table: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, int, int]:
@@ -104,12 +107,11 @@ def _totals(b: Block, table: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray,
         out = np.zeros(len(keys), dtype=np.int64)
         for r in rows:
             if r["kind"] == kind:
-                body = np.frombuffer(r["body"], dtype=np.uint32)
+                body, own = r["body"], order[bounds[r["bucket"]] : bounds[r["bucket"] + 1]]
                 if kind == WORDS:
-                    tokens += int(body[0]) + (int(body[1]) << 32)
-                    distinct += int(body[2])
-                    body = body[3:]
-                out[order[bounds[r["bucket"]] : bounds[r["bucket"] + 1]]] = body
+                    head = np.frombuffer(body[:16], dtype="<i8")
+                    tokens, distinct, body = tokens + int(head[0]), distinct + int(head[1]), body[16:]
+                out[own] = unpacked_counts(body, len(own))
         found[kind] = out
     return found[WORDS], found[PAIRS], tokens, distinct
 
@@ -138,6 +140,21 @@ def learn_weights(index: np.ndarray, count: np.ndarray, tokens: int, distinct: i
     return weights
 
 
+def _histograms(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.Table:
+    """One row a histogram: group, keys and counts; keys -1 and -2 hold the totals N and V."""
+    return pa.table({"g": pa.array([r[0] for r in rows], pa.int32()), "k": pa.array([r[1].astype("<i8").tobytes() for r in rows], pa.binary()), "c": pa.array([r[2].astype("<i8").tobytes() for r in rows], pa.binary())})
+
+
+def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of histograms, of bounded size; the totals are the same in all of them. Sorted by key: -2, -1, 0, ..."""
+    k, c = (np.concatenate([np.frombuffer(x, dtype="<i8") for x in table[n].to_pylist()]) for n in ("k", "c"))
+    keys, inverse = np.unique(k, return_inverse=True)
+    counts = np.zeros(len(keys), dtype=np.int64)
+    np.add.at(counts, inverse.reshape(-1), c)
+    counts[:2] //= table.num_rows
+    return keys, counts
+
+
 def score_texts(docs: DataFrame, parts: int = 10, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -147,6 +164,8 @@ def score_texts(docs: DataFrame, parts: int = 10, id_col: str = "doc_id", text_c
     """
     blocks, n = document_blocks(docs, id_col, text_col, block_bytes, (~is_held_out(id_col, parts)).alias("train"))
 
+    fold = max(1, round(n**0.5))  # histograms are summed in groups first, so no task gets one of every block
+
     def send(table: pa.Table) -> pa.Table:
         return messages(_send(Block(table), table["block"][0].as_py(), n))
 
@@ -159,13 +178,16 @@ def score_texts(docs: DataFrame, parts: int = 10, id_col: str = "doc_id", text_c
         bins = np.where(p2 > 0, 1 + np.rint(-2 * np.log2(np.maximum(p2, 1e-30))), 0).astype(np.int64).clip(0, PAIR_BINS - 1)
         index = (context_bucket(seen) * PAIR_BINS + bins) * WORD_BINS + _half_octaves(words[b.at_word[:-1]][t] - 1, WORD_BINS)
         keys, counts = np.unique(index, return_counts=True)
-        return pa.table({"i": pa.array(np.concatenate((keys, [-1, -2])), pa.int64()), "c": pa.array(np.concatenate((counts, [tokens, distinct])).astype(np.float64), pa.float64())})
+        return _histograms([(table["block"][0].as_py() % fold, np.concatenate((keys, [-1, -2])), np.concatenate((counts, [tokens, distinct])))])
+
+    def merged(table: pa.Table) -> pa.Table:
+        return _histograms([(0, *_merged(table))])
 
-    def weigh(rows: pd.DataFrame) -> pd.DataFrame:
-        of = dict(zip(rows["i"], rows["c"], strict=True))
-        own = rows[rows["i"] >= 0]
-        weights = learn_weights(own["i"].to_numpy(), own["c"].to_numpy(), int(of.get(-1, 0)), int(of.get(-2, 0)))
-        return pd.DataFrame({"body": [weights.tobytes()]})
+    def weigh(table: pa.Table) -> pa.Table:
+        keys, counts = _merged(table)
+        of = dict(zip(keys[:2].tolist(), counts[:2].tolist(), strict=True))
+        weights = learn_weights(keys[2:], counts[2:].astype(np.float64), of[-1], of[-2])
+        return pa.table({"body": pa.array([weights.tobytes()], pa.binary())})
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
         b = Block(table)
@@ -189,9 +211,9 @@ def score_texts(docs: DataFrame, parts: int = 10, id_col: str = "doc_id", text_c
         )
 
     keyed = blocks.groupBy("block")
-    answers = met(keyed.applyInArrow(send, MESSAGE), _sum, SENT)
-    counted = keyed.cogroup(answers.groupBy("block")).applyInArrow(histogram, "i bigint, c double")
-    whole = counted.groupBy("i").agg(F.when(F.col("i") < 0, F.max("c")).otherwise(F.sum("c")).alias("c"))  # of bounded size
-    weights = whole.groupBy(F.lit(0).alias("_")).applyInPandas(weigh, "body binary")
+    answers = met(keyed.applyInArrow(send, MESSAGE), _sum, _decoded)
+    held = "g int, k binary, c binary"
+    counted = keyed.cogroup(answers.groupBy("block")).applyInArrow(histogram, held)
+    weights = counted.groupBy("g").applyInArrow(merged, held).groupBy("g").applyInArrow(weigh, "body binary")
     told = weights.select(F.lit(-1).alias("bucket"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), F.lit(WEIGHTS).alias("kind"), "body")
     return keyed.cogroup(answers.unionByName(told).groupBy("block")).applyInArrow(score, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

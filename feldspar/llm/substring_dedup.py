@@ -101,6 +101,10 @@ def _seen_elsewhere(kind: int, sent: list[np.ndarray]) -> list[np.ndarray]:
     return np.split(later, np.cumsum([len(x) for x in sent])[:-1])
 
 
+def _decoded(kind: int, body: bytes) -> np.ndarray:
+    return np.frombuffer(body, dtype=FULL if kind == LAST else np.dtype("<u8"))
+
+
 def _survivors(b: Block, at: np.ndarray, length: int, answers: pa.Table, n: int) -> np.ndarray:
     """Of candidate positions ``at``, those whose window of ``length`` words is repeated, here or in another block."""
     keys, inverse, times = np.unique(run_hashes(b.words, length)[at], return_inverse=True, return_counts=True)
@@ -210,9 +214,8 @@ def substring_dedup(docs: DataFrame, window: int = 20, start: int = 5, id_col: s
         return pa.table({"doc_id": pa.array(b.ids, pa.int64()), "n_words": pa.array(b.counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
 
     keyed = blocks.groupBy("block")
-    answers = met(keyed.applyInArrow(first, MESSAGE), _seen_elsewhere, np.dtype("<u8"))
-    kinds = {KEYS: np.dtype("<u8"), LAST: FULL}
+    answers = met(keyed.applyInArrow(first, MESSAGE), _seen_elsewhere, _decoded)
     for level in range(1, levels + 1):
         sent = keyed.cogroup(answers.groupBy("block")).applyInArrow(extend(level), MESSAGE)
-        answers = met(sent, _seen_elsewhere, kinds)
+        answers = met(sent, _seen_elsewhere, _decoded)
     return keyed.cogroup(answers.groupBy("block")).applyInArrow(last, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
