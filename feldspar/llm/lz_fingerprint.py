@@ -152,7 +152,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, part_bytes: int) -> D
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     base = base.withColumn("key", F.coalesce("doc_id", F.lit(LOWEST)))
     n = n_parts(spark, text_bytes(base), part_bytes)
-    cuts = base.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0] or []
+    cuts = base.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0] or [0]  # an empty table has none
     splits = [-float("inf"), *sorted({float(x) for x in cuts}), float("inf")]
     ranged = Bucketizer(splits=splits, inputCol="_f", outputCol="_p").transform(base.withColumn("_f", F.col("key").cast("double"))).withColumn("part", F.col("_p").cast("int")).drop("_f", "_p")
     firsts = ranged.groupBy("part").agg(F.min("key").alias("first")).collect()  # one row a range

@@ -1,0 +1,334 @@
+"""The training-data operators against brute force, and their edge cases: nulls, empty and long texts, ties, repeated
+rows, empty tables and extra columns with clashing names."""
+
+import base64
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def words(text):
+    return WORD.findall((text or "").encode())
+
+
+def lower(text):
+    return words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def frame(spark, texts, ids=None):
+    rows = [(ids[i] if ids else i, t, "en", f"s{i % 2}", len(t or "")) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+#: Texts of all the awkward kinds; rows 0 and 1 are equal but for white space, 4 and 5 repeat, 9 is very long.
+BASE = " ".join(f"w{i}" for i in range(60))
+ODD = ["a b  c", "a b c", None, "", BASE, BASE, " \t\n ", "x " + BASE + " y", "naïve café 日本 語", "long " * 30_000, "A.B@mail1.example.com or 10.1.2.30", BASE.replace("w30", "w3o")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def substring_brute(rows, n=20):
+    seen, out = set(), []
+    for d, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        w = words(text)
+        covered = bytearray(len(w))
+        for i in range(len(w) - n + 1):
+            key = b" ".join(w[i : i + n])
+            if key in seen:
+                covered[i : i + n] = b"\1" * n
+            seen.add(key)
+        out.append((d, len(w), sum(covered), b" ".join(x for x, c in zip(w, covered) if not c).decode()))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 23, 20_000])
+def test_substring_dedup(spark, docs, block_bytes):
+    from feldspar.llm.substring_dedup import substring_dedup
+
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert Counter(map(tuple, substring_dedup(docs, block_bytes=block_bytes).collect())) == substring_brute(rows)
+    odd = frame(spark, ODD, [*range(10), None, 7])
+    assert Counter(map(tuple, substring_dedup(odd, block_bytes=block_bytes).collect())) == substring_brute([(r.doc_id, r.text) for r in odd.collect()])
+    assert substring_dedup(docs.limit(0)).count() == 0
+
+
+def shingles(text, n):
+    w = lower(text)
+    return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
+
+
+def near_brute(rows, n, percent=80):
+    sets = {d: shingles(t, n) for d, t in rows}
+    up = {d: d for d in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    met = defaultdict(list)
+    for d in sorted(sets):
+        both = Counter()
+        for s in sets[d]:
+            both.update(met[s])
+            met[s].append(d)
+        for e, k in both.items():
+            if 100 * k >= percent * (len(sets[d]) + len(sets[e]) - k):
+                a, b = root(d), root(e)
+                up[max(a, b)] = min(a, b)
+    return {d: (len(sets[d]), root(d)) for d in sets}
+
+
+@pytest.mark.parametrize("block_rows", [384, 2])
+def test_near_duplicates(spark, docs, block_rows):
+    from feldspar.llm.minhash_dedup import near_dedup, near_duplicates
+
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs, words=4, block_rows=block_rows).collect()}
+    assert got == near_brute([(r.doc_id, r.text) for r in docs.collect()], 4)
+    odd = frame(spark, ODD)
+    got = near_duplicates(odd, words=4, block_rows=block_rows).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == near_brute([(r.doc_id, r.text) for r in odd.collect()], 4)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+    assert near_duplicates(frame(spark, [])).count() == 0
+    assert {r.doc_id for r in near_dedup(odd, words=4).collect()} == {d for d, (_, c) in near_brute([(r.doc_id, r.text) for r in odd.collect()], 4).items() if d == c}
+    nulls = near_duplicates(frame(spark, ["a b c d e"] * 3, [None, None, 4])).collect()
+    assert sorted((r.component_id is None, r.kept) for r in nulls) == [(False, True), (True, True), (True, True)]
+
+
+def test_near_group_larger_than_a_block(spark):
+    """A chain of near copies whose ends aren't alike is one component."""
+    from feldspar.llm.minhash_dedup import near_duplicates
+
+    base = [f"w{i}" for i in range(400)]
+    texts = []
+    for i in range(40):
+        own = list(base)
+        for j in range(i):
+            own[j * 10] = f"x{j}"
+        texts.append(" ".join(own))
+    got = near_duplicates(frame(spark, texts), words=4, block_rows=4).collect()
+    want = near_brute(list(enumerate(texts)), 4)
+    assert {r.doc_id: r.component_id for r in got} == {d: c for d, (_, c) in want.items()}
+
+
+def test_toxicity(spark, sf_dir):
+    from feldspar.llm.toxicity import is_held_out, score_toxicity, train
+
+    big = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    model = train(big, labels)
+    rows = score_toxicity(big, model).join(labels, "doc_id").where(is_held_out("doc_id", 5)).collect()
+    hit = sum(r._t_predicted and r.toxic for r in rows)
+    assert hit / sum(r.toxic for r in rows) > 0.85
+    assert hit / sum(r._t_predicted for r in rows) > 0.85
+    odd = score_toxicity(frame(spark, ODD).withColumn("score", F.lit(1)), model).collect()
+    assert len(odd) == len(ODD) and all(0 <= r._t_score <= 1 for r in odd)
+    assert score_toxicity(frame(spark, ["x"]), None).first()._t_score == 0
+    assert train(big, labels.where("toxic = 0")) is None
+    assert score_toxicity(frame(spark, []), model).count() == 0
+
+
+def exact_brute(rows):
+    groups = defaultdict(list)
+    for i, (d, t) in enumerate(rows):
+        groups[b"".join(words(t))].append((-len(t or ""), d is None, d or 0, i))
+    out = Counter()
+    for norm, own in groups.items():
+        best = min(own)
+        for x in own:
+            d, keep = rows[x[3]][0], rows[best[3]][0]
+            out[(d, keep, len(own), x[3] == best[3], hashlib.sha256(norm).hexdigest())] += 1
+    return out
+
+
+def test_exact_dedup(spark, docs):
+    from feldspar.llm.exact_dedup import exact_dedup, exact_groups
+
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    for buffer in (1 << 25, 1):
+        assert Counter(map(tuple, exact_groups(docs.repartition(5), buffer_bytes=buffer, salts=3).collect())) == exact_brute(rows)
+    odd = frame(spark, ODD, [0, 1, 2, 3, 5, 5, None, 7, 8, 9, 10, 11])
+    got = Counter(tuple(r) for r in exact_groups(odd).collect())
+    assert sum(got.values()) == len(ODD)
+    assert Counter((k[0], k[1], k[2]) for k in got.elements()) == Counter((k[0], k[1], k[2]) for k in exact_brute([(r.doc_id, r.text) for r in odd.collect()]).elements())
+    kept = exact_dedup(odd.withColumn("kept", F.lit("mine")))
+    assert kept.columns == [*odd.columns, "kept"] and kept.count() == len({b"".join(words(t)) for t in ODD})
+    assert exact_groups(frame(spark, [])).count() == 0
+
+
+def test_lm_scoring(spark, docs):
+    from feldspar.llm.lm_scoring import score_texts
+
+    def check(table, **more):
+        rows = [(r.doc_id, r.text) for r in table.collect()]
+        of = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 10
+        counts = Counter(t for d, x in rows if of(d) for t in [*lower(x), None])
+        n, v = sum(counts.values()), len(counts)
+        got = score_texts(table, **more).collect()
+        want = sorted((of(d) == 0, len(lower(x)) + 1, sum(counts[t] > 0 for t in [*lower(x), None]), n, round(sum(math.log10((counts[t] + 0.1) / (n + 0.1 * (v + 1))) for t in [*lower(x), None]), 5)) for d, x in rows)
+        assert sorted((r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got) == want
+        return got
+
+    got = check(docs, block_bytes=40_000)
+    held = [r for r in got if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    assert all(math.isfinite(r.score) for r in check(frame(spark, ODD, [None, *range(11)])))
+    assert score_texts(frame(spark, [])).count() == 0
+
+
+def test_mixture_is_a_distribution():
+    from feldspar.llm.lm_scoring import CONTEXTS, PAIR_BINS, WORD_BINS, learn_weights
+
+    index = np.array([3 * PAIR_BINS * WORD_BINS + 2 * WORD_BINS + 9, 3 * PAIR_BINS * WORD_BINS + 5])
+    w = learn_weights(index, np.array([50.0, 10.0]), 1000, 100)
+    assert w.shape == (CONTEXTS, 3) and np.allclose(w.sum(axis=1), 1) and w[0, 0] == 0 and w[3, 0] > 0.5
+
+
+def test_pii(spark):
+    from feldspar.llm.pii import replace_pii
+
+    texts = ["Mr. John Smith and Mrs Anna Smith, +1 (377) 555-0271 or 1.2.3.4", "a.b@Mail7.example.com, A.B@MAIL7.EXAMPLE.COM, 4539 1488 0343 6467 / 4539148803436467", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "CC BY-NC 4.0. clean", None, "", "госпожа Анна Иванова", "again 1.2.3.4"]
+    got = [r for r in replace_pii(frame(spark, texts).withColumn("pii", F.lit(1))).orderBy("doc_id").collect()]
+    assert got[3].text == texts[3] and got[4].text is None and got[5].text == ""
+    assert re.fullmatch(r"Mr\. [A-Z][a-z]+o [A-Z][a-z]+ and Mrs [A-Z][a-z]+a [A-Z][a-z]+, \+\d \(\d{3}\) \d{3}-\d{4} or \d\.\d\.\d\.\d", got[0].text)
+    smiths = re.findall(r"Mrs? ?\.? ?\S+ (\w+)", got[0].text.replace(".", ""))
+    assert len(set(smiths)) == 1 and "Smith" not in got[0].text
+    mails = re.findall(r"\S+@\S+\w", got[1].text)
+    cards = re.findall(r"\d{4} \d{4} \d{4} \d{4}|\d{16}", got[1].text)
+    assert mails[0].lower() == mails[1].lower() and cards[0].replace(" ", "") == cards[1] != "4539148803436467"
+    assert re.fullmatch(r'token = "[0-9a-f]{40}"', got[2].text) and got[2].text != texts[2]
+    assert re.fullmatch(r"госпожа [А-Я][а-я]+ия [А-Я][а-я]+", got[6].text)
+    assert got[7].text.split()[1] in got[0].text
+    assert replace_pii(frame(spark, [])).count() == 0
+
+
+def test_pii_keeps_entities_apart(spark):
+    """Short forms collide; after the checks no two share a surrogate, and none is an entity that occurs."""
+    from feldspar.llm.pii import replace_pii
+
+    values = [f"{a}.{b}.1.1" for a in range(1, 10) for b in range(1, 10)]
+    got = [r.text for r in replace_pii(frame(spark, values)).collect()]
+    assert len(set(got)) == len(values) and not set(got) & set(values)
+
+
+def test_packing(spark, docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from feldspar.llm.packing import differencing, pack
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    model = Tokenizer.from_file(path)
+    model.encode_special_tokens = True
+    odd = ["", None, " ", "  a", " a b ", "a  b\n c", "x\n\n  y", "<|endoftext|> hi", "it's 's  ' x", "\x1c a \x1d b", "a\tb \tc", "a b  c", "l1\nl2 x\nl3"]
+    table = docs.select("doc_id", "text").union(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate([*odd, *ODD])], "doc_id bigint, text string"))
+    pieces = pack(table, path).collect()
+    ids, sequences = defaultdict(list), defaultdict(list)
+    for p in sorted(pieces, key=lambda p: (p.doc_id, p.start)):
+        assert p.start == len(ids[p.doc_id]) and len(p.ids) == 4 * p.length
+        ids[p.doc_id] += np.frombuffer(p.ids, "<u4").tolist()
+        sequences[p.sequence_id].append((p.offset, p.length))
+    for r in table.collect():
+        assert ids[r.doc_id] == model.encode(r.text or "", add_special_tokens=False).ids + [0]
+    for own in sequences.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert pack(frame(spark, []), path).count() == 0
+    assert differencing([]) == [] and sorted(map(sorted, differencing([600, 600, 424, 400]))) == [[0, 2], [1, 3]]
+    assert len(differencing([700, 700, 700])) == 3  # two windows hold the tokens, but not in whole pieces
+
+
+def test_mixing(spark, docs):
+    from feldspar.llm import mixing
+
+    got = mixing.mix_sources(docs, {"src0": 0.5, "src1": 0.25}, epoch=20.0)
+    share = {r.source: r.n for r in got.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    total = sum(share.values())
+    assert abs(share["src0"] / total - 0.5) < 0.05 and abs(share["src1"] / total - 0.25) < 0.05
+    again = mixing.mix_sources(docs.repartition(7), {"src0": 0.5, "src1": 0.25}, epoch=20.0)
+    assert Counter((r.doc_id, r.replica) for r in got.collect()) == Counter((r.doc_id, r.replica) for r in again.collect())
+    odd = frame(spark, ODD, [None, *range(11)]).withColumn("source", F.when(F.col("doc_id") > 3, F.col("source"))).withColumn("rate_", F.lit(1))
+    assert mixing.mix_sources(odd, epoch=50.0).select("text").distinct().count() == len(set(ODD))
+    assert mixing.mix_sources(frame(spark, [])).count() == 0
+
+
+def test_mixing_with_many_sources(spark, docs, monkeypatch):
+    from feldspar.llm import mixing
+
+    plain = Counter((r.doc_id, r.replica) for r in mixing.mix_sources(docs).collect())
+    monkeypatch.setattr(mixing, "INLINE_SOURCES", 3)
+    assert Counter((r.doc_id, r.replica) for r in mixing.mix_sources(docs).collect()) == plain
+
+
+def test_warc(spark, sf_dir, tmp_path):
+    from feldspar.llm import warc
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    more = pages.where("page_id % 3 = 0").selectExpr("page_id + 100000 AS page_id", "url", "html")
+    odd = spark.createDataFrame([(7_000_001, None, None), (7_000_002, "x\ny", ""), (7_000_003, "u", "é" * 50_000)], "page_id bigint, url string, html string")
+    pages = pages.unionByName(more).unionByName(odd)
+    groups = defaultdict(list)
+    for r in pages.collect():
+        groups[(r.html or "").encode()].append(r.page_id)
+    want = {(p, len(h), base64.b32encode(hashlib.sha1(h).digest()).decode(), "response" if p == max(ps) else "revisit", None if p == max(ps) else max(ps)) for h, ps in groups.items() for p in ps}
+    assert {tuple(r) for r in warc.round_trip(pages).collect()} == want
+    plain = str(tmp_path / "plain")
+    warc.write_pages(pages, plain, compression="none")
+    assert {tuple(r) for r in warc.archive_index(spark, plain).collect()} == want
+    read = warc.read_warc(spark, plain)
+    assert read.where("warc_type = 'warcinfo'").count() >= 1
+    assert read.where("target_uri = 'u'").first().payload.decode() == "é" * 50_000
+    assert read.where("payload_length >= 100000").count() == 1
+    assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_warc_skips_without_inflating(tmp_path):
+    import pyarrow.fs
+
+    from feldspar.llm import warc
+
+    good = warc.record({"WARC-Type": "response"}, b"x" * 200_000, True)
+    bad = bytearray(warc.record({"WARC-Type": "metadata"}, np.random.default_rng(1).bytes(200_000), True))
+    bad[150_000:150_100] = b"\0" * 100  # a broken payload that is never inflated
+    (tmp_path / "a.warc.gz").write_bytes(good + bytes(bad) + good)
+    got = list(warc.records(pyarrow.fs.LocalFileSystem(), str(tmp_path / "a.warc.gz"), lambda h: h["WARC-Type"] == "response", True))
+    assert [len(b) for _, b in got] == [200_000, 200_000]
+    foreign = zlib.compressobj(6, zlib.DEFLATED, 31)
+    member = foreign.compress(b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n") + foreign.flush()
+    (tmp_path / "b.warc.gz").write_bytes(member * 2)
+    assert [b for _, b in warc.records(pyarrow.fs.LocalFileSystem(), str(tmp_path / "b.warc.gz"), lambda h: True, True)] == [b"abc"] * 2
+
+
+@pytest.mark.parametrize("part_bytes", [1 << 24, 30_000])
+def test_fingerprints(spark, docs, part_bytes):
+    from feldspar.llm.lz_fingerprint import fingerprint, fingerprints, likeness, text_of
+
+    def check(table):
+        rows = sorted(((r.doc_id, r.text or "") for r in table.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+        want = Counter()
+        for i, (d, x) in enumerate(rows):
+            y, half = rows[(i + 1) % len(rows)][1], len(x) // 2
+            edited = x[: len(x) - half] + y[:half]
+            a, b, c = fingerprint(x), fingerprint(edited), fingerprint(y)
+            want[(d, len(x), hashlib.sha256(edited.encode()).hexdigest(), text_of(a), text_of(b), likeness(a, b), likeness(a, c))] += 1
+        assert Counter(map(tuple, fingerprints(table, part_bytes=part_bytes).collect())) == want
+
+    check(docs)
+    check(frame(spark, ODD, [None, 0, 1, 2, 3, 3, 3, 7, 8, 9, 10, 11]))
+    check(frame(spark, ["one document"]))
+    assert fingerprints(frame(spark, [])).count() == 0
