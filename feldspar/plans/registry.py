@@ -26,7 +26,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import documents, retrieval, warehouse  # noqa: F401
+    from ..streaming import batches  # noqa: F401
+    from . import documents, evaluation, ingestion, retrieval, warehouse  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
