@@ -14,11 +14,13 @@ def read_files(spark: SparkSession, path: str, schema, files_per_trigger: int =
 
 def windowed_counts(events: DataFrame, time: str, key: str, width: str, late: str) -> DataFrame:
     """Counts by window and key; rows later than the watermark are left out."""
+    events = events.withColumn(time, F.col(time).cast("timestamp"))  # watermarks need a zone
     return events.withWatermark(time, late).groupBy(F.window(time, width), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), key, "n")
 
 
 def first_seen(events: DataFrame, keys: list[str], time: str, late: str) -> DataFrame:
     """Exact deduplication with bounded state: repeats within the watermark are dropped."""
+    events = events.withColumn(time, F.col(time).cast("timestamp"))
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
