@@ -88,3 +88,9 @@ def html_table_to_markdown(html: Column) -> Column:
     lines = F.transform(rows, lambda r: pad_table_row(r, width))
     rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
     return F.when(F.size(rows) > 0, F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, 1_000_000)), "\n"))
+
+
+def year_neutral(text: Column, change_words: tuple[str, ...] = ("change", "changed", "changes", "compare", "compared", "difference")) -> Column:
+    """A question without years and words of change."""
+    words = "|".join(sorted(change_words, key=lambda w: (-len(w), w)))
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"\b20\d\d\b|\b(?:" + words + r")\b", " "), " +", " "))

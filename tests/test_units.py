@@ -101,3 +101,45 @@ def test_streaming(spark, sf_dir, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("counted").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_spans_resolve_by_score_then_length(spark):
+    from feldspar.operators import deid
+
+    text = "card 4539148803436467 at 10.1.2.3 no 77"
+    found = deid.spans(F.col("t"), {"CARD": ("[0-9]{16}", 0.8), "IP": (r"[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+", 0.6), "NUM": ("[0-9]{4,}", 0.5), "LOW": ("[0-9]+", 0.2)})
+    got = one(spark, deid.resolve(found), t=text)
+    assert [(s.type, text[s.start : s.stop]) for s in got] == [("CARD", "4539148803436467"), ("IP", "10.1.2.3")]
+    assert one(spark, deid.masked(F.col("t"), deid.resolve(found)), t=text) == "card <CARD> at <IP> no 77"
+    assert one(spark, deid.translated(F.col("t"), [("Ann Lee", "[P-2]"), ("Ann Lee Roy", "[P-1]"), ("Lee", "[P-3]")]), t="ann lee roy and Ann Lee, Leeds") == "[P-1] and [P-2], Leeds"
+
+
+def test_disclosure_is_written_before_it_is_returned(spark, tmp_path):
+    from feldspar.operators import payload
+
+    ranked = spark.createDataFrame([(0, 7, 1, 0.9, "public", "h7", "doc-7"), (0, 8, 2, 0.8, "employee", "h8", "doc-8"), (1, 9, 1, 0.1, "public", "h9", "doc-9")], "query_id int, chunk_id int, rank int, score double, acl_tag string, content_hash string, title string")
+    built = payload.build(ranked, search.abstain(ranked, F.lit(0.7)))
+    out = {r.query_id: r for r in payload.disclose(built, ranked, "employee", str(tmp_path / "log")).collect()}
+    assert out[0].status == "ok" and out[1].status == "insufficient_evidence" and '"chunks":[]' in out[1].payload
+    log = spark.read.parquet(str(tmp_path / "log"))
+    row = log.where("query_id = 0").first()
+    assert row.chunk_ids == [7, 8] and row.content_hashes == ["h7", "h8"]
+    assert payload.lineage(log, title_like="DOC-8").count() == 1 and payload.lineage(log, persona="admin").count() == 0
+    (tmp_path / "file").write_text("x")
+    with pytest.raises(Exception):  # noqa: B017
+        payload.disclose(built, ranked, "employee", str(tmp_path / "file"))
+
+
+def test_worst_of_required(spark):
+    from feldspar.operators import payload
+
+    legs = spark.createDataFrame([(1, "a", "doc_probe", True, "ok", 0.9), (1, "b", "doc_probe", True, "insufficient_evidence", 0.2), (2, "a", "member_query", True, "ok", None), (2, "b", "doc_probe", False, "not_executed", 0.4)], "plan_id int, leg string, kind string, required boolean, status string, confidence double")
+    got = {r.plan_id: tuple(r) for r in payload.compose(legs).collect()}
+    assert got == {1: (1, "insufficient_evidence", 0.2, "b"), 2: (2, "ok", 0.4, "b")}
+
+
+def test_upserts(spark):
+    old = spark.createDataFrame([(1, "model"), (2, "rule")], "id int, origin string")
+    new = spark.createDataFrame([(1, "new"), (2, "new"), (3, "new"), (3, "newer")], "id int, origin string")
+    assert sorted(map(tuple, ingest.insert_if_absent(old, new, ["id"]).collect())) == [(3, "new")]
+    assert sorted(map(tuple, ingest.upsert_unless(old, new.where("origin = 'new'"), ["id"], "origin = 'model'").collect())) == [(1, "model"), (2, "new"), (3, "new")]
