@@ -157,12 +157,31 @@ def exact_links(sizes: np.ndarray, sets: list[np.ndarray], percent: int, forest:
 
 
 def _stream_groups(keys: list[str], work, schema_names: list[str], kinds: list):
-    """Runs ``work(table)`` for each run of equal keys in a sorted stream of batches, holding one group at a time."""
+    """Runs ``work(table)`` for each run of equal keys in a sorted stream of batches, holding one group at a time.
+
+    ``work`` gives edges; those inside a tree that the task already has are left out.
+    """
 
     def run(batches):
         held: list[pa.RecordBatch] = []
         last = None
         out: list[tuple] = []
+        up: dict[int, int] = {}  # the task's trees: an edge inside one of them says nothing new
+
+        def root(x: int) -> int:
+            while up.get(x, x) != x:
+                up[x] = up.get(up[x], up[x])
+                x = up[x]
+            return x
+
+        def fresh(edges: list[tuple]) -> list[tuple]:
+            kept = []
+            for a, b in edges:
+                x, y = root(a), root(b)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    kept.append((a, b))
+            return kept
 
         def flush():
             nonlocal out
@@ -180,14 +199,14 @@ def _stream_groups(keys: list[str], work, schema_names: list[str], kinds: list):
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 key = tuple(c[a] for c in cols)
                 if held and key != last:
-                    out += work(pa.Table.from_batches(held))
+                    out += fresh(work(pa.Table.from_batches(held)))
                     held = []
                 last = key
                 held.append(batch.slice(a, b - a))
             if len(out) > 5000:
                 yield flush()
         if held:
-            out += work(pa.Table.from_batches(held))
+            out += fresh(work(pa.Table.from_batches(held)))
         if out:
             yield flush()
 
@@ -200,7 +219,7 @@ def _block_pairs(rows: DataFrame, key: str, sizes: DataFrame, block_rows: int, s
     ``sizes`` has (key, blocks). Each row is repeated once per block of its key, so rows of a key with b blocks make b
     copies and no task holds more than two blocks.
     """
-    dealt = rows.join(sizes, key).withColumn("_b", F.pmod(F.xxhash64(salt_of, key), F.col("blocks")).cast("int"))
+    dealt = rows.join(sizes, key).withColumn("_b", F.pmod(F.xxhash64(salt_of), F.col("blocks")).cast("int"))
     others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))
     dealt = dealt.withColumn("_o", F.explode(others))
     return dealt.withColumn("bi", F.least("_b", "_o")).withColumn("bj", F.greatest("_b", "_o")).drop("_b", "_o", "blocks")
@@ -229,7 +248,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     ranked = held.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"), F.first("held").alias("held"), F.first("prefix").alias("prefix"))
     ranked = ranked.withColumn("take", F.col("prefix") - (F.col("held") - F.size("vs"))).where("take > 0")
     lists = cut(ranked.select("rep", F.explode(F.slice("vs", 1, F.col("take"))["v"]).alias("v")))
-    blocks = lists.groupBy("v").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("v", F.ceil(F.col("rows") / block_rows).alias("blocks"))
+    blocks = lists.groupBy("v").agg(F.count(F.lit(1)).alias("rows"), F.min("rep").alias("first")).where("rows > 1").select("v", "first", F.ceil(F.col("rows") / block_rows).alias("blocks"))
     threshold = percent / 100
 
     def candidates(table: pa.Table) -> list[tuple]:
@@ -242,7 +261,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
 
     dealt = _block_pairs(lists, "v", blocks, block_rows, "rep").join(reps, "rep")
     parts = shuffle_partitions(spark)
-    dealt = dealt.repartition(parts, "v", "bi", "bj").sortWithinPartitions("v", "bi", "bj", "rep")
+    # lists that begin with one class mostly hold one group: they meet in one task, which links each pair of it once
+    dealt = dealt.repartition(parts, "first", "bi", "bj").sortWithinPartitions("v", "bi", "bj", "rep")
     edges = dealt.mapInArrow(_stream_groups(["v", "bi", "bj"], candidates, ["a", "b"], [pa.int64(), pa.int64()]), "a bigint, b bigint").distinct()
     groups = cut(connected_components(edges))  # (id, component): candidate groups
 
