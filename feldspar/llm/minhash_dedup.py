@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U64, connected_components, cut, join_hash, n_parts, salted_representatives, shuffle_partitions, text_bytes, utf8, word_hashes
+from ._common import U64, connected_components, cut, join_hash, salted_representatives, shuffle_partitions, utf8, word_hashes
 
 K = 48
 BLOCK_ROWS = 384

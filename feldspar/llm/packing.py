@@ -18,7 +18,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import n_parts
 
 CAPACITY = 1024
 GROUP = 192
@@ -232,7 +231,6 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     Null and empty texts are the end id alone. Ids may be null or repeat; each row is packed as a document. Long texts
     are cut at multiples of the capacity. An empty table gives no pieces. Other columns are not read.
     """
-    spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     cut = base.mapInArrow(_cut(tokenizer, "doc_id", "text", capacity), "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary")
     dealt = cut.repartition(F.xxhash64("doc_id", "start"))

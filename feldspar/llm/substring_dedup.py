@@ -16,7 +16,6 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ._blocks import BLOCK_BYTES, KEYS, MESSAGE, STATE, document_blocks, messages, met, ordered
 from ._common import U64, by_bucket, join_hash, mix, word_hashes
