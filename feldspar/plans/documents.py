@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.identifiers import luhn_valid
 from ..operators import chunking
+from ..operators.near import first_seen, similar_pairs
 from . import adapters as a
 from .registry import query
 
@@ -124,36 +125,36 @@ def a01(spark, d):
     return flat.groupBy("doc_id", F.col("e.category").alias("category")).agg(F.count(F.lit(1)).alias("elements"))
 
 
-@query(
-    "e01_exact_jaccard",
-    r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
+PAIRS = r"""w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
     s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM w, LATERAL (SELECT unnest(range(1, len(w) - 1)) AS i)),
     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
-    p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL)
-    SELECT b AS doc_id, min(a) AS first_match FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE common >= 0.8 * (na.n + nb.n - common) GROUP BY 1""",
-)
+    p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+    pairs AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE common >= 0.8 * (na.n + nb.n - common))"""
+#: Originals in order of ids: step by step over the documents that have an earlier match.
+ORIGINALS = """steps AS (SELECT b, list(a) AS before, row_number() OVER (ORDER BY b) AS i FROM pairs GROUP BY b),
+    walk AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS dups UNION ALL
+      SELECT w.i + 1, CASE WHEN len(list_filter(s.before, lambda x: NOT list_contains(w.dups, x))) > 0 THEN list_append(w.dups, s.b) ELSE w.dups END FROM walk w JOIN steps s ON s.i = w.i + 1),
+    gone AS (SELECT unnest(dups) AS doc_id FROM walk WHERE i = (SELECT max(i) FROM walk))"""
+
+
+@query("e01_exact_jaccard", f"WITH {PAIRS} SELECT b AS doc_id, min(a) AS first_match FROM pairs GROUP BY 1")
 def e01(spark, d):
-    """For each document the smallest earlier one with Jaccard similarity 0.8 or more over three-word shingles.
-
-    Prefix filter: shingles are ordered by rarity, and a pair that is alike shares one of the first n - ceil(0.8 n) + 1
-    of each, so common shingles never meet; the candidates' whole sets are then compared.
-    """
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
-    docs = a.table(spark, d, "documents").select("doc_id", words.alias("w"))
-    # the words beside the words after them: the array is named three times, not once an element
-    three = F.arrays_zip(F.col("w").alias("x"), F.slice("w", 2, 1 << 30).alias("y"), F.slice("w", 3, 1 << 30).alias("z"))
-    runs = F.array_distinct(F.transform(F.filter(three, lambda t: t["z"].isNotNull()), lambda t: F.xxhash64(F.concat_ws(" ", t["x"], t["y"], t["z"]))))
-    sets = docs.where(F.size("w") >= 3).select("doc_id", runs.alias("s"))
-    flat = sets.select("doc_id", F.size("s").alias("n"), F.explode("s").alias("v"))
-    often = flat.groupBy("v").agg(F.count(F.lit(1)).alias("df"))
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "v"))
-    prefix = flat.join(often, "v").withColumn("r", order).where(F.col("r") <= F.col("n") - F.ceil(0.8 * F.col("n")) + 1).where("df > 1").select("doc_id", "n", "v")
-    x, y = prefix.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), "v"), prefix.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), "v")
-    pairs = x.join(y, "v").where("a < b AND na >= 0.8 * nb AND nb >= 0.8 * na").select("a", "b").distinct()
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    alike = both.where(common >= 0.8 * (F.size("sa") + F.size("sb") - common))
-    return alike.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("first_match"))
+    """For each document the smallest earlier one with Jaccard similarity 0.8 or more over three-word shingles."""
+    return similar_pairs(a.table(spark, d, "documents")).groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("first_match"))
+
+
+@query("e02_first_seen", f"WITH RECURSIVE {PAIRS}, {ORIGINALS} SELECT b AS doc_id, min(a) AS duplicate_of FROM pairs WHERE b IN (SELECT doc_id FROM gone) AND a NOT IN (SELECT doc_id FROM gone) GROUP BY 1")
+def e02(spark, d):
+    """Duplicates and the original each points to: a duplicate is never matched itself."""
+    return first_seen(similar_pairs(a.table(spark, d, "documents")))
+
+
+@query("e04_originals_only", f"WITH RECURSIVE {PAIRS}, {ORIGINALS} SELECT source, count(*) AS documents, count(*) FILTER (WHERE doc_id NOT IN (SELECT doc_id FROM gone)) AS searchable FROM documents GROUP BY 1")
+def e04(spark, d):
+    """Duplicates keep their row and have no chunks."""
+    docs = a.table(spark, d, "documents").select("doc_id", "source", "text")
+    gone = first_seen(similar_pairs(docs)).select("doc_id", F.lit(1).alias("_gone"))
+    return docs.select("doc_id", "source").join(gone, "doc_id", "left").groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("_gone").isNull()).alias("searchable"))
 
 
 @query(
