@@ -165,3 +165,19 @@ def p06(spark, d):
 
 
 assert ADJUDICATION in APPEALS
+
+
+@query(
+    "p04_coverage",
+    r"""WITH q AS (SELECT event_id AS question_id, 2022 + event_id % 5 AS year, ['FEHB', 'postal', 'PSHB', ''][event_id % 4 + 1] || ' ' || ['High', 'Basic and High', ''][event_id % 3 + 1] || ' copay' AS q FROM events),
+    o AS (SELECT * FROM (VALUES ('FEHB','High','104',2021),('FEHB','Standard','105',2021),('FEHB','Basic','106',2021),('PSHB','High','10P',2025),('PSHB','Standard','11P',2025),('PSHB','Basic','12P',2025)) t(program, option, plan_code, since)),
+    s AS (SELECT question_id, year, CASE WHEN regexp_matches(q, 'postal|PSHB') THEN 'PSHB' WHEN contains(q, 'FEHB') THEN 'FEHB' END AS p, regexp_extract_all(q, 'High|Standard|Basic') AS os FROM q)
+    SELECT question_id, CASE WHEN p IS NOT NULL AND len(any_value(os)) = 0 THEN 'program' WHEN len(any_value(os)) > 0 THEN 'option' ELSE 'all' END AS level, coalesce(string_agg(DISTINCT plan_code, ',' ORDER BY plan_code), '') AS plans
+    FROM s LEFT JOIN o ON (p IS NULL OR program = p) AND (len(os) = 0 OR list_contains(os, option)) AND since <= year GROUP BY question_id, p""",
+)
+def p04(spark, d):
+    from ..operators.routing import coverage
+
+    k = F.col("event_id")
+    q = F.concat(a.pick(["FEHB", "postal", "PSHB", ""], k % 4), F.lit(" "), a.pick(["High", "Basic and High", ""], k % 3), F.lit(" copay"))
+    return coverage(a.table(spark, d, "events").select(k.alias("question_id"), q.alias("question"), (2022 + k % 5).alias("year")))
