@@ -14,6 +14,13 @@ from pyspark.sql import functions as F
 RRF_K, ARM, POOL, MERGED_CAP = 60, 100, 50, 600
 K1, B = 1.2, 0.75
 QUERY_BLOCK = 256
+#: A side is broadcast up to so many short rows; beyond, Spark joins it like any other.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint where its size is checked to be small."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def tokens(text: Column) -> Column:
@@ -50,7 +57,7 @@ def term_statistics(chunks: DataFrame, terms: DataFrame, by: list[str]) -> tuple
     split = chunks.select("chunk_id", *by, tokens(F.col("content")).alias("_t"))
     sizes = split.groupBy(*by).agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("_t")).alias("mean_length"))
     wanted = terms.select("term").distinct()
-    flat = split.select("chunk_id", *by, F.size("_t").alias("length"), F.explode("_t").alias("term")).join(F.broadcast(wanted), "term")
+    flat = split.select("chunk_id", *by, F.size("_t").alias("length"), F.explode("_t").alias("term")).join(small(wanted), "term")
     return flat.groupBy("chunk_id", *by, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length")), sizes
 
 
@@ -61,7 +68,7 @@ def bm25_arm(chunks: DataFrame, terms: DataFrame, by: list[str], top: int = ARM,
     weighed = postings.join(df, [*by, "term"]).join(sizes, by)
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    scored = weighed.withColumn("part", part).join(F.broadcast(terms), "term").groupBy("query_id", "chunk_id", *by).agg(F.round(F.sum("part"), 6).alias("bm25"))
+    scored = weighed.withColumn("part", part).join(small(terms), "term").groupBy("query_id", "chunk_id", *by).agg(F.round(F.sum("part"), 6).alias("bm25"))
     rank = F.row_number().over(Window.partitionBy("query_id", *(by if rank_by is None else rank_by)).orderBy(F.desc("bm25"), "chunk_id"))
     return scored.where("bm25 > 0").withColumn("trank", rank).where(F.col("trank") <= top)
 
