@@ -18,7 +18,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
 CAPACITY = 1024
 GROUP = 192
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
@@ -36,7 +35,8 @@ def is_odd(text: str) -> bool:
     return len(data.translate(None, _RARE_BYTES)) != len(data) or (len(data) != len(text) and any(x in data for x in _RARE_STARTS))
 
 
-_CACHE_WORDS = 400_000
+#: About 200 bytes a piece in each Python worker; more pieces cost memory and save encoding.
+CACHE_PIECES = 400_000
 PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary, sequence_id bigint, offset bigint"
 
 
@@ -49,7 +49,8 @@ class Encoder:
     the cache goes when it is full: frequent pieces come early.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES) -> None:
+        self.cache_pieces = cache_pieces
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
@@ -96,8 +97,8 @@ class Encoder:
                 first.append(p[0])
                 rest.append(p[1:])
         for known in (self.spaced, self.bare):
-            if len(known) > _CACHE_WORDS:
-                for p in list(known)[_CACHE_WORDS // 2 :]:
+            if len(known) > self.cache_pieces:
+                for p in list(known)[self.cache_pieces // 2 :]:
                     del known[p]
         self.learn([p for p in set().union(*rest) if p not in self.spaced])
         new = [p for p in set(first) if p not in self.bare]
@@ -114,10 +115,11 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache_pieces: int = CACHE_PIECES) -> Encoder:
     """The worker process's encoder; its cache outlives a task."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+    _ENCODERS[path].cache_pieces = cache_pieces
     return _ENCODERS[path]
 
 
@@ -157,9 +159,9 @@ def differencing(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]
     return [[i] for i in range(len(lengths))]
 
 
-def _cut(path: str, id_name: str, text_name: str, capacity: int):
+def _cut(path: str, id_name: str, text_name: str, capacity: int, cache_pieces: int):
     def run(batches):
-        own = encoder(path)
+        own = encoder(path, cache_pieces)
         gc.disable()  # the cache makes no cycles, and walking it is dear
         for batch in batches:
             ids = batch.column(id_name).to_pylist()
@@ -225,13 +227,13 @@ def _place(capacity: int, group_rows: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, group_rows: int = GROUP) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, group_rows: int = GROUP, cache_pieces: int = CACHE_PIECES) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, ids (little-endian unsigned 32-bit), sequence_id, offset.
 
     Null and empty texts are the end id alone. Ids may be null or repeat; each row is packed as a document. Long texts
     are cut at multiples of the capacity. An empty table gives no pieces. Other columns are not read.
     """
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    cut = base.mapInArrow(_cut(tokenizer, "doc_id", "text", capacity), "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary")
+    cut = base.mapInArrow(_cut(tokenizer, "doc_id", "text", capacity, cache_pieces), "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary")
     dealt = cut.repartition(F.xxhash64("doc_id", "start"))
     return dealt.mapInArrow(_place(capacity, group_rows), PIECES)
