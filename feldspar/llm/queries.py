@@ -55,7 +55,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .packing import pack
 
-    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache_pieces=900_000)
+    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache_pieces=1_200_000)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
