@@ -108,7 +108,7 @@ def r01(spark, d):
 
 
 LEGS = """legs AS (SELECT user_id AS plan_id, 'leg' || event_id % 4 AS leg, CASE WHEN event_id % 3 = 0 THEN 'member_query' ELSE 'doc_probe' END AS kind, event_id % 2 = 0 AS required,
-  CASE WHEN event_id % 40 = 7 THEN 'not_executed' WHEN event_id % 30 = 4 THEN 'insufficient_evidence' ELSE 'ok' END AS status, round(value, 4) AS confidence FROM events WHERE event_id < 2000)"""
+  CASE WHEN event_id % 40 = 7 THEN 'not_executed' WHEN event_id % 30 = 4 THEN 'insufficient_evidence' ELSE 'ok' END AS status, round(value, 4) AS confidence FROM events)"""
 
 
 @query(
@@ -117,7 +117,7 @@ LEGS = """legs AS (SELECT user_id AS plan_id, 'leg' || event_id % 4 AS leg, CASE
       min(confidence) FILTER (WHERE kind = 'doc_probe') AS confidence, coalesce(string_agg(leg, ',' ORDER BY leg) FILTER (WHERE status <> 'ok'), '') AS missing FROM legs GROUP BY 1""",
 )
 def r02(spark, d):
-    e = a.table(spark, d, "events").where("event_id < 2000")
+    e = a.table(spark, d, "events")
     legs = e.select(F.col("user_id").alias("plan_id"), F.concat(F.lit("leg"), F.col("event_id") % 4).alias("leg"), F.when(F.col("event_id") % 3 == 0, "member_query").otherwise("doc_probe").alias("kind"), (F.col("event_id") % 2 == 0).alias("required"), F.when(F.col("event_id") % 40 == 7, "not_executed").when(F.col("event_id") % 30 == 4, "insufficient_evidence").otherwise("ok").alias("status"), F.round("value", 4).alias("confidence"))
     return payload.compose(legs)
 

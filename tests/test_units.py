@@ -143,3 +143,14 @@ def test_upserts(spark):
     new = spark.createDataFrame([(1, "new"), (2, "new"), (3, "new"), (3, "newer")], "id int, origin string")
     assert sorted(map(tuple, ingest.insert_if_absent(old, new, ["id"]).collect())) == [(3, "new")]
     assert sorted(map(tuple, ingest.upsert_unless(old, new.where("origin = 'new'"), ["id"], "origin = 'model'").collect())) == [(1, "model"), (2, "new"), (3, "new")]
+
+
+def test_all_legs_are_composed(spark, tmp_path):
+    from feldspar.plans import registry
+
+    rows = [(i, i // 4, 0.5 + i % 7 / 10) for i in (0, 1, 2, 3, 1999, 2000, 2004, 2007, 90_007, 90_004)]
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.plan_id: r for r in registry.queries()["r02_compose"](spark, str(tmp_path)).collect()}
+    assert set(got) == {u for _, u, _ in rows}
+    # 90,004 is a required leg without evidence, 90,007 an optional one that wasn't run
+    assert (got[22_501].status, got[22_501].missing) == ("insufficient_evidence", "leg0,leg3") and got[501].missing == "leg3"
