@@ -154,3 +154,27 @@ def test_all_legs_are_composed(spark, tmp_path):
     assert set(got) == {u for _, u, _ in rows}
     # 90,004 is a required leg without evidence, 90,007 an optional one that wasn't run
     assert (got[22_501].status, got[22_501].missing) == ("insufficient_evidence", "leg0,leg3") and got[501].missing == "leg3"
+
+
+def test_shorthand_reaches_every_document(spark, tmp_path):
+    import hashlib
+
+    from feldspar.plans import documents, registry
+
+    part = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_/&")
+
+    def brute(text):
+        out, at = "", 0
+        while at < len(text):
+            end = at
+            while end < len(text) and (text[end] in part) == (text[at] in part):
+                end += 1
+            out += documents.SHORT.get(text[at:end], text[at:end])
+            at = end
+        return out
+
+    texts = ["a th", "of 3 is", "la\nla\tis", "été a àla éa", "a/th th&of a-th x_a a_", "(is) of, th. A TH", "", "a", "a\u00a0th\U0001f600of", "  of  ", "ath isof la1 1la", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.h for r in registry.queries()["d13_shorthand"](spark, str(tmp_path)).collect()}
+    assert brute("a-th (is) a/th") == "and-the (was) a/th"
+    assert got == {i: None if t is None else hashlib.md5(brute(t).encode()).hexdigest() for i, t in enumerate(texts)}
