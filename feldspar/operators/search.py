@@ -2,7 +2,8 @@
 
 Queries are rows (query_id, and a vector or terms). Chunks are scanned once for all queries; scores are columns and
 ranks are windows over (query, source), so nothing loops on the driver. The query set is small and stated, so it is
-broadcast after a check of its size; a larger set is met in blocks of ``QUERY_BLOCK``.
+broadcast after a check of its size; in a larger set blocks of ``QUERY_BLOCK`` queries meet blocks of
+``CHUNK_BLOCK`` chunks.
 """
 
 from __future__ import annotations
@@ -10,10 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Fusion constant, arm and pool sizes, cap of merged pools.
+#: Fusion constant, arm and pool sizes, cap of merged pools; a block of chunks holds many times the arm of
+#: each source, so that most pairs are ranked out before the shuffle.
 RRF_K, ARM, POOL, MERGED_CAP = 60, 100, 50, 600
 K1, B = 1.2, 0.75
-QUERY_BLOCK = 256
+QUERY_BLOCK, CHUNK_BLOCK = 256, 16_384
 #: A side is broadcast up to so many short rows; beyond, Spark joins it like any other.
 BROADCAST_ROWS = 100_000
 
@@ -32,20 +34,33 @@ def dot(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
+def norm(x: Column) -> Column:
+    return F.sqrt(dot(x, x))
+
+
 def cosine(x: Column, y: Column) -> Column:
-    return dot(x, y) / (F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)))
+    return dot(x, y) / (norm(x) * norm(y))
 
 
 def vector_arm(chunks: DataFrame, queries: DataFrame, by: list[str], top: int = ARM) -> DataFrame:
     """(query_id, chunk_id, by..., similarity, vrank): the nearest chunks of every query, ranked within ``by``.
 
-    The query side is bounded by its caller; it is an equi-join on the block number, which every chunk row takes part in.
+    An equi-join on the cell of a query block and a chunk block; every chunk meets every query once.
     """
     n = queries.count()
     blocks = -(-n // QUERY_BLOCK) or 1
-    q = queries.select("query_id", F.col("vector").alias("_q"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("_block"))
-    rows = chunks.where("vector is not null").withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    scored = rows.join(F.broadcast(q) if n <= QUERY_BLOCK else q, "_block").withColumn("similarity", F.round(cosine(F.col("vector"), F.col("_q")), 6))
+    rows = chunks.where("vector is not null").select("chunk_id", *by, "vector", norm(F.col("vector")).alias("_n"))
+    parts = -(-rows.count() // CHUNK_BLOCK) or 1 if blocks > 1 else 1
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    own = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    q = queries.select("query_id", F.col("vector").alias("_q"), norm(F.col("vector")).alias("_nq"), own("query_id", blocks).alias("_block")).withColumn("_part", every(parts))
+    rows = rows.withColumn("_part", own("chunk_id", parts)).withColumn("_block", every(blocks))
+    if blocks > 1:  # a stated number, or cells of few bytes would be put into one task
+        tasks = min(blocks * parts, 8 * int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        q, rows = q.repartition(tasks, "_part", "_block"), rows.repartition(tasks, "_part", "_block")
+    else:
+        q = F.broadcast(q)
+    scored = rows.join(q, ["_part", "_block"]).withColumn("similarity", F.round(dot(F.col("vector"), F.col("_q")) / (F.col("_n") * F.col("_nq")), 6))
     rank = F.row_number().over(Window.partitionBy("query_id", *by).orderBy(F.desc("similarity"), "chunk_id"))
     return scored.withColumn("vrank", rank).where(F.col("vrank") <= top).select("query_id", "chunk_id", *by, "similarity", "vrank")
 

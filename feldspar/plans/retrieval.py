@@ -14,7 +14,7 @@ from .registry import query
 
 TERMS = [(0, "the"), (0, "that"), (0, "bleer"), (1, "une"), (1, "laoué"), (1, "est"), (2, "idiot"), (2, "trash"), (3, "licen" + "se"), (3, "apache")]
 TERMS_SQL = "terms AS (SELECT * FROM (VALUES " + ", ".join(f"({q}, '{t}')" for q, t in TERMS) + ") t(query_id, term))"
-VECTORS = "q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 100 = 7)"
+VECTORS = "q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0)"
 #: exact scan for every stated query vector
 SCORED = f"""{VECTORS}, scored AS (
   SELECT q.query_id, e.vec_id AS chunk_id, c.doc_type,
@@ -28,8 +28,8 @@ def chunks_with_vectors(spark, d):
 
 
 def query_vectors(spark, d):
-    """A stated query set: one embedding in a hundred."""
-    return a.table(spark, d, "embeddings").where("vec_id % 100 = 7").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    """The stated query set: every embedding whose id is divisible by 20."""
+    return a.table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 def query_terms(spark):
@@ -45,8 +45,7 @@ def h01(spark, d):
     return search.vector_arm(chunks_with_vectors(spark, d), query_vectors(spark, d), []).withColumn("vrank", F.col("vrank").cast("bigint"))
 
 
-BM25 = f"""{TERMS_SQL},
-split AS (SELECT chunk_id, doc_type, regexp_extract_all(lower(content), '[a-z0-9]+') AS t FROM chunks),
+POSTINGS = """split AS (SELECT chunk_id, doc_type, regexp_extract_all(lower(content), '[a-z0-9]+') AS t FROM chunks),
 sizes AS (SELECT doc_type, count(*) AS docs, avg(len(t)) AS mean_length FROM split GROUP BY 1),
 postings AS (SELECT chunk_id, doc_type, term, count(*) AS tf, any_value(n) AS length
   FROM (SELECT chunk_id, doc_type, len(t) AS n, unnest(t) AS term FROM split) WHERE term IN (SELECT term FROM terms) GROUP BY ALL),
@@ -54,6 +53,7 @@ dfs AS (SELECT doc_type, term, count(*) AS df FROM postings GROUP BY ALL),
 bm AS (SELECT query_id, chunk_id, doc_type,
   round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean_length))), 6) AS bm25
   FROM postings JOIN dfs USING (doc_type, term) JOIN sizes USING (doc_type) JOIN terms USING (term) GROUP BY ALL)"""
+BM25 = f"{TERMS_SQL},\n{POSTINGS}"
 
 
 @query(
@@ -75,9 +75,12 @@ def h04(spark, d):
     return search.bm25_arm(a.chunks(spark, d), query_terms(spark), ["doc_type"], rank_by=[]).withColumn("trank", F.col("trank").cast("bigint"))
 
 
-#: Hybrid questions: the four term queries, each with one stored vector as its embedding.
-HYBRID = """hq AS (SELECT vec_id // 100 AS query_id, embedding AS v FROM embeddings WHERE vec_id % 100 = 7 AND vec_id < 400)"""
-ARMS = f"""{HYBRID}, {BM25},
+#: Hybrid questions: every embedding whose id is divisible by 20, with the first eight words of the document of the same id.
+QUESTION_WORDS = 8
+HYBRID = "hq AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0)"
+HYBRID_TERMS = f"""terms AS (SELECT DISTINCT doc_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')[1:{QUESTION_WORDS}]) AS term
+  FROM documents WHERE doc_id IN (SELECT query_id FROM hq))"""
+ARMS = f"""{HYBRID}, {HYBRID_TERMS}, {POSTINGS},
 vs AS (SELECT hq.query_id, e.vec_id AS chunk_id, c.doc_type,
     round(list_dot_product(e.embedding::DOUBLE[], hq.v::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(hq.v::DOUBLE[], hq.v::DOUBLE[]))), 6) AS similarity
   FROM embeddings e, hq, chunks c WHERE c.chunk_id = e.vec_id),
@@ -88,12 +91,18 @@ fused AS (SELECT coalesce(v.query_id, t.query_id) AS query_id, coalesce(v.chunk_
   FROM (SELECT * FROM vr WHERE vrank <= 100) v FULL JOIN (SELECT * FROM tr WHERE trank <= 100) t ON v.query_id = t.query_id AND v.chunk_id = t.chunk_id)"""
 
 
+def question_terms(spark, d, questions):
+    words = F.explode(F.slice(search.tokens(F.col("text")), 1, QUESTION_WORDS)).alias("term")
+    docs = a.table(spark, d, "documents").where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    return docs.join(questions.select("query_id"), "query_id", "left_semi").select("query_id", words).distinct()
+
+
 def _arms(spark, d, chunks=None):
-    q = a.table(spark, d, "embeddings").where("vec_id % 100 = 7 AND vec_id < 400").select(F.floor(F.col("vec_id") / 100).alias("query_id"), F.col("embedding").alias("vector"))
+    q = query_vectors(spark, d)
     vectors = a.table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
     rows = chunks if chunks is not None else a.chunks(spark, d)
     vec = search.vector_arm(rows.join(vectors, "chunk_id", "left"), q, ["doc_type"])
-    return vec, search.bm25_arm(rows, query_terms(spark), ["doc_type"])
+    return vec, search.bm25_arm(rows, question_terms(spark, d, q), ["doc_type"])
 
 
 @query("h05_rrf", f"WITH {CHUNKS}, {ARMS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, chunk_id) AS rank FROM fused) SELECT query_id, chunk_id, doc_type, vrank, trank, rrf, rank FROM r WHERE rank <= 50")

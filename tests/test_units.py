@@ -1,5 +1,7 @@
 """Operators on small written-out fixtures."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,3 +180,29 @@ def test_shorthand_reaches_every_document(spark, tmp_path):
     got = {r.doc_id: r.h for r in registry.queries()["d13_shorthand"](spark, str(tmp_path)).collect()}
     assert brute("a-th (is) a/th") == "and-the (was) a/th"
     assert got == {i: None if t is None else hashlib.md5(brute(t).encode()).hexdigest() for i, t in enumerate(texts)}
+
+
+def test_the_query_set_is_every_twentieth_row(spark, sf_dir, tmp_path):
+    from feldspar.plans import registry, retrieval
+
+    ids = {i for i in range(500) if i % 20 == 0}
+    assert {r.query_id for r in registry.queries()["h01_vector_topk"](spark, sf_dir).select("query_id").distinct().collect()} == ids
+    vec, txt = retrieval._arms(spark, sf_dir)
+    assert {r.query_id for r in vec.select("query_id").distinct().collect()} == ids
+    first = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 20 = 0").collect()}
+    terms = retrieval.question_terms(spark, sf_dir, retrieval.query_vectors(spark, sf_dir)).collect()
+    assert {(r.query_id, r.term) for r in terms} == {(i, w) for i, t in first.items() for w in re.findall("[a-z0-9]+", t.lower())[:8]}
+    assert {r.query_id for r in txt.select("query_id").distinct().collect()} == {r.query_id for r in terms}
+
+
+def test_blocks_meet_every_query_and_chunk_once(spark, monkeypatch):
+    rows = [(i, "s" + str(i % 3), [float((i * k) % 7 - 3) + 0.1 for k in range(1, 5)]) for i in range(60)]
+    chunks = spark.createDataFrame(rows, "chunk_id bigint, doc_type string, vector array<float>")
+    queries = chunks.where("chunk_id % 4 = 0").select(F.col("chunk_id").alias("query_id"), "vector")
+    for by in ([], ["doc_type"]):
+        want = sorted(map(tuple, search.vector_arm(chunks, queries, by, 10).collect()))
+        monkeypatch.setattr(search, "QUERY_BLOCK", 4)
+        monkeypatch.setattr(search, "CHUNK_BLOCK", 8)
+        assert sorted(map(tuple, search.vector_arm(chunks, queries, by, 10).collect())) == want
+        assert len(want) == 15 * 10 * (3 if by else 1)
+        monkeypatch.undo()
