@@ -3,7 +3,7 @@
 Trained in numpy on a bounded sample of labelled rows (``sample_rows``, the lowest by a hash of the id); every text is
 then scored whole, in Arrow batches. A word's embedding is the sum of two rows, each chosen by its own hash, so that two
 words rarely share both. Because a filter is linear, the product of the embedding table and the filter is tabulated
-once and scoring adds looked-up rows. Thresholds are calibrated by language, guessed from the text's function words:
+once and scoring adds looked-up rows. Thresholds are calibrated by language, guessed from the text's function words, on all labelled rows outside the held-out part:
 the logit is shifted by the language's threshold, so 0.5 is the threshold of every language's score.
 """
 
@@ -25,6 +25,8 @@ FUNCTION_WORDS = {
 }
 LANGUAGES = [*FUNCTION_WORDS, "other"]
 BITS, DIM, FILTERS, WIDTHS = 15, 8, 4, (1, 2, 3)
+#: Bins of a logit unit in the histogram for thresholds, and the logits of its ends.
+BINS, EDGE = 64, 32
 
 
 def is_held_out(id_col: str, parts: int):
@@ -177,36 +179,68 @@ class TextCNN:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30))), lang
 
 
-def calibrate(model: TextCNN, texts: list[bytes], y: np.ndarray, least: int = 20) -> None:
-    """Sets each language's threshold where F1 on the calibration rows is best, midway between the neighbours there.
+def pieces(texts: list[bytes], batch_bytes: int):
+    """Runs of texts of about ``batch_bytes`` bytes; a longer text is one run."""
+    at = 0
+    while at < len(texts):
+        upto, size = at, 0
+        while upto < len(texts) and size < batch_bytes:
+            size += len(texts[upto])
+            upto += 1
+        yield texts[at:upto]
+        at = upto
 
-    Languages with fewer than ``least`` toxic or clean rows take the threshold of all rows.
+
+def logit_bins(docs: DataFrame, model: TextCNN, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 4 << 20) -> DataFrame:
+    """(id, _l, _bin) of whole texts: index of the guessed language and the logit's bin."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            bins, langs = [], []
+            for texts in pieces(utf8(batch.column(text_col)), batch_bytes):
+                hashes, starts = features(texts)
+                langs.append(guess_language(hashes, starts))
+                bins.append(np.floor(np.clip(shared.value.logits(hashes, starts), -EDGE, EDGE) * BINS).astype(np.int32))
+            if bins:
+                yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(np.concatenate(langs).astype(np.int32)), pa.array(np.concatenate(bins))], [id_col, "_l", "_bin"])
+
+    own = docs.select(id_col, text_col)
+    return own.mapInArrow(run, f"`{id_col}` {dict(own.dtypes)[id_col]}, _l int, _bin int")
+
+
+def threshold(bins: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
+    """Where F1 is best, midway between the bins that hold rows there."""
+    bins, at = np.unique(bins, return_inverse=True)
+    bins = bins[::-1]
+    hit, miss = (np.cumsum(np.bincount(at, weights=n, minlength=len(bins))[::-1]) for n in (toxic, clean))
+    k = int((2 * hit / (hit + miss + hit[-1])).argmax())
+    return float(bins[k] + bins[k + 1] + 1) / 2 / BINS if k + 1 < len(bins) else float(bins[k]) / BINS
+
+
+def calibrate(model: TextCNN, docs: DataFrame, own: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 20) -> None:
+    """Sets each language's threshold where F1 on all rows of ``docs`` with a label in ``own`` (id, _y) is best.
+
+    Texts are scored where they lie; only ids and bins are joined, and the histogram has a fixed bound (languages x bins
+    x labels). Languages with fewer than ``least`` toxic or clean rows take the threshold of all rows.
     """
-    hashes, starts = features(texts)
-    z, lang = model.logits(hashes, starts), guess_language(hashes, starts)
-
-    def best(own: np.ndarray) -> float:
-        order = np.argsort(-z[own], kind="stable")
-        zs, ys = z[own][order], y[own][order]
-        hit = np.cumsum(ys)
-        f1 = 2 * hit / (np.arange(len(ys)) + 1 + ys.sum())
-        k = int(f1.argmax())
-        return float((zs[k] + zs[k + 1]) / 2) if k + 1 < len(zs) else float(zs[k])
-
-    if 0 < y.sum() < len(y):
-        model.shift[:] = best(np.ones(len(y), dtype=bool))
+    rows = logit_bins(docs, model, id_col, text_col).join(own, id_col).groupBy("_l", "_bin").agg(F.count_if(F.col("_y") == 1).alias("toxic"), F.count_if(F.col("_y") == 0).alias("clean"))
+    got = np.array([tuple(r) for r in rows.collect()], dtype=np.int64).reshape(-1, 4)
+    lang, bins, toxic, clean = got.T
+    if toxic.sum() and clean.sum():
+        model.shift[:] = threshold(bins, toxic, clean)
         for i in range(len(LANGUAGES)):
-            own = lang == i
-            if y[own].sum() >= least and (1 - y[own]).sum() >= least:
-                model.shift[i] = best(own)
+            at = lang == i
+            if toxic[at].sum() >= least and clean[at].sum() >= least:
+                model.shift[i] = threshold(bins[at], toxic[at], clean[at])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, sample_bytes: int = 16_384, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", parts: int = 5) -> TextCNN | None:
     """Fits on at most ``sample_rows`` labelled rows outside the held-out part; None where one class is missing.
 
     The sample: half of it from the toxic rows and the rest from the clean ones, lowest hash of the id first, among
-    texts of at most ``sample_bytes`` bytes (a training sample only; scoring reads whole texts). One row in five
-    calibrates the thresholds.
+    texts of at most ``sample_bytes`` bytes (a training sample only; scoring reads whole texts). One row in five of it
+    isn't fitted. Thresholds are calibrated on all labelled rows outside the held-out part, whole texts.
     """
     own = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~is_held_out(id_col, parts)).groupBy(id_col).agg(F.max(label_col).alias("_y"))
     lot = F.xxhash64(F.lit("toxicity"), F.col(id_col))
@@ -225,7 +259,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, sample_by
     hashes, starts = features(fit_on)
     model.fit(hashes, starts, y[~hold])
     model.tabulate()
-    calibrate(model, [t for t, h in zip(texts, hold, strict=True) if h], y[hold])
+    calibrate(model, docs.where(F.col(id_col).isNotNull() & ~is_held_out(id_col, parts)), own, id_col, text_col)
     return model
 
 
@@ -242,19 +276,14 @@ def score_toxicity(docs: DataFrame, model: TextCNN | None, id_col: str = "doc_id
         cnn = shared.value
         for batch in batches:
             texts = utf8(batch.column(text_col))
-            scores, langs, at = [], [], 0
-            while at < len(texts):
-                upto, size = at, 0
-                while upto < len(texts) and size < batch_bytes:
-                    size += len(texts[upto])
-                    upto += 1
+            scores, langs = [], []
+            for own in pieces(texts, batch_bytes):
                 if cnn is None:
-                    s, g = np.zeros(upto - at), np.full(upto - at, len(LANGUAGES) - 1)
+                    s, g = np.zeros(len(own)), np.full(len(own), len(LANGUAGES) - 1)
                 else:
-                    s, g = cnn.score(texts[at:upto])
+                    s, g = cnn.score(own)
                 scores.append(s)
                 langs.append(g)
-                at = upto
             s = np.concatenate(scores) if scores else np.zeros(0)
             g = np.concatenate(langs) if langs else np.zeros(0, dtype=np.int64)
             more = [pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32()), pa.array([LANGUAGES[i] for i in g], pa.string())]

@@ -336,3 +336,26 @@ def test_fingerprints(spark, docs, part_bytes):
     check(frame(spark, ODD, [None, 0, 1, 2, 3, 3, 3, 7, 8, 9, 10, 11]))
     check(frame(spark, ["one document"]))
     assert fingerprints(frame(spark, [])).count() == 0
+
+
+def test_thresholds_come_from_all_labelled_rows(spark):
+    """A fitting sample that is half toxic must not move the thresholds: they are the best over every labelled row."""
+    from feldspar.llm import toxicity as tox
+
+    r = np.random.default_rng(3)
+    words = [f"plain{i}" for i in range(40)]
+    rows, labels = [], []
+    for i in range(1500):
+        toxic = i % 10 == 0
+        n = r.integers(1, 4) if toxic else (1 if r.random() < 0.15 else 0)
+        text = " ".join([*r.choice(words, 12), *(["vile"] * n), "the of and"])
+        rows.append((i, text + (" pad" * 5000 if i % 50 == 0 else "")))
+        labels.append((i, int(toxic)))
+    docs, own = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    model = tox.train(docs, own, sample_rows=120)
+    used = {x.doc_id for x in docs.where(~tox.is_held_out("doc_id", 5)).collect()}
+    hashes, starts = tox.features([t.encode() for i, t in rows if i in used])
+    b, y = np.floor(model.logits(hashes, starts) * tox.BINS), np.array([y for i, y in labels if i in used])
+    f1 = lambda cut: 2 * y[b >= cut].sum() / ((b >= cut).sum() + y.sum())
+    en = model.shift[tox.LANGUAGES.index("en")]
+    assert f1(en * tox.BINS) == max(f1(k) for k in np.unique(b))
