@@ -31,6 +31,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def cells(name: str) -> str:
+    """A column's name in back quotes, for names with dots and the like."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def hidden(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with its columns called c0, c1, ... whatever their names are, and what the named ones are called now."""
+    low = [c.lower() for c in docs.columns]
+    return docs.toDF(*[f"c{i}" for i in range(len(low))]), [f"c{low.index(n.lower())}" for n in names]
+
+
+def restored(rows: DataFrame, docs: DataFrame, **more: str) -> DataFrame:
+    """The columns of ``docs`` under their own names again, then ``more`` (name = column).
+
+    A name of ``more`` that ``docs`` has already gets as many underscores appended as it needs.
+    """
+    taken = {c.lower() for c in docs.columns}
+    out = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    for name, column in more.items():
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(F.col(column).alias(name))
+    return rows.select(*out)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

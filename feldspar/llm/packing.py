@@ -8,7 +8,6 @@ The number of windows starts at ceil(tokens / capacity) and rises by one wheneve
 
 from __future__ import annotations
 
-import gc
 import heapq
 import os
 import re
@@ -18,35 +17,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import cells
+
 CAPACITY = 1024
 GROUP = 192
-_SAFE = re.compile(r"(?<=\S)(?= \S)")
-#: White space in UTF-8 other than space and line break: single bytes, then the starts of longer ones.
-_RARE_BYTES = bytes([9, 11, 12, 13, 28, 29, 30, 31])
-_RARE_STARTS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
-_DOUBLES = (b"  ", b"\n\n", b" \n", b"\n ")
-
+#: Most pieces that a Python worker keeps between batches (about 200 bytes each); more cost memory and save encoding.
+CACHE_PIECES = 600_000
+#: Pieces of more bytes than this are encoded anew in each batch.
+LONGEST_KEPT = 64
+BATCH_BYTES = 6 << 20
+PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary, sequence_id bigint, offset bigint"
 
-def is_odd(text: str) -> bool:
-    """Whether white space is (or may be) more than single spaces and line breaks between visible characters."""
-    data = text.encode()
-    if data[:1] in (b" ", b"\n") or data[-1:] in (b" ", b"\n") or any(x in data for x in _DOUBLES):
-        return True
-    return len(data.translate(None, _RARE_BYTES)) != len(data) or (len(data) != len(text) and any(x in data for x in _RARE_STARTS))
+#: White space in UTF-8, single bytes and longer ones.
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+_WIDE = re.compile(b"\xc2\x85|\xc2\xa0|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_ALNUM = np.array([chr(x).isalnum() and x < 128 for x in range(256)])
+_STOP = np.array([chr(x) in ".,;:!?" for x in range(256)])
 
 
-#: About 200 bytes a piece in each Python worker; more pieces cost memory and save encoding.
-CACHE_PIECES = 400_000
-PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary, sequence_id bigint, offset bigint"
+def safe_cuts(data: np.ndarray) -> np.ndarray:
+    """Marks where a byte-level token surely begins: at a space or line break between two visible characters, and at a
+    full stop, comma or the like after an ASCII letter or digit."""
+    space = _SPACE[data]
+    for m in _WIDE.finditer(data):
+        space[m.start() : m.end()] = True
+    cut = np.zeros(len(data), dtype=bool)
+    cut[1:-1] = ((data[1:-1] == 32) | (data[1:-1] == 10)) & ~space[:-2] & ~space[2:]
+    cut[1:] |= _STOP[data[1:]] & _ALNUM[data[:-1]]
+    return cut
 
 
 class Encoder:
-    """Ids of texts by ``tokenizers``; each distinct space-led piece of a text is encoded once while it is cached.
+    """Ids of texts by ``tokenizers``; each distinct piece of a text is encoded once while it is kept.
 
-    The byte-level pattern never lets a token span the left edge of a single space between two visible characters, so a
-    text cut there has the ids of its pieces, one after another. New pieces are encoded many at a time, joined again,
-    and told apart by the bytes that each id stands for. The newer half of
-    the cache goes when it is full: frequent pieces come early.
+    Texts are cut where the byte-level pattern surely begins a token (``safe_cuts``), so a text has the ids of its
+    pieces, one after another. Arrow finds a batch's distinct pieces. New ones that begin with a single space or line
+    break are encoded many at a time, joined again, and told apart by the bytes that each id stands for. A text that
+    holds one of the tokenizer's added tokens is one piece.
     """
 
     def __init__(self, path: str, cache_pieces: int = CACHE_PIECES) -> None:
@@ -55,61 +63,77 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
         vocabulary = self.model.get_vocab()
         self.size = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
             self.size[i] = len(token)  # byte-level: a character stands for a byte
-        self.spaced: dict[str, bytes] = {}  # pieces after a space, which is left out of the key
-        self.bare: dict[str, bytes] = {"": b""}  # the first pieces of lines
-        self.line_break = self.alone(["\n"])[0]
-
-    def alone(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.model.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def learn(self, new: list[str], step: int = 2000) -> None:
-        odd = [p for p in new if p[:1].isspace() or p[-1:].isspace()]
-        self.spaced.update(zip(odd, self.alone([" " + p for p in odd]), strict=True))
-        plain = [p for p in new if not (p[:1].isspace() or p[-1:].isspace())]
-        groups = [plain[i : i + step] for i in range(0, len(plain), step)]
-        for group, e in zip(groups, self.model.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        added = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.added = re.compile(b"|".join(re.escape(t.encode()) for t in added)) if added else None
+        self.joins = not any(c.isspace() for t in added for c in t)
+        self.known: dict[bytes, int] = {}
+        self.first = np.zeros(1, dtype=np.int64)  # where a piece's ids begin
+        self.ids = np.zeros(0, dtype="<u4")
+
+    def joinable(self, piece: str) -> bool:
+        return self.joins and piece[0] in " \n" and len(piece) > 1 and not piece[1].isspace() and not piece[-1].isspace()
+
+    def learn(self, new: list[bytes], step: int = 2000) -> None:
+        """Encodes new pieces; long ones come last, so that they can be let go."""
+        new.sort(key=lambda p: len(p) > LONGEST_KEPT)
+        texts = [p.decode() for p in new]
+        joined = [i for i, x in enumerate(texts) if len(new[i]) <= LONGEST_KEPT and self.joinable(x)]
+        found: list[np.ndarray] = [self.ids[:0]] * len(new)
+        groups = [joined[i : i + step] for i in range(0, len(joined), step)]
+        for group, e in zip(groups, self.model.encode_batch_fast(["".join([texts[i] for i in group]) for group in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, dtype="<u4")
-            ends, upto = np.cumsum(self.size[ids]), np.cumsum([len(p.encode()) + 1 for p in group])
+            ends, upto = np.cumsum(self.size[ids]), np.cumsum([len(new[i]) for i in group])
             cuts = np.searchsorted(ends, upto, side="left") + 1
             if cuts[-1] != len(ids) or (ends[cuts - 1] != upto).any():
                 raise ValueError("the tokenizer isn't byte-level")
-            data, at = ids.tobytes(), 0
-            for p, end in zip(group, (cuts * 4).tolist(), strict=True):
-                self.spaced[p] = data[at:end]
-                at = end
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, with the end id 0."""
-        first, rest = [], []  # by line; an odd text is one line
-        lines = []
-        for x in texts:
-            if is_odd(x):
-                parts = [[p[i > 0 :] for i, p in enumerate(_SAFE.split(x))]]
-            else:
-                parts = [line.split(" ") for line in x.split("\n")]
-            lines.append(len(parts))
-            for p in parts:
-                first.append(p[0])
-                rest.append(p[1:])
-        for known in (self.spaced, self.bare):
-            if len(known) > self.cache_pieces:
-                for p in list(known)[self.cache_pieces // 2 :]:
-                    del known[p]
-        self.learn([p for p in set().union(*rest) if p not in self.spaced])
-        new = [p for p in set(first) if p not in self.bare]
-        self.bare.update(zip(new, self.alone(new), strict=True))
-        get = self.spaced.__getitem__
-        whole = [self.bare[a] + b"".join(map(get, r)) for a, r in zip(first, rest, strict=True)]
-        out, at = [], 0
-        for n in lines:
-            out.append(np.frombuffer(self.line_break.join(whole[at : at + n]) + b"\0\0\0\0", dtype="<u4"))
-            at += n
-        return out
+            for i, own in zip(group, np.split(ids, cuts[:-1]), strict=True):
+                found[i] = own
+        apart = set(joined)
+        alone = [i for i in range(len(new)) if i not in apart]
+        for i, e in zip(alone, self.model.encode_batch_fast([texts[i] for i in alone], add_special_tokens=False), strict=True):
+            found[i] = np.array(e.ids, dtype="<u4")
+        n = len(self.known)
+        self.known.update(zip(new, range(n, n + len(new)), strict=True))
+        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum([len(x) for x in found])))
+        self.ids = np.concatenate((self.ids, *found))
+
+    def forget(self, pieces: int) -> None:
+        """Lets the newest pieces go until ``pieces`` are left: frequent ones come early."""
+        while len(self.known) > pieces:
+            self.known.popitem()
+        self.first = self.first[: len(self.known) + 1].copy()
+        self.ids = self.ids[: self.first[-1]].copy()
+
+    def encode(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts (UTF-8 ``data``, cut at ``offsets``), each text ended by id 0, and each text's bounds in them."""
+        if not len(data):
+            return np.zeros(len(offsets) - 1, dtype="<u4"), np.arange(len(offsets))
+        cut = safe_cuts(data)
+        for m in self.added.finditer(data) if self.added else ():
+            i = int(np.searchsorted(offsets, m.start(), side="right")) - 1
+            cut[offsets[i] : offsets[i + 1]] = False
+        cut[offsets[:-1][offsets[:-1] < len(data)]] = True
+        begins = np.flatnonzero(cut)
+        bounds = np.append(begins, len(data)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+        words = pieces.dictionary.to_pylist()
+        new = [w for w in words if w not in self.known]
+        if new:
+            self.learn(new)
+        at = np.array([self.known[w] for w in words])[pieces.indices.to_numpy()]
+        low = self.first[at]
+        count = self.first[at + 1] - low
+        ends = np.cumsum(count)
+        ids = self.ids[np.repeat(low - ends + count, count) + np.arange(ends[-1])]
+        of_text = np.append(0, ends)[np.searchsorted(begins, offsets)]
+        if new:
+            kept = len(self.known) - sum(len(w) > LONGEST_KEPT for w in new)
+            self.forget(kept if kept <= self.cache_pieces else self.cache_pieces * 7 // 8)
+        return np.insert(ids, of_text[1:], 0), of_text + np.arange(len(of_text))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -159,28 +183,27 @@ def differencing(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]
     return [[i] for i in range(len(lengths))]
 
 
-def _cut(path: str, id_name: str, text_name: str, capacity: int, cache_pieces: int):
+def _cut(path: str, capacity: int, cache_pieces: int):
     def run(batches):
         own = encoder(path, cache_pieces)
-        gc.disable()  # the cache makes no cycles, and walking it is dear
         for batch in batches:
-            ids = batch.column(id_name).to_pylist()
-            texts = batch.column(text_name).to_pylist()
+            texts = batch.column(1).fill_null("").cast(pa.large_binary())
+            _, where, what = texts.buffers()
+            offsets = np.frombuffer(where, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            data = np.frombuffer(what or b"", dtype=np.uint8)
             at = 0
-            while at < len(texts):  # about 2 MB of text at a time
-                upto, size = at, 0
-                while upto < len(texts) and size < 2_000_000:
-                    size += len(texts[upto] or "")
-                    upto += 1
-                rows: list[tuple] = []
-                for d, one in zip(ids[at:upto], own.encode([x or "" for x in texts[at:upto]]), strict=True):
-                    for start in range(0, len(one), capacity):
-                        part = one[start : start + capacity]
-                        rows.append((d, start, len(part), len(one), part.tobytes()))
+            while at < len(texts):
+                upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BATCH_BYTES, side="right")) - 1)
+                ids, bounds = own.encode(offsets[at : upto + 1] - offsets[at], data[offsets[at] : offsets[upto]])
+                tokens = np.diff(bounds)
+                parts = -(-tokens // capacity)
+                doc = np.repeat(np.arange(upto - at), parts)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)) * capacity
+                length = np.minimum(capacity, tokens[doc] - start)
+                cuts = np.append(0, np.cumsum(length) * 4).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(cuts), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, upto - at).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(tokens[doc]), packed], ["doc_id", "start", "length", "doc_tokens", "ids"])
                 at = upto
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "start", "length", "doc_tokens", "ids"])
-        gc.enable()
 
     return run
 
@@ -231,9 +254,10 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """One row per piece: doc_id, start, length, doc_tokens, ids (little-endian unsigned 32-bit), sequence_id, offset.
 
     Null and empty texts are the end id alone. Ids may be null or repeat; each row is packed as a document. Long texts
-    are cut at multiples of the capacity. An empty table gives no pieces. Other columns are not read.
+    are cut at multiples of the capacity. An empty table gives no pieces. Other columns may have any names; they are not
+    read. The tokenizer's added tokens in a text are encoded as ``tokenizers`` does by default.
     """
-    base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    cut = base.mapInArrow(_cut(tokenizer, "doc_id", "text", capacity, cache_pieces), "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary")
+    base = docs.select(F.col(cells(id_col)).cast("bigint").alias("doc_id"), F.col(cells(text_col)).cast("string").alias("text"))
+    cut = base.mapInArrow(_cut(tokenizer, capacity, cache_pieces), "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary")
     dealt = cut.repartition(F.xxhash64("doc_id", "start"))
     return dealt.mapInArrow(_place(capacity, group_rows), PIECES)

@@ -235,8 +235,7 @@ def test_packing(spark, docs):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
-    odd = ["", None, " ", "  a", " a b ", "a  b\n c", "x\n\n  y", "<|endoftext|> hi", "it's 's  ' x", "\x1c a \x1d b", "a\tb \tc", "a b  c", "l1\nl2 x\nl3"]
+    odd = ["", None, " ", "  a", " a b ", "a  b\n c", "x\n\n  y", "<|endoftext|> hi", "a <|endoftext|> b", "x, y.z;<|endoftext|><|endoftext|>\n<|endoftext", "a.b ,c 3.5, ...x é, é., ü.! 1!? a.\u2009b\u00a0, c\u3000. d\u2028", "it's 's  ' x", "\x1c a \x1d b", "a\tb \tc", "a b  c", "l1\nl2 x\nl3"]
     table = docs.select("doc_id", "text").union(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate([*odd, *ODD])], "doc_id bigint, text string"))
     pieces = pack(table, path).collect()
     ids, sequences = defaultdict(list), defaultdict(list)
