@@ -5,29 +5,61 @@
 2. Inverted lists of the retained values. A value held by one class gives no list. Of the others a class enters only
    the lists of its rarest values: two sketches that overlap in at least ``c`` of their values must share one of the
    len - c + 1 rarest of each (prefix filter), so very common values need no lists.
-3. Inside a list (blocks of at most ``block_rows`` classes; longer lists are met block against block) overlaps are
-   counted and the union-sketch estimate drops pairs that are far below the threshold. What is left is kept as a
-   spanning forest of candidate groups, never as all pairs.
-4. Inside a candidate group (again in blocks) exact intersections of the full sets confirm links.
+3. Inside a list overlaps are counted and the union-sketch estimate drops pairs that are far below the threshold. What
+   is left is kept as a spanning forest of candidate groups, never as all pairs.
+4. Inside a candidate group exact intersections of the full sets confirm links.
 5. Connected components of the links.
 
-For sets of at most ``k`` shingles steps 2 and 3 lose nothing. For longer ones a pair at the threshold is missed when
-fewer than ``k // 2`` of its expected 0.8 k values are shared: less than 1 in 1,000,000 at k = 48.
+Lists and groups of up to ``block_rows`` rows (and ``block_bytes`` bytes) are compared in one task. In longer ones every
+row is compared with the smallest one first; rows linked to it are connected, so only rows that aren't are then
+compared with all others, block by block. A large group of near copies so costs in proportion to its size.
+
+For sets of at most ``k`` shingles steps 2 and 3 lose nothing. For longer ones a pair at the threshold is missed with a
+probability of at most ``MISS``: ``least_shared`` is the number of shared values that fewer draws would reach.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U64, connected_components, cut, join_hash, salted_representatives, shuffle_partitions, utf8, word_hashes
+from ._common import U64, cells, connected_components, cut, hidden, join_hash, restored, salted_representatives, shuffle_partitions, utf8, word_hashes
 
 K = 48
 BLOCK_ROWS = 384
+BLOCK_BYTES = 32 << 20
+#: Rows of lists with one smallest class that meet in one task, and the most rows of a task's forest.
+ROUTE_ROWS = 4096
+FOREST_ROWS = 1 << 20
+MISS = 1e-6
+
+
+def least_shared(threshold: float, k: int) -> int:
+    """The largest c for which a pair at the threshold shares fewer than c of k values with a probability of at most MISS."""
+    below, c = 0.0, 0
+    while c <= k:
+        below += math.comb(k, c) * threshold**c * (1 - threshold) ** (k - c)
+        if below > MISS:
+            break
+        c += 1
+    return c
+
+
+def shared_values(n: np.ndarray, threshold: float, k: int) -> np.ndarray:
+    """How many values the sketch of a set of ``n`` shingles shares at least with that of any set that it links with.
+
+    A set of more than k: ``least_shared``. A smaller one shares ``threshold`` of its own values with another small set;
+    of a partner's k values at most (1 - threshold) of the partner's n / threshold are foreign.
+    """
+    c = least_shared(threshold, k)
+    small = np.ceil(threshold * n - 1e-9)
+    larger = np.maximum(c, np.ceil(k - (1 - threshold) * n / threshold - 1e-9))
+    return np.where(n > k, c, np.where(n > threshold * k, np.minimum(small, larger), small)).astype(np.int64)
 
 
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
@@ -51,26 +83,28 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     return out
 
 
+def digest_of(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def _sketch(words: int, k: int):
     def run(batches):
         for batch in batches:
-            ids, texts, at = batch.column(0).to_pylist(), utf8(batch.column(1)), 0
+            texts, at = utf8(batch.column(1)), 0
             while at < len(texts):
                 upto, size = at, 0
                 while upto < len(texts) and size < 4 << 20:
                     size += len(texts[upto])
                     upto += 1
                 sets = shingle_sets(texts[at:upto], words)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[at:upto], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([s[:k].tobytes() for s in sets], pa.binary())],
-                    ["doc_id", "n", "digest", "sketch"],
-                )
+                columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([digest_of(s) for s in sets], pa.binary()), pa.array([s[:k].tobytes() for s in sets], pa.binary()), pa.array([hashlib.md5(x).digest() for x in texts[at:upto]], pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, upto - at), *columns], ["doc_id", "n", "digest", "sketch", "text"])
                 at = upto
 
     return run
 
 
-def _values(k: int):
+def _values(threshold: float, k: int):
     """The values of each sketch, with the length of the prefix that must meet a partner's."""
 
     def run(batches):
@@ -80,8 +114,8 @@ def _values(k: int):
                 continue
             values = np.frombuffer(b"".join(sketch), dtype=np.int64)
             length = np.minimum(n, k)
-            least = np.where(n <= k, np.ceil(0.75 * n - 1e-9), k // 2).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rep, length)), pa.array(values), pa.array(np.repeat(length, length).astype(np.int32)), pa.array(np.repeat(length - least + 1, length).astype(np.int32))], ["rep", "v", "held", "prefix"])
+            prefix = length - shared_values(n, threshold, k) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rep, length)), pa.array(values), pa.array(np.repeat(length, length).astype(np.int32)), pa.array(np.repeat(prefix, length).astype(np.int32))], ["rep", "v", "held", "prefix"])
 
     return run
 
@@ -127,46 +161,48 @@ def overlaps(sets: list[np.ndarray], tile: int = 2048) -> np.ndarray:
     return out
 
 
-def estimated_links(ids: list[int], sizes: np.ndarray, sketches: list[bytes], k: int, threshold: float, forest: Forest) -> None:
-    """Links pairs whose union-sketch estimate doesn't rule out the threshold (five standard errors below it)."""
+def maybe_linked(i: int, j: int, sizes: np.ndarray, own: list[np.ndarray], k: int, threshold: float) -> bool:
+    """Whether the union-sketch estimate of a pair doesn't rule the threshold out; for two whole sets, whether it holds."""
+    shared = np.intersect1d(own[i], own[j], assume_unique=True)
+    if sizes[i] <= k and sizes[j] <= k:
+        return len(shared) >= threshold * (sizes[i] + sizes[j] - len(shared)) - 1e-6
+    both = np.union1d(own[i], own[j])[:k]
+    return np.count_nonzero(shared <= both[-1]) >= least_shared(threshold, k)
+
+
+def estimated_links(sizes: np.ndarray, sketches: list[bytes], k: int, threshold: float, forest: Forest) -> None:
+    """Links pairs that may reach the threshold."""
     own = [np.frombuffer(s, dtype=U64) for s in sketches]
     if len(own) == 2:
         pairs = [(0, 1)]
     else:
-        c = overlaps(own)
-        length = np.array([len(s) for s in own])
-        need = np.where(np.maximum.outer(length, length) < k, 0.75 * np.minimum.outer(length, length), np.minimum(k // 2, 0.75 * np.minimum.outer(length, length)))
-        near = (c >= need - 1e-6) & (np.minimum.outer(sizes, sizes) >= threshold * np.maximum.outer(sizes, sizes) - 1e-6)
+        need = shared_values(sizes, threshold, k)
+        near = (overlaps(own) >= np.maximum.outer(need, need) - 1e-6) & (np.minimum.outer(sizes, sizes) >= threshold * np.maximum.outer(sizes, sizes) - 1e-6)
         pairs = np.argwhere(np.triu(near, 1)).tolist()
     for i, j in pairs:
-        if forest.root(i) == forest.root(j):
-            continue
-        both = np.union1d(own[i], own[j])[:k]
-        hit = len(np.intersect1d(both, np.intersect1d(own[i], own[j], assume_unique=True), assume_unique=True))
-        whole = sizes[i] <= k and sizes[j] <= k and len(both) < k
-        if hit >= (threshold * len(both) - 1e-6 if whole else max(1, threshold * len(both) - 5 * np.sqrt(threshold * (1 - threshold) * len(both)))):
+        if forest.root(i) != forest.root(j) and maybe_linked(i, j, sizes, own, k, threshold):
             forest.link(np.array([[i, j]]))
 
 
-def exact_links(sizes: np.ndarray, sets: list[np.ndarray], percent: int, forest: Forest) -> np.ndarray:
-    """Links pairs with 100 * intersection >= percent * union; the number of links of each row."""
+def exact_links(sizes: np.ndarray, sets: list[np.ndarray], percent: int, forest: Forest) -> None:
+    """Links pairs with 100 * intersection >= percent * union."""
     c = np.rint(overlaps(sets)).astype(np.int64)
     linked = 100 * c >= percent * (sizes[:, None] + sizes[None, :] - c)
     forest.link(np.argwhere(np.triu(linked, 1)))
-    return linked
 
 
-def _stream_groups(keys: list[str], work, schema_names: list[str], kinds: list):
+def _stream_groups(keys: list[str], work):
     """Runs ``work(table)`` for each run of equal keys in a sorted stream of batches, holding one group at a time.
 
-    ``work`` gives edges; those inside a tree that the task already has are left out.
+    ``work`` gives (key, a, b): an edge, or a row ``a`` that has no edge where b is None. Edges inside a tree that the
+    task knows are left out.
     """
 
     def run(batches):
         held: list[pa.RecordBatch] = []
         last = None
         out: list[tuple] = []
-        up: dict[int, int] = {}  # the task's trees: an edge inside one of them says nothing new
+        up: dict[int, int] = {}
 
         def root(x: int) -> int:
             while up.get(x, x) != x:
@@ -176,17 +212,22 @@ def _stream_groups(keys: list[str], work, schema_names: list[str], kinds: list):
 
         def fresh(edges: list[tuple]) -> list[tuple]:
             kept = []
-            for a, b in edges:
+            if len(up) > FOREST_ROWS:  # edges may then be told again, which does no harm
+                up.clear()
+            for key, a, b in edges:
+                if b is None:
+                    kept.append((key, a, b))
+                    continue
                 x, y = root(a), root(b)
                 if x != y:
                     up[max(x, y)] = min(x, y)
-                    kept.append((a, b))
+                    kept.append((key, a, b))
             return kept
 
         def flush():
             nonlocal out
             rows, out = out, []
-            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema_names)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)], ["k", "a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -213,88 +254,137 @@ def _stream_groups(keys: list[str], work, schema_names: list[str], kinds: list):
     return run
 
 
-def _block_pairs(rows: DataFrame, key: str, sizes: DataFrame, block_rows: int, salt_of: str) -> DataFrame:
-    """Rows dealt to pairs of blocks (bi <= bj) of their key; a key of up to ``block_rows`` rows is one block.
+def _edges(rows: DataFrame, sizes: DataFrame, bodies: DataFrame | None, pairs, star) -> DataFrame:
+    """Edges (a, b) among the rows (k, rep, ...) of each key.
 
-    ``sizes`` has (key, blocks). Each row is repeated once per block of its key, so rows of a key with b blocks make b
-    copies and no task holds more than two blocks.
+    ``sizes`` has (k, leader, rows, blocks): the smallest rep, the number of rows and of blocks. ``bodies`` is joined by
+    rep after the rows are dealt out. ``pairs(table)`` compares all rows of a table, ``star(table)`` its first row with the
+    others. Tasks are dealt by the leader, since keys with one leader mostly hold one group, which is then told once; a
+    leader of many rows is spread.
     """
-    dealt = rows.join(sizes, key).withColumn("_b", F.pmod(F.xxhash64(salt_of), F.col("blocks")).cast("int"))
-    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))
-    dealt = dealt.withColumn("_o", F.explode(others))
-    return dealt.withColumn("bi", F.least("_b", "_o")).withColumn("bj", F.greatest("_b", "_o")).drop("_b", "_o", "blocks")
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = K, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, class_id, component_id, kept.
+    spark, parts = rows.sparkSession, shuffle_partitions(rows.sparkSession)
+    whole = lambda df: df if bodies is None else df.join(bodies, "rep")
+    kind = "k bigint, a bigint, b bigint"
+
+    def met(dealt: DataFrame, work) -> DataFrame:
+        keyed = whole(dealt).repartition(parts, "leader", "i", "j").sortWithinPartitions("k", "i", "j", "rep")
+        return keyed.mapInArrow(_stream_groups(["k", "i", "j"], work), kind)
+
+    load = sizes.groupBy("leader").agg(F.ceil(F.sum("rows") / ROUTE_ROWS).alias("spread"))
+    sizes = sizes.join(load, "leader")
+    small = rows.join(sizes.where("blocks = 1"), "k").withColumn("i", F.pmod(F.xxhash64("k"), "spread")).withColumn("j", F.lit(0))
+    edges = met(small.drop("spread", "rows", "blocks"), pairs).select("a", "b")
+    large = sizes.where("blocks > 1")
+    if not large.limit(1).count():
+        return edges
+    dealt = rows.join(large.withColumn("spread", F.greatest("spread", "blocks")), "k")
+    slots = F.when(F.col("rep") == F.col("leader"), F.sequence(F.lit(0), F.col("spread") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), "spread")))
+    stars = cut(met(dealt.withColumn("i", F.explode(slots)).withColumn("j", F.lit(0)).drop("spread", "rows", "blocks"), star))
+    rest = stars.where("b is null").select("k", F.col("a").alias("rep")).distinct()
+    asked = rest.groupBy("k").agg(F.count(F.lit(1)).alias("n_rest")).join(large, "k").withColumn("asks", F.ceil(F.col("blocks") * F.col("n_rest") / F.col("rows")))
+    asked = asked.select("k", "leader", "blocks", "asks")
+    every = rows.join(asked, "k").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("asks") - 1))).withColumn("j", F.pmod(F.xxhash64("rep"), "blocks"))
+    askers = rows.join(rest, ["k", "rep"]).join(asked, "k").withColumn("i", F.pmod(F.xxhash64("rep", F.lit(1)), "asks")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    again = met(every.unionByName(askers).drop("blocks", "asks").distinct(), pairs)
+    return edges.union(stars.where("b is not null").select("a", "b")).union(again.select("a", "b"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = K, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, class_id, component_id, kept, text_md5.
 
     Null and empty texts, and texts of white space, have no shingles and link with nothing. Equal texts are one class.
-    Rows with a null id are returned unlinked with a null component. Repeated rows share a class and a component, and
-    each of them is marked kept when its id is the component's. An empty table gives an empty table.
+    Rows with a null id are returned unlinked with a null component. Ids may repeat: each row is its own document, and is
+    marked kept when its id is the smallest of its component (several rows of that id may be). An empty table gives an
+    empty table. ``percent`` must be high enough for ``k`` (24 and more for 48), or a ValueError is raised.
     """
-    spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketched = base.mapInArrow(_sketch(words, k), "doc_id bigint, n bigint, digest binary, sketch binary")
-    sketched = cut(sketched)  # a few hundred bytes a row; read three times below
+    threshold = percent / 100
+    if not 0 < threshold <= 1 or least_shared(threshold, k) < 1:
+        raise ValueError(f"sketches of {k} values can't find pairs of {percent} per cent")
+    base = docs.select(F.col(cells(id_col)).cast("bigint").alias("doc_id"), F.col(cells(text_col)).cast("string").alias("text"))
+    sketched = base.mapInArrow(_sketch(words, k), "doc_id bigint, n bigint, digest binary, sketch binary, text binary")
+    sketched = cut(sketched.withColumn("row", F.monotonically_increasing_id()))  # a few hundred bytes a row; numbers are fixed from here
     real = sketched.where("n > 0 and doc_id is not null")
-    member = salted_representatives(real.select("doc_id", "n", "digest"), "digest", "doc_id").select("doc_id", "n", F.col("rep").alias("class_id")).distinct()
-    member = cut(member)
-    reps = real.select("doc_id", "n", "sketch").join(member.where("doc_id = class_id").select("doc_id"), "doc_id").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
+    member = salted_representatives(real.select("row", "doc_id", "n", "digest", F.struct("doc_id", "row").alias("lead")), "digest", "lead")
+    member = cut(member.select("row", "doc_id", "n", "digest", F.col("rep.row").alias("rep"), F.col("rep.doc_id").alias("class_id")))
+    classes = member.where("row = rep").select("rep", "doc_id", "n", "digest")
+    reps = real.select(F.col("row").alias("rep"), "n", "sketch").join(classes.select("rep"), "rep")
 
-    values = reps.mapInArrow(_values(k), "rep bigint, v bigint, held int, prefix int")
+    values = reps.mapInArrow(_values(threshold, k), "rep bigint, v bigint, held int, prefix int")
     often = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     held = values.join(often, "v")
     # values of one class only come first in the order by rarity, and take up their part of the prefix
     ranked = held.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"), F.first("held").alias("held"), F.first("prefix").alias("prefix"))
     ranked = ranked.withColumn("take", F.col("prefix") - (F.col("held") - F.size("vs"))).where("take > 0")
-    lists = cut(ranked.select("rep", F.explode(F.slice("vs", 1, F.col("take"))["v"]).alias("v")))
-    blocks = lists.groupBy("v").agg(F.count(F.lit(1)).alias("rows"), F.min("rep").alias("first")).where("rows > 1").select("v", "first", F.ceil(F.col("rows") / block_rows).alias("blocks"))
-    threshold = percent / 100
+    lists = cut(ranked.select("rep", F.explode(F.slice("vs", 1, F.col("take"))["v"]).alias("k")))
+    sizes = lists.groupBy("k").agg(F.count(F.lit(1)).alias("rows"), F.min("rep").alias("leader")).where("rows > 1").withColumn("blocks", F.ceil(F.col("rows") / block_rows))
+
+    def rows_of(table: pa.Table) -> tuple[int, list[int], np.ndarray, pa.Table]:
+        ids, first = np.unique(table["rep"].to_numpy(), return_index=True)
+        table = table.take(pa.array(first))
+        return table["k"][0].as_py(), ids.tolist(), table["n"].to_numpy(), table
 
     def candidates(table: pa.Table) -> list[tuple]:
-        ids = table["rep"].to_pylist()
-        if len(ids) < 2:
-            return []
+        key, ids, n, table = rows_of(table)
         forest = Forest(len(ids))
-        estimated_links(ids, table["n"].to_numpy(), table["sketch"].to_pylist(), k, threshold, forest)
-        return [(ids[i], ids[j]) for i, j in forest.edges]
+        if len(ids) > 1:
+            estimated_links(n, table["sketch"].to_pylist(), k, threshold, forest)
+        return [(key, ids[i], ids[j]) for i, j in forest.edges]
 
-    dealt = _block_pairs(lists, "v", blocks, block_rows, "rep").join(reps, "rep")
-    parts = shuffle_partitions(spark)
-    # lists that begin with one class mostly hold one group: they meet in one task, which links each pair of it once
-    dealt = dealt.repartition(parts, "first", "bi", "bj").sortWithinPartitions("v", "bi", "bj", "rep")
-    edges = dealt.mapInArrow(_stream_groups(["v", "bi", "bj"], candidates, ["a", "b"], [pa.int64(), pa.int64()]), "a bigint, b bigint").distinct()
-    groups = cut(connected_components(edges))  # (id, component): candidate groups
+    def candidate_star(table: pa.Table) -> list[tuple]:
+        key, ids, n, table = rows_of(table)
+        own = [np.frombuffer(s, dtype=U64) for s in table["sketch"].to_pylist()]
+        fits = np.minimum(n, n[0]) >= threshold * np.maximum(n, n[0]) - 1e-6
+        return [(key, ids[0], ids[i]) if fits[i] and maybe_linked(0, i, n, own, k, threshold) else (key, ids[i], None) for i in range(1, len(ids))]
 
-    sets = base.join(groups.withColumnRenamed("id", "doc_id").withColumnRenamed("component", "grp"), "doc_id").dropDuplicates(["doc_id"])
+    edges = _edges(lists, sizes, reps, candidates, candidate_star).distinct()
+    groups = cut(connected_components(edges).join(classes, F.col("id") == F.col("rep")).select("rep", "doc_id", "n", "digest", F.col("component").alias("k")))
 
     def full_sets(batches):
         for batch in batches:
-            texts = utf8(batch.column("text"))
-            got = shingle_sets(texts, words)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grp"), pa.array([len(s) for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], ["rep", "grp", "n", "shingles"])
+            got = shingle_sets(utf8(batch.column("text")), words)
+            same = [i for i, (s, d) in enumerate(zip(got, batch.column("digest").to_pylist(), strict=True)) if digest_of(s) == d]
+            kept = batch.select(["rep", "k", "n"]).take(pa.array(same, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([got[i].tobytes() for i in same], pa.binary())], ["rep", "k", "n", "shingles"])
 
-    sets = sets.select("doc_id", "grp", "text").mapInArrow(full_sets, "rep bigint, grp bigint, n bigint, shingles binary")
-    sized = groups.groupBy(F.col("component").alias("grp")).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("blocks"))
-    met = _block_pairs(sets, "grp", sized, block_rows, "rep").repartition(parts, "grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj", "rep")
+    # a repeated id has several texts: the one of the class is told by its digest
+    texts = base.join(groups, "doc_id").dropDuplicates(["doc_id", "rep", "text"])
+    sets = texts.select("rep", "k", "n", "digest", "text").mapInArrow(full_sets, "rep bigint, k bigint, n bigint, shingles binary")
+    sized = groups.groupBy("k").agg(F.count(F.lit(1)).alias("rows"), F.min("rep").alias("leader"), F.sum("n").alias("total"))
+    sized = sized.select("k", "leader", "rows", F.ceil(F.greatest(F.col("rows") / block_rows, F.col("total") * 8 / block_bytes)).alias("blocks")).where("rows > 1")
 
     def confirmed(table: pa.Table) -> list[tuple]:
-        ids = table["rep"].to_pylist()
-        if len(ids) < 2:
-            return []
+        key, ids, n, table = rows_of(table)
         forest = Forest(len(ids))
-        exact_links(table["n"].to_numpy(), [np.frombuffer(s, dtype=U64) for s in table["shingles"].to_pylist()], percent, forest)
-        return [(ids[i], ids[j]) for i, j in forest.edges]
-
-    links = met.mapInArrow(_stream_groups(["grp", "bi", "bj"], confirmed, ["a", "b"], [pa.int64(), pa.int64()]), "a bigint, b bigint")
-    found = connected_components(links)
-    classes = member.join(found.withColumnRenamed("id", "class_id"), "class_id", "left").select("doc_id", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    rows = sketched.select("doc_id", "n").join(classes, "doc_id", "left")
+        if len(ids) > 1:
+            exact_links(n, [np.frombuffer(s, dtype=U64) for s in table["shingles"].to_pylist()], percent, forest)
+        return [(key, ids[i], ids[j]) for i, j in forest.edges]
+
+    def confirmed_star(table: pa.Table) -> list[tuple]:
+        key, ids, n, table = rows_of(table)
+        own = [np.frombuffer(s, dtype=U64) for s in table["shingles"].to_pylist()]
+        out = []
+        for i in range(1, len(ids)):
+            both = len(np.intersect1d(own[0], own[i], assume_unique=True))
+            out.append((key, ids[0], ids[i]) if 100 * both >= percent * (n[0] + n[i] - both) else (key, ids[i], None))
+        return out
+
+    links = _edges(sets, sized, None, confirmed, confirmed_star)
+    found = connected_components(links)  # (id, component) of representatives' rows
+    named = found.join(classes.select("rep", "doc_id"), F.col("id") == F.col("rep"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    linked = named.join(least, "component").select("rep", "component_id")
+    known = member.join(linked, "rep", "left").select("row", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
+    rows = sketched.select("row", "doc_id", "n", "text").join(known, "row", "left")
     component = F.coalesce("component_id", "doc_id")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), F.hex("text").alias("text_md5"))
 
 
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one of each group of near duplicates, with all their columns."""
-    gone = near_duplicates(docs, words, percent, id_col=id_col, text_col=text_col).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    """The rows of ``docs`` that stay, one of each group of near duplicates, with all their columns (of any names).
+
+    Rows that repeat the id and text of the one that stays, stay too.
+    """
+    plain, (own_id, text) = hidden(docs, id_col, text_col)
+    gone = near_duplicates(plain, words, percent, id_col=own_id, text_col=text).where("not kept").select(F.col("doc_id").alias("_n_id"), F.lower("text_md5").alias("_n_md5")).distinct()
+    same = (F.col(own_id).cast("bigint") == F.col("_n_id")) & (F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")) == F.col("_n_md5"))
+    return restored(plain.join(gone, same, "left_anti"), docs)
