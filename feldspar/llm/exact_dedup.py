@@ -2,12 +2,13 @@
 
 Three stages, each comparing the full normalised content (the digest only routes rows):
 
-1. local: within each task's buffer, equal texts fold into one row that lists its members;
+1. local: within each task's buffer, equal texts of one salt fold into one row that lists its members;
 2. salted: local winners meet by (digest, salt), so a digest that holds a third of all rows is spread;
 3. global: the salts' winners, at most ``salts`` per text, meet by digest.
 
-Decisions travel back over winner ids (global to salted to local to members), never over the hot digest.
-Of equal texts the row with the most code points, then the smallest id, stays.
+The salt is a hash of the row's id, and decisions travel back by digest, salt and content: nothing depends on the
+order in which rows arrive, so a repeated task agrees with the first. Of equal texts the row with the most code points,
+then the smallest id, stays.
 """
 
 from __future__ import annotations
@@ -18,63 +19,44 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ._common import SPACE_CLASS, utf8
+from ._common import SPACE_CLASS, cells, hidden, restored, utf8
 
 DROP = b" \t\n\x0b\x0c\r"
-LOCAL = [("_x_digest", "string"), ("_x_points", "bigint"), ("_x_key", "bigint"), ("_x_members", "array<struct<id:bigint,key:bigint>>")]
-
-
-def _fold(schema: T.StructType, id_col: str, text_col: str, buffer_bytes: int):
-    """Folds equal texts of a buffer; keeps the winner's whole row."""
+LOCAL = ["digest", "points", "members"]
+
+
+def _fold(id_col: str, text_col: str, buffer_bytes: int):
+    """Folds equal texts of a buffer and salt; keeps the winner's whole row, and the members' ids with the winner's first."""
+
+    def folded(table: pa.Table):
+        texts = utf8(table[text_col])
+        ids, salts = table[id_col].to_pylist(), table["salt"].to_pylist()
+        groups: dict[tuple, list[int]] = {}
+        for i, x in enumerate(texts):
+            groups.setdefault((salts[i], x.translate(None, DROP)), []).append(i)
+        points = [len(x) - int(np.count_nonzero((np.frombuffer(x, np.uint8) & 0xC0) == 0x80)) for x in texts]
+        win, members = [], []
+        for rows in groups.values():
+            rows.sort(key=lambda i: (-points[i], ids[i] is None, 0 if ids[i] is None else ids[i], i))
+            win.append(rows[0])
+            members.append([ids[i] for i in rows])
+        digest = [hashlib.sha256(norm).hexdigest() for _, norm in groups]
+        out = table.take(pa.array(win, pa.int64()))
+        for name, values in zip(LOCAL, (pa.array(digest, pa.string()), pa.array([points[i] for i in win], pa.int64()), pa.array(members, pa.list_(table.schema.field(id_col).type))), strict=True):
+            out = out.append_column(name, values)
+        yield from out.to_batches()
 
     def run(batches):
-        from pyspark import TaskContext
-
-        base = TaskContext.get().partitionId() << 40
-        seen = 0
         held, size = [], 0
-
-        def flush():
-            nonlocal held, size
-            if held:
-                table = pa.Table.from_batches(held)
-                held, size = [], 0
-                yield from _folded(table)
-
-        def _folded(table):
-            nonlocal seen
-            texts = utf8(table[text_col])
-            ids = table[id_col].to_pylist()
-            groups: dict[bytes, list[int]] = {}
-            for i, x in enumerate(texts):
-                groups.setdefault(x.translate(None, DROP), []).append(i)
-            keys = range(base + seen, base + seen + len(texts))
-            seen += len(texts)
-            points = [len(x) - int(np.count_nonzero((np.frombuffer(x, np.uint8) & 0xC0) == 0x80)) for x in texts]
-            win, digest, members = [], [], []
-            for norm, rows in groups.items():
-                best = min(rows, key=lambda i: (-points[i], ids[i] is None, ids[i] or 0, i))
-                win.append(best)
-                digest.append(hashlib.sha256(norm).hexdigest())
-                members.append([{"id": ids[i], "key": keys[i]} for i in rows])
-            out = table.take(pa.array(win, pa.int64()))
-            for (name, _), values, kind in zip(
-                LOCAL,
-                (digest, [points[i] for i in win], [keys[i] for i in win], members),
-                (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct([("id", pa.int64()), ("key", pa.int64())]))),
-                strict=True,
-            ):
-                out = out.append_column(name, pa.array(values, kind))
-            yield from out.to_batches()
-
         for batch in batches:
             held.append(batch)
             size += batch.nbytes
             if size >= buffer_bytes:
-                yield from flush()
-        yield from flush()
+                yield from folded(pa.Table.from_batches(held))
+                held, size = [], 0
+        if held:
+            yield from folded(pa.Table.from_batches(held))
 
     return run
 
@@ -83,65 +65,56 @@ def _content(text_col: str) -> Column:
     return F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE_CLASS, "")
 
 
-def _order(id_col: str) -> list[Column]:
-    return [F.desc("_x_points"), F.asc_nulls_last(id_col), F.asc("_x_key")]
-
-
 def _salted(docs: DataFrame, id_col: str, text_col: str, salts: int, buffer_bytes: int) -> DataFrame:
-    spark = docs.sparkSession
-    schema = T.StructType([*docs.schema.fields, *spark.createDataFrame([], ", ".join(f"{n} {t}" for n, t in LOCAL)).schema.fields])
-    local = docs.mapInArrow(_fold(docs.schema, id_col, text_col, buffer_bytes), schema)
-    local = local.withColumn("_x_salt", F.pmod(F.xxhash64("_x_key"), F.lit(salts)))
-    same = Window.partitionBy("_x_digest", "_x_salt", "_x_norm").orderBy(*_order(id_col))
+    """Local winners with their rank and the number of rows of their (digest, salt, content)."""
+    salted = docs.withColumn("salt", F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int"))
+    fields = ", ".join(f"{n} {t}" for n, t in salted.dtypes)
+    local = salted.mapInArrow(_fold(id_col, text_col, buffer_bytes), f"{fields}, digest string, points bigint, members array<{dict(docs.dtypes)[id_col]}>")
+    same = Window.partitionBy("digest", "salt", "norm").orderBy(F.desc("points"), F.asc_nulls_last(id_col))
     whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (
-        local.repartition("_x_digest", "_x_salt")
-        .withColumn("_x_norm", _content(text_col))
-        .withColumn("_x_rank", F.row_number().over(same))
-        .withColumn("_x_salt_key", F.first("_x_key").over(whole))
-        .withColumn("_x_n", F.sum(F.size("_x_members")).over(whole))
-        .drop("_x_norm")
+        local.repartition("digest", "salt")
+        .withColumn("norm", _content(text_col))
+        .withColumn("rank", F.row_number().over(same))
+        .withColumn("rows", F.sum(F.size("members")).over(whole))
+        .withColumn("content", F.xxhash64("norm"))
+        .drop("norm")
     )
 
 
 def _winners(salted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row for each salt's winner, with the key and id of the row that stays and the whole group's size."""
-    whole = Window.partitionBy("_x_digest", "_x_norm").orderBy(*_order(id_col)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    """One row for each salt's winner, with the salt and id of the row that stays and the whole group's size."""
+    whole = Window.partitionBy("digest", "norm").orderBy(F.desc("points"), F.asc_nulls_last(id_col), "salt").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (
-        salted.where("_x_rank = 1")
-        .repartition("_x_digest")
-        .withColumn("_x_norm", _content(text_col))
-        .withColumn("_x_keep_key", F.first("_x_key").over(whole))
-        .withColumn("_x_keep_id", F.first(id_col).over(whole))
-        .withColumn("_x_size", F.sum("_x_n").over(whole))
-        .drop("_x_norm")
+        salted.where("rank = 1")
+        .repartition("digest")
+        .withColumn("norm", _content(text_col))
+        .withColumn("keep_salt", F.first("salt").over(whole))
+        .withColumn("keep_id", F.first(id_col).over(whole))
+        .withColumn("group_size", F.sum("rows").over(whole))
+        .drop("norm")
     )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64, buffer_bytes: int = 32 << 20) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns, and nothing added.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16, buffer_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns (of any names), and nothing added.
 
     Null text counts as empty, and all empty texts are one group. Ids may be null (they lose ties) or repeat (one of
-    equal rows stays). An empty table gives an empty table. Columns may have any name but a leading ``_x_``.
+    equal rows stays). An empty table gives an empty table.
     """
-    won = _winners(_salted(docs, id_col, text_col, salts, buffer_bytes), id_col, text_col)
-    return won.where("_x_key = _x_keep_key").select(*docs.columns)
+    plain, (own_id, text) = hidden(docs, id_col, text_col)
+    return restored(_winners(_salted(plain, own_id, text, salts, buffer_bytes), own_id, text).where("salt = keep_salt"), docs)
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64, buffer_bytes: int = 32 << 20) -> DataFrame:
-    """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256 (of the normalised text).
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16, buffer_bytes: int = 32 << 20) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text).
 
     Of repeated rows (same id and text) exactly one is kept. Both branches below read one shuffle of the local winners.
     """
-    base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(F.col(cells(id_col)).cast("bigint").alias("doc_id"), F.col(cells(text_col)).cast("string").alias("text"))
     salted = _salted(base, "doc_id", "text", salts, buffer_bytes)
-    final = _winners(salted, "doc_id", "text").select(F.col("_x_key").alias("_x_salt_key"), "_x_keep_key", "_x_keep_id", "_x_size")
-    rows = salted.select("_x_salt_key", "_x_digest", "_x_members").join(final, "_x_salt_key")
-    rows = rows.select("_x_keep_key", "_x_keep_id", "_x_size", "_x_digest", F.explode("_x_members").alias("_x_one"))
-    return rows.select(
-        F.col("_x_one.id").alias("doc_id"),
-        F.col("_x_keep_id").alias("keep_id"),
-        F.col("_x_size").alias("group_size"),
-        (F.col("_x_one.key") == F.col("_x_keep_key")).alias("kept"),
-        F.col("_x_digest").alias("text_sha256"),
-    )
+    final = _winners(salted, "doc_id", "text").select("digest", "salt", "content", "keep_salt", "keep_id", "group_size")
+    rows = salted.select("digest", "salt", "content", "rank", "members").join(final, ["digest", "salt", "content"])
+    rows = rows.select("*", F.posexplode("members").alias("place", "doc_id"))
+    kept = (F.col("salt") == F.col("keep_salt")) & (F.col("rank") == 1) & (F.col("place") == 0)
+    return rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"))
