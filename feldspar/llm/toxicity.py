@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U64, mix, utf8, word_hashes
+from ._common import U64, cells, hidden, mix, restored, utf8, word_hashes
 
 #: Frequent function words by language.
 FUNCTION_WORDS = {
@@ -31,7 +31,7 @@ BINS, EDGE = 64, 32
 
 def is_held_out(id_col: str, parts: int):
     """crc32 of the id as text falls into remainder 0."""
-    return (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % parts) == 0
+    return (F.crc32(F.coalesce(F.col(cells(id_col)).cast("string"), F.lit("")).cast("binary")) % parts) == 0
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -92,9 +92,10 @@ class TextCNN:
             e[:, 0] = (odds * (toxic + clean) / (toxic + clean + 4)).astype(np.float32) / 2
             e[0] = 0
 
-    def fit(self, hashes: np.ndarray, starts: np.ndarray, y: np.ndarray, epochs: int = 8, batch: int = 128, rate: float = 0.05) -> None:
+    def fit(self, hashes: np.ndarray, starts: np.ndarray, y: np.ndarray, epochs: int = 8, batch: int = 128, rate: float = 0.05, seeded: bool = True) -> None:
         one, two = rows_of(hashes)
-        self.seed(one, two, starts, y)
+        if seeded:
+            self.seed(one, two, starts, y)
         r = np.random.default_rng(11)
         weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
         grown: dict[str, np.ndarray] = {}
@@ -192,21 +193,21 @@ def pieces(texts: list[bytes], batch_bytes: int):
 
 
 def logit_bins(docs: DataFrame, model: TextCNN, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 4 << 20) -> DataFrame:
-    """(id, _l, _bin) of whole texts: index of the guessed language and the logit's bin."""
+    """(id, lang, bin) of whole texts: index of the guessed language and the logit's bin."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
             bins, langs = [], []
-            for texts in pieces(utf8(batch.column(text_col)), batch_bytes):
+            for texts in pieces(utf8(batch.column("text")), batch_bytes):
                 hashes, starts = features(texts)
                 langs.append(guess_language(hashes, starts))
                 bins.append(np.floor(np.clip(shared.value.logits(hashes, starts), -EDGE, EDGE) * BINS).astype(np.int32))
             if bins:
-                yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(np.concatenate(langs).astype(np.int32)), pa.array(np.concatenate(bins))], [id_col, "_l", "_bin"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.concatenate(langs).astype(np.int32)), pa.array(np.concatenate(bins))], ["id", "lang", "bin"])
 
-    own = docs.select(id_col, text_col)
-    return own.mapInArrow(run, f"`{id_col}` {dict(own.dtypes)[id_col]}, _l int, _bin int")
+    own = docs.select(F.col(cells(id_col)).alias("id"), F.col(cells(text_col)).alias("text"))
+    return own.mapInArrow(run, f"id {dict(own.dtypes)['id']}, lang int, bin int")
 
 
 def threshold(bins: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
@@ -219,12 +220,12 @@ def threshold(bins: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
 
 
 def calibrate(model: TextCNN, docs: DataFrame, own: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 20) -> None:
-    """Sets each language's threshold where F1 on all rows of ``docs`` with a label in ``own`` (id, _y) is best.
+    """Sets each language's threshold where F1 on all rows of ``docs`` with a label in ``own`` (id, y) is best.
 
     Texts are scored where they lie; only ids and bins are joined, and the histogram has a fixed bound (languages x bins
     x labels). Languages with fewer than ``least`` toxic or clean rows take the threshold of all rows.
     """
-    rows = logit_bins(docs, model, id_col, text_col).join(own, id_col).groupBy("_l", "_bin").agg(F.count_if(F.col("_y") == 1).alias("toxic"), F.count_if(F.col("_y") == 0).alias("clean"))
+    rows = logit_bins(docs, model, id_col, text_col).join(own, "id").groupBy("lang", "bin").agg(F.count_if(F.col("y") == 1).alias("toxic"), F.count_if(F.col("y") == 0).alias("clean"))
     got = np.array([tuple(r) for r in rows.collect()], dtype=np.int64).reshape(-1, 4)
     lang, bins, toxic, clean = got.T
     if toxic.sum() and clean.sum():
@@ -235,59 +236,64 @@ def calibrate(model: TextCNN, docs: DataFrame, own: DataFrame, id_col: str = "do
                 model.shift[i] = threshold(bins[at], toxic[at], clean[at])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, sample_bytes: int = 16_384, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", parts: int = 5) -> TextCNN | None:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", parts: int = 5, seeded: bool = True) -> TextCNN | None:
     """Fits on at most ``sample_rows`` labelled rows outside the held-out part; None where one class is missing.
 
-    The sample: half of it from the toxic rows and the rest from the clean ones, lowest hash of the id first, among
-    texts of at most ``sample_bytes`` bytes (a training sample only; scoring reads whole texts). One row in five of it
-    isn't fitted. Thresholds are calibrated on all labelled rows outside the held-out part, whole texts.
+    The sample: half of it from the toxic rows and the rest from the clean ones, lowest hash of the id first, whole
+    texts of any length; the driver holds these rows. One row in five of it isn't fitted. Thresholds are calibrated on
+    all labelled rows outside the held-out part. Without ``seeded`` the network starts from random weights alone.
     """
-    own = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~is_held_out(id_col, parts)).groupBy(id_col).agg(F.max(label_col).alias("_y"))
-    lot = F.xxhash64(F.lit("toxicity"), F.col(id_col))
-    picked = [own.where(F.col("_y") == y).orderBy(lot).limit(sample_rows // 2) for y in (1, 0)]
-    ids = picked[0].union(picked[1])  # at most sample_rows ids
-    short = docs.select(id_col, text_col).where(F.octet_length(F.coalesce(text_col, F.lit(""))) <= sample_bytes)
-    got = short.join(F.broadcast(ids), id_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col("_y").alias("y")).toPandas()
+    ids, y = F.col(cells(id_col)), F.col(cells(label_col))
+    own = labels.where(y.isNotNull() & ids.isNotNull() & ~is_held_out(id_col, parts)).groupBy(ids.alias("id")).agg(F.max(y).alias("y"))
+    lot = F.xxhash64(F.lit("toxicity"), F.col("id"))
+    picked = [own.where(F.col("y") == v).orderBy(lot).limit(sample_rows // 2) for v in (1, 0)]
+    few = F.broadcast(picked[0].union(picked[1]))  # at most sample_rows ids
+    got = docs.select(ids.alias("id"), F.col(cells(text_col)).alias("text")).join(few, "id").dropDuplicates(["id"]).toPandas()
     if got.empty or got["y"].nunique() < 2:
         return None
-    got = got.sort_values(["id", "text"], kind="stable")
-    texts = [(x or "").encode() for x in got["text"]]
-    y = got["y"].to_numpy(dtype=np.float64)
-    hold = np.array([hash_row % 5 == 0 for hash_row in range(len(y))])
+    got = got.sort_values("id", kind="stable")
+    labelled = got["y"].to_numpy(dtype=np.float64)
+    hold = np.arange(len(labelled)) % 5 == 0
     model = TextCNN()
-    fit_on = [t for t, h in zip(texts, hold, strict=True) if not h]
-    hashes, starts = features(fit_on)
-    model.fit(hashes, starts, y[~hold])
+    hashes, starts = features([(x or "").encode() for x, h in zip(got["text"], hold, strict=True) if not h])
+    model.fit(hashes, starts, labelled[~hold], seeded=seeded)
     model.tabulate()
-    calibrate(model, docs.where(F.col(id_col).isNotNull() & ~is_held_out(id_col, parts)), own, id_col, text_col)
+    calibrate(model, docs.where(ids.isNotNull() & ~is_held_out(id_col, parts)), own, id_col, text_col)
     return model
 
 
-def score_toxicity(docs: DataFrame, model: TextCNN | None, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 4 << 20) -> DataFrame:
-    """``docs`` with _t_score, _t_predicted (score of 0.5 or more) and _t_language appended; all other columns pass.
-
-    Null and empty texts are scored as texts without words. Without a model (no labels, or one class only) every score
-    is 0. Ids may be null or repeat. An empty table gives an empty table.
-    """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # fixed size: 2 ** BITS rows a table
+def _scored(plain: DataFrame, text: str, model: TextCNN | None, batch_bytes: int) -> DataFrame:
+    """``plain`` (columns c0, c1, ...) with _t_score, _t_predicted and _t_language."""
+    shared = plain.sparkSession.sparkContext.broadcast(model)  # fixed size: 2 ** BITS rows a table
 
     def run(batches):
         cnn = shared.value
         for batch in batches:
-            texts = utf8(batch.column(text_col))
-            scores, langs = [], []
-            for own in pieces(texts, batch_bytes):
-                if cnn is None:
-                    s, g = np.zeros(len(own)), np.full(len(own), len(LANGUAGES) - 1)
-                else:
-                    s, g = cnn.score(own)
+            scores, langs = [np.zeros(0)], [np.zeros(0, dtype=np.int64)]
+            for own in pieces(utf8(batch.column(text)), batch_bytes):
+                s, g = (np.zeros(len(own)), np.full(len(own), len(LANGUAGES) - 1)) if cnn is None else cnn.score(own)
                 scores.append(s)
                 langs.append(g)
-            s = np.concatenate(scores) if scores else np.zeros(0)
-            g = np.concatenate(langs) if langs else np.zeros(0, dtype=np.int64)
+            s, g = np.concatenate(scores), np.concatenate(langs)
             more = [pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32()), pa.array([LANGUAGES[i] for i in g], pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "_t_score", "_t_predicted", "_t_language"])
 
-    fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return docs.mapInArrow(run, f"{fields}, _t_score double, _t_predicted int, _t_language string")
+    fields = ", ".join(f"{n} {t}" for n, t in plain.dtypes)
+    return plain.mapInArrow(run, f"{fields}, _t_score double, _t_predicted int, _t_language string")
+
+
+def score_toxicity(docs: DataFrame, model: TextCNN | None, text_col: str = "text", batch_bytes: int = 4 << 20) -> DataFrame:
+    """``docs`` with _t_score, _t_predicted (score of 0.5 or more) and _t_language appended; all other columns pass.
+
+    Null and empty texts are scored as texts without words. Without a model (no labels, or one class only) every score
+    is 0. Ids may be null or repeat. An empty table gives an empty table. Columns may have any names: where ``docs`` has
+    one of the three names already, the new column gets an underscore more at its end.
+    """
+    plain, (text,) = hidden(docs, text_col)
+    return restored(_scored(plain, text, model, batch_bytes), docs, _t_score="_t_score", _t_predicted="_t_predicted", _t_language="_t_language")
+
+
+def clean_documents(docs: DataFrame, model: TextCNN | None, text_col: str = "text", batch_bytes: int = 4 << 20) -> DataFrame:
+    """The rows of ``docs`` that aren't predicted to be toxic, with their own columns; cases as in ``score_toxicity``."""
+    plain, (text,) = hidden(docs, text_col)
+    return restored(_scored(plain, text, model, batch_bytes).where("_t_predicted = 0"), docs)
