@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import hidden, restored
+
 #: Rates are compared with inverse tables of at most this many sources inline; more go through a salted join.
 INLINE_SOURCES = 1000
 
@@ -53,25 +55,26 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None, source: str,
     return counts.select("_m_source", "_m_rows", rate.alias("_m_rate")).withColumn("_m_steps", poisson_steps(F.col("_m_rate")))
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = "mix-1", epoch: float = 1.0, id_col: str = "doc_id", source: str = "source", salts: int = 64) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = "mix-1", epoch: float = 1.0, id_col: str = "doc_id", source: str = "source", salts: int = 64, details: bool = True) -> DataFrame:
     """``docs`` with each row repeated by its draw, plus ``replica`` (0, 1, ...), ``rate`` and ``draw``, dealt globally.
 
     Null sources are a source of their own; a null id draws like an empty one; repeated ids draw alike. An empty table
-    gives an empty table. A source that holds a third of all rows is salted in the join with the table of rates.
+    gives an empty table. Columns may have any names: where ``docs`` has one of the three names already, the new column
+    gets an underscore more; without ``details`` none is added. A source that holds a third of all rows is salted in
+    the join with the table of rates.
     """
-    rates = source_rates(docs, weights, source, epoch)
-    salted = docs.withColumn("_m_salt", F.pmod(F.xxhash64(id_col), F.lit(salts)))
-    spread = rates.withColumn("_m_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("_m_salt", F.col("_m_salt").cast("bigint"))
-    few = rates.limit(INLINE_SOURCES + 1).count() <= INLINE_SOURCES
-    on = F.col(source).eqNullSafe(F.col("_m_source"))
-    if few:  # a proven bound: at most INLINE_SOURCES short rows
-        joined = salted.join(F.broadcast(rates), on)
+    plain, (own_id, own_source) = hidden(docs, id_col, source)
+    rates = source_rates(plain, weights, own_source, epoch)
+    on = F.col(own_source).eqNullSafe(F.col("_m_source"))
+    if rates.limit(INLINE_SOURCES + 1).count() <= INLINE_SOURCES:  # a proven bound: at most INLINE_SOURCES short rows
+        joined = plain.join(F.broadcast(rates), on)
     else:
-        spread = spread.withColumnRenamed("_m_salt", "_m_salt2")
-        joined = salted.join(spread, on & (F.col("_m_salt") == F.col("_m_salt2"))).drop("_m_salt2")
-    u = uniform(seed, F.col(id_col))
+        salted = plain.withColumn("_m_salt", F.pmod(F.xxhash64(own_id), F.lit(salts)))
+        spread = rates.withColumn("_m_salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint"))
+        joined = salted.join(spread, on & (F.col("_m_salt") == F.col("_m_salt2")))
+    u = uniform(seed, F.col(own_id))
     draw = F.size(F.filter("_m_steps", lambda c: c <= u))
     copies = joined.withColumn("_m_draw", draw).where("_m_draw > 0").withColumn("_m_replica", F.explode(F.sequence(F.lit(0), F.col("_m_draw") - 1)))
-    order = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("_m_replica").cast("string")))
+    order = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(own_id).cast("string"), F.lit("")), F.col("_m_replica").cast("string")))
     dealt = copies.withColumn("_m_order", order).repartition(F.col("_m_order")).sortWithinPartitions("_m_order")
-    return dealt.select(*docs.columns, F.col("_m_replica").alias("replica"), F.col("_m_rate").alias("rate"), F.col("_m_draw").alias("draw"))
+    return restored(dealt, docs, **({"replica": "_m_replica", "rate": "_m_rate", "draw": "_m_draw"} if details else {}))
