@@ -9,13 +9,13 @@ from feldspar.llm.exact_dedup import exact_dedup
 from feldspar.llm.minhash_dedup import near_dedup
 from feldspar.llm.mixing import mix_sources
 from feldspar.llm.packing import pack
-from feldspar.llm.toxicity import score_toxicity, train
+from feldspar.llm.toxicity import clean_documents, train
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_toxicity(docs, model).where("_t_predicted = 0").select(*docs.columns)
+    return clean_documents(docs, model)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeat by their source's rate; a document that is drawn 0 times goes."""
-    return mix_sources(docs).select(*docs.columns)
+    return mix_sources(docs, details=False)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
