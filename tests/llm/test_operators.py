@@ -107,6 +107,34 @@ def test_near_duplicates(spark, docs, block_rows):
     assert sorted((r.component_id is None, r.kept) for r in nulls) == [(False, True), (True, True), (True, True)]
 
 
+def test_near_duplicates_with_repeated_ids(spark):
+    """One row per row; rows of one id with other texts are documents of their own."""
+    from feldspar.llm.minhash_dedup import near_dedup, near_duplicates
+
+    a, b = "a b c d e f g", "h i j k l m n"
+    docs = frame(spark, [a, a, b, b, a + " h"], [1, 2, 2, 2, 2])
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs, words=4).collect())
+    assert got == [(1, 4, 1, True), (2, 4, 1, False), (2, 4, 2, True), (2, 4, 2, True), (2, 5, 1, False)]
+    assert sorted((r.doc_id, r.text) for r in near_dedup(docs, words=4).collect()) == [(1, a), (2, b), (2, b)]
+
+
+@pytest.mark.parametrize("percent", [30, 50])
+def test_near_duplicates_at_other_thresholds(spark, percent):
+    """Pairs just above a lower threshold are found; a threshold too low for the sketch is refused."""
+    from feldspar.llm.minhash_dedup import near_duplicates
+
+    r, texts = np.random.default_rng(percent), []
+    for i in range(60):
+        n = int(r.integers(20, 400))
+        one = [f"{i}w{j}" for j in range(n)]
+        shared = math.ceil(2 * (percent / 100 + 0.01) * n / (1 + percent / 100 + 0.01)) + 3
+        texts += [" ".join(one), " ".join(one[:shared] + [f"{i}v{j}" for j in range(n - shared)])]
+    got = near_duplicates(frame(spark, texts), words=4, percent=percent).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == near_brute(list(enumerate(texts)), 4, percent)
+    with pytest.raises(ValueError):
+        near_duplicates(frame(spark, texts), percent=20)
+
+
 def test_near_group_larger_than_a_block(spark):
     """A chain of near copies whose ends aren't alike is one component."""
     from feldspar.llm.minhash_dedup import near_duplicates
@@ -131,6 +159,10 @@ def test_toxicity(spark, sf_dir):
     model = train(big, labels)
     rows = score_toxicity(big, model).join(labels, "doc_id").where(is_held_out("doc_id", 5)).collect()
     hit = sum(r._t_predicted and r.toxic for r in rows)
+    plain = train(big, labels, seeded=False)  # the network learns without its head start too, and gains by training
+    raw = score_toxicity(big, plain).join(labels, "doc_id").where(is_held_out("doc_id", 5)).collect()
+    f1 = lambda rs: 2 * sum(r._t_predicted and r.toxic for r in rs) / sum(r._t_predicted + r.toxic for r in rs)
+    assert f1(raw) > 0.85
     assert hit / sum(r.toxic for r in rows) > 0.85
     assert hit / sum(r._t_predicted for r in rows) > 0.85
     odd = score_toxicity(frame(spark, ODD).withColumn("score", F.lit(1)), model).collect()
@@ -140,6 +172,55 @@ def test_toxicity(spark, sf_dir):
     assert score_toxicity(frame(spark, []), model).count() == 0
 
 
+def test_tabulated_scores_are_the_convolution():
+    """Looked-up scores against a plain convolution, word by word."""
+    from feldspar.llm import toxicity as tox
+
+    model = tox.TextCNN(3)
+    model.fit(*tox.features([b"a b c", b"d e f g", b"", b"h a d"]), np.array([0.0, 1, 0, 1]), epochs=2)
+    model.b = np.float32(0.3)
+    texts = [b"", b"a", b"a b", b"d e f g h " * 30, "é ü a-b c".encode()]
+    hashes, starts = tox.features(texts)
+    for i in range(len(texts)):
+        own = hashes[starts[i] : starts[i + 1]]
+        one, two = tox.rows_of(own)
+        x = [model.e[0][a] + model.e[1][b] for a, b in zip(one, two, strict=True)]
+        total = float(model.b)
+        for k, w in enumerate(tox.WIDTHS):
+            for f in range(tox.FILTERS):
+                z = [sum(float(x[p + j] @ model.w[w][j][:, f]) for j in range(w)) + float(model.c[w][f]) for p in range(max(1, len(own) - 2))]
+                total += max(0.0, max(z)) * float(model.o[k * tox.FILTERS + f])
+        assert abs(model.logits(hashes, starts)[i] - total) < 1e-4
+
+
+CLASHES = ["rate", "replica", "draw", "pii_types", "_t_predicted", "_t_score", "kept", "n", "a.b", "c0", "salt", "digest", "members", "rank", "_m_rate", "row", "id", "y"]
+
+
+def test_any_column_names(spark, sf_dir):
+    """Columns of any names pass through all operators that return the rows of their input, and through the stages."""
+    import corpus_pipeline as cp
+    from feldspar.llm.exact_dedup import exact_dedup, exact_groups
+    from feldspar.llm.minhash_dedup import near_dedup, near_duplicates
+    from feldspar.llm.mixing import mix_sources
+    from feldspar.llm.pii import replace_pii
+    from feldspar.llm.toxicity import score_toxicity
+
+    odd = frame(spark, ODD)
+    for name in CLASHES:
+        odd = odd.withColumn(name, F.lit("mine"))
+    for got in (exact_dedup(odd), near_dedup(odd), mix_sources(odd, epoch=9.0), replace_pii(odd), score_toxicity(odd, None)):
+        assert got.columns[: len(odd.columns)] == odd.columns and len({c.lower() for c in got.columns}) == len(got.columns)
+        assert got.toPandas()[CLASHES].eq("mine").all().all() and got.count() > 0
+    assert exact_groups(odd).count() == near_duplicates(odd).count() == len(ODD)
+    for name, stage in cp.STAGES:
+        after = stage(spark, odd, sf_dir)
+        assert name == "packing" or after.columns == odd.columns
+        assert after.count() > 0
+    dotted = odd.withColumnRenamed("doc_id", "my.id").withColumnRenamed("text", "my.text")
+    assert exact_dedup(dotted, "my.id", "my.text").columns == dotted.columns
+    assert near_dedup(dotted, id_col="my.id", text_col="my.text").columns == dotted.columns
+
+
 def exact_brute(rows):
     groups = defaultdict(list)
     for i, (d, t) in enumerate(rows):
