@@ -18,10 +18,12 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where it is unset (tests) one is set here."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local session may leave it unset."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")

@@ -1,9 +1,11 @@
 """WARC archives as a PySpark Python data source.
 
-Reading: files are planned into partitions of bounded bytes; predicates on the record type and other headers are pushed
+Reading: files are planned into partitions of bounded bytes, and large archives written here are split; predicates on the record type and other headers are pushed
 down and decided from the headers alone; the payload of an unwanted record is neither inflated nor decoded. Compressed
 archives are one gzip member a record; members written here carry their compressed length (the ``sl`` extra field of
-the WARC standard's annex), so a reader seeks past them, and other members are inflated to find their end.
+the WARC standard's annex), so a reader seeks past them, and other members are inflated to find their end. Line breaks
+between records are skipped; a Content-Length that is no number is replaced by the record's real length; a record that
+is cut short, or anything that isn't a record, raises a ValueError that names the file and position.
 
 Writing: each task writes one archive of its own name; the driver lists the finished ones in a manifest, so files of
 lost or repeated tasks are never read. Paths are URIs that ``pyarrow.fs`` opens (file, hdfs, s3, gs).
@@ -69,7 +71,7 @@ def _value(head: dict[str, str], column: str):
     got = low.get(FIELDS[column].lower())
     if got is None or not column.endswith("length"):
         return got
-    return int(got)
+    return int(got) if re.fullmatch(r"[0-9]{1,18}", got) else None
 
 
 def _test(f) -> bool:
@@ -106,6 +108,10 @@ def holds(f, head: dict[str, str]) -> bool:
 PUSHED = (IsNotNull, EqualTo, In, StringStartsWith, StringEndsWith, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)
 
 
+#: How a gzip member begins that states its length as written below.
+OWN = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x0c\0sl\x08\0"
+
+
 def _member_length(data: bytes) -> int | None:
     """The compressed length that a gzip member states, if it does."""
     if len(data) < 12 or not data[3] & 4:
@@ -120,12 +126,61 @@ def _member_length(data: bytes) -> int | None:
     return None
 
 
-def records(fs: pyarrow.fs.FileSystem, path: str, wanted, payloads: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """(headers, block) of the wanted records; the block is None where payloads aren't asked for."""
+def first_own(file: pa.NativeFile, size: int, at: int, step: int = 1 << 20) -> int:
+    """Where the first member that states its length begins at or after ``at``; the end of the file where none does."""
+    while at < size:
+        data = file.read_at(min(step + len(OWN), size - at), at)
+        found = data.find(OWN)
+        if found >= 0:
+            return at + found
+        at += step
+    return size
+
+
+def _inside(plain: bytes, path: str, at: int) -> Iterator[tuple[dict[str, str], bytes]]:
+    """All records of an inflated member."""
+    place = 0
+    while True:
+        place += len(plain) - place - len(plain[place:].lstrip(b"\r\n"))
+        if place >= len(plain):
+            return
+        top = plain.find(b"\r\n\r\n", place)
+        if top < 0 or not plain.startswith(b"WARC/", place):
+            raise ValueError(f"{path}: no record in the member at {at}")
+        head = parse_head(plain[place:top])
+        n = _value(head, "content_length")
+        if n is None:
+            n = len(plain) - top - 4 - 4 * plain.endswith(b"\r\n\r\n")
+        if top + 4 + n > len(plain):
+            raise ValueError(f"{path}: a record in the member at {at} is cut short")
+        yield head, plain[top + 4 : top + 4 + n]
+        place = top + 4 + n
+
+
+def _plain_end(file: pa.NativeFile, size: int, at: int, step: int = 1 << 20) -> int:
+    """Where the block that begins at ``at`` ends if its length isn't told: before the next record or the file's end."""
+    mark, begin = b"\r\n\r\nWARC/", at
+    while at < size:
+        found = file.read_at(min(step + len(mark), size - at), at).find(mark)
+        if found >= 0:
+            return at + found
+        at += step
+    return max(begin, size - 4 if file.read_at(min(4, size), max(0, size - 4)) == b"\r\n\r\n" else size)
+
+
+def records(fs: pyarrow.fs.FileSystem, path: str, wanted, payloads: bool, start: int = 0, end: int | None = None) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """(headers, block) of the wanted records; the block is None where payloads aren't asked for.
+
+    With ``start`` and ``end``: from the first own member at or after ``start`` to the last record before the first own
+    member at or after ``end``, so the parts of a file have each record once.
+    """
     with fs.open_input_file(path) as file:
-        size, at = file.size(), 0
+        size = file.size()
+        at = first_own(file, size, start) if start else 0
         while at < size:
             data = file.read_at(min(HEAD, size - at), at)
+            if end is not None and at >= end and data.startswith(OWN):
+                return
             if data[:2] == b"\x1f\x8b":
                 length, inflate = _member_length(data), zlib.decompressobj(31)
                 plain, read = inflate.decompress(data, HEAD), len(data)
@@ -142,34 +197,47 @@ def records(fs: pyarrow.fs.FileSystem, path: str, wanted, payloads: bool) -> Ite
 
                 while b"\r\n\r\n" not in plain and not inflate.eof and more():
                     pass
-                head = parse_head(plain.partition(b"\r\n\r\n")[0])
+                head = parse_head(plain.lstrip(b"\r\n").partition(b"\r\n\r\n")[0])
                 keep = wanted(head)
                 if length is None or (keep and payloads):
                     while not inflate.eof and more():
                         pass
                     if not inflate.eof:
                         raise ValueError(f"{path}: a member at {at} has no end")
+                    found = _inside(plain, path, at)
+                    yield from ((h, b if payloads else None) for h, b in found if wanted(h))
                     length = read - len(inflate.unused_data) if length is None else length
-                if keep:
-                    body = plain.partition(b"\r\n\r\n")[2][: int(_value(head, "content_length") or 0)] if payloads else None
-                    yield head, body
+                elif keep:
+                    yield head, None
+                if at + length > size:
+                    raise ValueError(f"{path}: the member at {at} is cut short")
                 at += length
-            else:
-                while b"\r\n\r\n" not in data and at + len(data) < size:
-                    data += file.read_at(min(HEAD, size - at - len(data)), at + len(data))
-                top = data.partition(b"\r\n\r\n")[0]
-                if not top.strip():
-                    return
-                head = parse_head(top)
-                n = int(_value(head, "content_length") or 0)
-                if wanted(head):
-                    yield head, file.read_at(n, at + len(top) + 4) if payloads else None
-                at += len(top) + 4 + n + 4
+                continue
+            blank = len(data) - len(data.lstrip(b"\r\n"))
+            if blank:
+                at += blank
+                continue
+            while b"\r\n\r\n" not in data and at + len(data) < size:
+                data += file.read_at(min(HEAD, size - at - len(data)), at + len(data))
+            top, found, _ = data.partition(b"\r\n\r\n")
+            if not found or not top.startswith(b"WARC/"):
+                raise ValueError(f"{path}: no record at {at}")
+            head, begin = parse_head(top), at + len(top) + 4
+            n = _value(head, "content_length")
+            if n is None:
+                n = _plain_end(file, size, begin) - begin
+            if begin + n > size:
+                raise ValueError(f"{path}: the record at {at} is cut short")
+            if wanted(head):
+                yield head, file.read_at(n, begin) if payloads else None
+            at = begin + n
 
 
 class Files(InputPartition):
-    def __init__(self, paths: list[str]) -> None:
-        self.paths = paths
+    """(path, start, end) of files and parts of files."""
+
+    def __init__(self, parts: list[tuple[str, int, int | None]]) -> None:
+        self.parts = parts
 
 
 class WarcReader(DataSourceReader):
@@ -199,20 +267,28 @@ class WarcReader(DataSourceReader):
         return sorted((p, n) for p, n in found.items() if re.search(r"\.warc(\.gz)?$", p))
 
     def partitions(self):
+        fs, _ = _fs(self.path)
         out, held, size = [], [], 0
         for path, n in self.files():
+            if n > self.most:
+                with fs.open_input_file(path) as file:
+                    own = file.read_at(len(OWN), 0) == OWN
+                if own:  # its members can be told from any place in the file
+                    ends = [*range(self.most, n, self.most), n]
+                    out += [Files([(path, a, b)]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+                    continue
             if held and size + n > self.most:
                 out.append(Files(held))
                 held, size = [], 0
-            held.append(path)
+            held.append((path, 0, None))
             size += n
         return [*out, Files(held)] if held else out or [Files([])]
 
     def read(self, partition):
         fs, _ = _fs(self.path)
         rows, size = [], 0
-        for path in partition.paths:
-            for head, block in records(fs, path, lambda h: all(holds(f, h) for f in self.filters), self.payloads):
+        for path, start, end in partition.parts:
+            for head, block in records(fs, path, lambda h: all(holds(f, h) for f in self.filters), self.payloads, start, end):
                 payload = block
                 if block is not None and block.startswith(b"HTTP/"):
                     payload = block.partition(b"\r\n\r\n")[2]
@@ -309,9 +385,9 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, payloads: bool = True, partition_bytes: int = 32 << 20) -> DataFrame:
     register(spark)
-    return spark.read.format("warc").option("payload", str(payloads).lower()).load(path)
+    return spark.read.format("warc").option("payload", str(payloads).lower()).option("maxpartitionbytes", partition_bytes).load(path)
 
 
 def _base32(batches):
