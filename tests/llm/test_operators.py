@@ -398,6 +398,37 @@ def test_warc_skips_without_inflating(tmp_path):
     assert [b for _, b in warc.records(pyarrow.fs.LocalFileSystem(), str(tmp_path / "b.warc.gz"), lambda h: True, True)] == [b"abc"] * 2
 
 
+def test_warc_odd_archives(spark, tmp_path):
+    """Blank lines, lengths that are no numbers, many records in one member, records cut short, large archives in parts."""
+    import gzip
+
+    import pyarrow.fs
+
+    from feldspar.llm import warc
+
+    def read(name, data):
+        (tmp_path / name).write_bytes(data)
+        return [(h.get("WARC-Type"), b) for h, b in warc.records(pyarrow.fs.LocalFileSystem(), str(tmp_path / name), lambda h: True, True)]
+
+    a, b = (warc.record({"WARC-Type": t}, body, False) for t, body in (("response", b"abc\r\n\r\nd"), ("metadata", b"")))
+    want = [("response", b"abc\r\n\r\nd"), ("metadata", b"")]
+    assert read("blank.warc", b"\r\n" + a + b"\r\n\r\n" + b + b"\r\n") == want
+    bad = a.replace(b"Content-Length: 8", b"Content-Length: eight")
+    assert read("bad.warc", bad + b) == want and read("bad2.warc", b + bad) == want[::-1]
+    assert read("one.warc.gz", gzip.compress(a + b)) == want and read("bad.warc.gz", gzip.compress(bad)) == want[:1]
+    for name, data in (("cut.warc", a[:-8]), ("cut2.warc", a + b[:20]), ("cut.warc.gz", warc.record({}, b"x" * 99, True)[:-9]), ("junk.warc", a + b"junk")):
+        with pytest.raises(ValueError):
+            read(name, data)
+    folder = tmp_path / "large"
+    folder.mkdir()
+    noise = np.random.default_rng(2)
+    large = b"".join(warc.record({"WARC-Type": "response", "WARC-Record-ID": str(i)}, noise.bytes(500 + i), i % 7 > 0) if i % 7 else gzip.compress(warc.record({"WARC-Type": "response", "WARC-Record-ID": "0"}, b"f", False)) for i in range(1, 300))
+    (folder / "x.warc.gz").write_bytes(large)
+    ids = [r.record_id for r in warc.read_warc(spark, str(folder), partition_bytes=4000).collect()]
+    assert Counter(ids) == Counter(str(i) if i % 7 else "0" for i in range(1, 300))
+    assert warc.read_warc(spark, str(folder), partition_bytes=4000).rdd.getNumPartitions() > 20
+
+
 @pytest.mark.parametrize("part_bytes", [1 << 24, 30_000])
 def test_fingerprints(spark, docs, part_bytes):
     from feldspar.llm.lz_fingerprint import fingerprint, fingerprints, likeness, text_of
