@@ -12,10 +12,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U64, mix, n_parts, text_bytes
+from ._common import U64, cells, mix, n_parts, shuffle_partitions
 
 SLOTS = 64
 LOWEST = -(1 << 63)
@@ -140,19 +141,26 @@ def fingerprint(text: str) -> np.ndarray:
     return signatures([parse_whole(text)])[0]
 
 
+#: Ids of the sample for each range, and the most ranges.
+SAMPLE, MOST_RANGES = 100, 16_384
+
+
 def with_next(docs: DataFrame, id_col: str, text_col: str, part_bytes: int) -> DataFrame:
     """Documents dealt to ranges of ids, each range followed by the first document of the next (the last by the first).
 
     Columns part, borrowed, key, doc_id, text; sorted by the first three and the text within a task. Range bounds are
-    approximate quantiles of the ids; only one short row a range is broadcast.
+    quantiles of a sample of the ids (about ``SAMPLE`` a range, chosen by hash; every document is dealt out). There are
+    at most ``MOST_RANGES`` ranges whatever the input's size (tasks stream through theirs), so what is collected and
+    broadcast, one short row a range, has a fixed bound.
     """
-    from pyspark.ml.feature import Bucketizer
-
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    base = docs.select(F.col(cells(id_col)).cast("bigint").alias("doc_id"), F.coalesce(F.col(cells(text_col)).cast("string"), F.lit("")).alias("text"))
     base = base.withColumn("key", F.coalesce("doc_id", F.lit(LOWEST)))
-    n = n_parts(spark, text_bytes(base), part_bytes)
-    cuts = base.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0] or [0]  # an empty table has none
+    size = base.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
+    n = min(n_parts(spark, size["bytes"] or 0, part_bytes), max(MOST_RANGES, shuffle_partitions(spark)))
+    every = max(1, size["rows"] // (n * SAMPLE))
+    some = base.where(F.pmod(F.xxhash64("key", F.lit("ranges")), F.lit(every)) == 0)
+    cuts = some.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0] or [0]  # an empty table has none
     splits = [-float("inf"), *sorted({float(x) for x in cuts}), float("inf")]
     ranged = Bucketizer(splits=splits, inputCol="_f", outputCol="_p").transform(base.withColumn("_f", F.col("key").cast("double"))).withColumn("part", F.col("_p").cast("int")).drop("_f", "_p")
     firsts = ranged.groupBy("part").agg(F.min("key").alias("first")).collect()  # one row a range
@@ -163,11 +171,11 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, part_bytes: int) -> D
     to = F.array(F.struct(F.col("part").alias("p"), F.lit(0).alias("b")))
     to = F.when(F.col("key") == F.col("first"), F.concat(to, F.array(F.struct(F.col("lender").alias("p"), F.lit(1).alias("b"))))).otherwise(to)
     rows = rows.withColumn("_to", F.explode(to)).select(F.col("_to.p").alias("part"), F.col("_to.b").alias("borrowed"), "key", "doc_id", "text")
-    return rows.repartition(n, "part").sortWithinPartitions("part", "borrowed", "key", "text")
+    return rows.repartitionById(n, F.col("part")).sortWithinPartitions("part", "borrowed", "key", "text")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 12 << 20) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_chars, edited_text_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """One row per row of ``docs``: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The next document is the one with the next id; rows with one id are in order of their texts, null ids come first,
     and after the last comes the first. Null texts are empty; an empty text's fingerprint is an empty string. An empty
