@@ -2,8 +2,10 @@
 
 Documents are dealt to blocks of bounded bytes by the hash of their id; this is the only time texts are shuffled, and
 all later steps read that one shuffle again. A block sends each bucket the keys that fall to it as packed arrays, the
-bucket compares what all blocks sent, and answers each block in the order it sent. Blocks and buckets both grow with
-the input, so neither outgrows a task; a key that is frequent everywhere arrives once per block.
+bucket compares what all blocks sent, and answers each block in the order it sent. A key that is frequent everywhere
+arrives once per block. There are as many buckets as blocks, each a task's work of its own, and a message for each pair;
+so that messages stay in proportion to the input, blocks grow with its square root, from 8 MB up to 110 GB of input to
+256 MB at 100 TB, where a message holds about a kilobyte.
 """
 
 from __future__ import annotations
@@ -15,9 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import n_parts, text_bytes
+from ._common import cells, n_parts, text_bytes
 
-BLOCK_BYTES = 8 << 20
+#: The smallest block, the largest that grows by itself, and the input's bytes for each squared block byte.
+BLOCK_BYTES, MOST_BYTES, GROWTH = 8 << 20, 256 << 20, 640
 MESSAGE = "bucket int, block int, kind int, body binary"
 MESSAGE_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("body", pa.binary())])
 #: Kinds of messages: keys to compare, and what a block keeps for its next step.
@@ -29,11 +32,20 @@ def messages(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, MESSAGE_ARROW, strict=True)], schema=MESSAGE_ARROW)
 
 
-def document_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, *more) -> tuple[DataFrame, int]:
-    """(doc_id, text, block, ...) and the number of blocks; rows with one id share a block, null ids too."""
-    base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *more)
-    n = n_parts(docs.sparkSession, text_bytes(base), block_bytes)
-    return base.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")), n
+def grown(total: int, least: int = BLOCK_BYTES) -> int:
+    """Bytes of a block for an input of ``total`` bytes."""
+    return max(least, min(MOST_BYTES, int((total * GROWTH) ** 0.5)))
+
+
+def document_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int | None, *more) -> tuple[DataFrame, int]:
+    """(doc_id, text, block, ...), dealt to a partition a block, and the number of blocks.
+
+    Rows with one id share a block, null ids too. Without ``block_bytes`` blocks grow with the input.
+    """
+    base = docs.select(F.col(cells(id_col)).cast("bigint").alias("doc_id"), F.coalesce(F.col(cells(text_col)).cast("string"), F.lit("")).alias("text"), *more)
+    total = text_bytes(base)
+    n = n_parts(docs.sparkSession, total, block_bytes or grown(total))
+    return base.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).repartition(n, "block"), n
 
 
 def ordered(table: pa.Table) -> tuple[list, list[bytes]]:
@@ -44,8 +56,8 @@ def ordered(table: pa.Table) -> tuple[list, list[bytes]]:
     return [ids[i] for i in order], [texts[i] for i in order]
 
 
-def met(sent: DataFrame, compare: Callable[[int, list], list[np.ndarray]], decode: Callable[[int, bytes], object]) -> DataFrame:
-    """Answers to messages, bucket by bucket; state messages pass.
+def met(sent: DataFrame, n: int, compare: Callable[[int, list], list[np.ndarray]], decode: Callable[[int, bytes], object]) -> DataFrame:
+    """Answers to messages, bucket by bucket of ``n``; state messages pass.
 
     ``compare(kind, decoded)`` gets what the blocks sent of one kind, and returns one array for each.
     """
@@ -59,7 +71,7 @@ def met(sent: DataFrame, compare: Callable[[int, list], list[np.ndarray]], decod
             out += [(r["bucket"], r["block"], kind, a.tobytes()) for r, a in zip(own, answers, strict=True)]
         return messages(out)
 
-    return sent.groupBy("bucket").applyInArrow(run, MESSAGE)
+    return sent.repartition(n, "bucket").groupBy("bucket").applyInArrow(run, MESSAGE)
 
 
 def packed_counts(counts: np.ndarray) -> bytes:

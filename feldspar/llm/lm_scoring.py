@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._blocks import BLOCK_BYTES, MESSAGE, document_blocks, messages, met, packed_counts, unpacked_counts
+from ._blocks import MESSAGE, document_blocks, messages, met, packed_counts, unpacked_counts
 from ._common import U64, by_bucket, join_hash, mix, word_hashes
 from .toxicity import is_held_out
 
@@ -155,7 +155,7 @@ def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return keys, counts
 
 
-def score_texts(docs: DataFrame, parts: int = 10, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_texts(docs: DataFrame, parts: int = 10, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Trained on rows whose crc32 of the id as text has a remainder other than 0. Null and empty texts are one end token.
@@ -211,7 +211,7 @@ def score_texts(docs: DataFrame, parts: int = 10, id_col: str = "doc_id", text_c
         )
 
     keyed = blocks.groupBy("block")
-    answers = met(keyed.applyInArrow(send, MESSAGE), _sum, _decoded)
+    answers = met(keyed.applyInArrow(send, MESSAGE), n, _sum, _decoded)
     held = "g int, k binary, c binary"
     counted = keyed.cogroup(answers.groupBy("block")).applyInArrow(histogram, held)
     weights = counted.groupBy("g").applyInArrow(merged, held).groupBy("g").applyInArrow(weigh, "body binary")

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._blocks import BLOCK_BYTES, KEYS, MESSAGE, STATE, document_blocks, messages, met, ordered
+from ._blocks import KEYS, MESSAGE, STATE, document_blocks, messages, met, ordered
 from ._common import U64, by_bucket, join_hash, mix, word_hashes
 
 FULL = np.dtype([("h", "<u8"), ("g", "<u4"), ("d", "<i8")])
@@ -152,7 +152,7 @@ def _full_keys(b: Block, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     return first, inverse, records
 
 
-def substring_dedup(docs: DataFrame, window: int = 20, start: int = 5, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 20, start: int = 5, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept (the words left, joined by one space).
 
     ``window`` must be ``start`` doubled some times. Null, empty and short texts lose nothing. Ids may be null (first
@@ -213,8 +213,8 @@ def substring_dedup(docs: DataFrame, window: int = 20, start: int = 5, id_col: s
         return pa.table({"doc_id": pa.array(b.ids, pa.int64()), "n_words": pa.array(b.counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
 
     keyed = blocks.groupBy("block")
-    answers = met(keyed.applyInArrow(first, MESSAGE), _seen_elsewhere, _decoded)
+    answers = met(keyed.applyInArrow(first, MESSAGE), n, _seen_elsewhere, _decoded)
     for level in range(1, levels + 1):
         sent = keyed.cogroup(answers.groupBy("block")).applyInArrow(extend(level), MESSAGE)
-        answers = met(sent, _seen_elsewhere, _decoded)
+        answers = met(sent, n, _seen_elsewhere, _decoded)
     return keyed.cogroup(answers.groupBy("block")).applyInArrow(last, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
