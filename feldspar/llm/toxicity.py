@@ -236,7 +236,7 @@ def calibrate(model: TextCNN, docs: DataFrame, own: DataFrame, id_col: str = "do
                 model.shift[i] = threshold(bins[at], toxic[at], clean[at])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", parts: int = 5, seeded: bool = True) -> TextCNN | None:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", parts: int = 5, seeded: bool = True, epochs: int = 8) -> TextCNN | None:
     """Fits on at most ``sample_rows`` labelled rows outside the held-out part; None where one class is missing.
 
     The sample: half of it from the toxic rows and the rest from the clean ones, lowest hash of the id first, whole
@@ -256,7 +256,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, id_col: s
     hold = np.arange(len(labelled)) % 5 == 0
     model = TextCNN()
     hashes, starts = features([(x or "").encode() for x, h in zip(got["text"], hold, strict=True) if not h])
-    model.fit(hashes, starts, labelled[~hold], seeded=seeded)
+    model.fit(hashes, starts, labelled[~hold], epochs, seeded=seeded)
     model.tabulate()
     calibrate(model, docs.where(ids.isNotNull() & ~is_held_out(id_col, parts)), own, id_col, text_col)
     return model
