@@ -92,7 +92,7 @@ class TextCNN:
             e[:, 0] = (odds * (toxic + clean) / (toxic + clean + 4)).astype(np.float32) / 2
             e[0] = 0
 
-    def fit(self, hashes: np.ndarray, starts: np.ndarray, y: np.ndarray, epochs: int = 8, batch: int = 128, rate: float = 0.05, seeded: bool = True) -> None:
+    def fit(self, hashes: np.ndarray, starts: np.ndarray, y: np.ndarray, epochs: int = 8, batch: int = 128, rate: float = 0.05, seeded: bool = True, drop: float = 0.5) -> None:
         one, two = rows_of(hashes)
         if seeded:
             self.seed(one, two, starts, y)
@@ -107,7 +107,10 @@ class TextCNN:
             acc[at] += g * g
             value[at] -= rate * g / np.sqrt(acc[at])
 
+        words = (one, two)
         for _ in range(epochs):
+            gone = r.random(len(hashes)) < drop  # words left out of this round, so that no single one decides
+            one, two = (np.where(gone, 0, x) for x in words)
             for docs in np.array_split(r.permutation(len(y)), max(1, len(y) // batch)):
                 best, pooled = np.zeros((len(docs), len(self.o)), dtype=np.int64), np.zeros((len(docs), len(self.o)), dtype=np.float32)
                 for k, d in enumerate(docs):
