@@ -10,9 +10,10 @@
 4. Inside a candidate group exact intersections of the full sets confirm links.
 5. Connected components of the links.
 
-Lists and groups of up to ``block_rows`` rows (and ``block_bytes`` bytes) are compared in one task. In longer ones every
-row is compared with the smallest one first; rows linked to it are connected, so only rows that aren't are then
-compared with all others, block by block. A large group of near copies so costs in proportion to its size.
+Lists and groups of up to ``block_rows`` rows (and ``block_bytes`` bytes) are compared in one task; longer ones are met
+block against block, so no task holds more than two blocks, and only spanning edges leave a task. A list or group of n
+classes that differ is read n / block_rows times: near copies that number in the millions stay quadratic in work, though
+not in rows that leave tasks. Equal texts are one class and cost nothing.
 
 For sets of at most ``k`` shingles steps 2 and 3 lose nothing. For longer ones a pair at the threshold is missed with a
 probability of at most ``MISS``: ``least_shared`` is the number of shared values that fewer draws would reach.
@@ -194,8 +195,7 @@ def exact_links(sizes: np.ndarray, sets: list[np.ndarray], percent: int, forest:
 def _stream_groups(keys: list[str], work):
     """Runs ``work(table)`` for each run of equal keys in a sorted stream of batches, holding one group at a time.
 
-    ``work`` gives (key, a, b): an edge, or a row ``a`` that has no edge where b is None. Edges inside a tree that the
-    task knows are left out.
+    ``work`` gives edges; those inside a tree that the task knows are left out.
     """
 
     def run(batches):
@@ -214,20 +214,17 @@ def _stream_groups(keys: list[str], work):
             kept = []
             if len(up) > FOREST_ROWS:  # edges may then be told again, which does no harm
                 up.clear()
-            for key, a, b in edges:
-                if b is None:
-                    kept.append((key, a, b))
-                    continue
+            for a, b in edges:
                 x, y = root(a), root(b)
                 if x != y:
                     up[max(x, y)] = min(x, y)
-                    kept.append((key, a, b))
+                    kept.append((a, b))
             return kept
 
         def flush():
             nonlocal out
             rows, out = out, []
-            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)], ["k", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -254,39 +251,22 @@ def _stream_groups(keys: list[str], work):
     return run
 
 
-def _edges(rows: DataFrame, sizes: DataFrame, bodies: DataFrame | None, pairs, star) -> DataFrame:
+def _edges(rows: DataFrame, sizes: DataFrame, bodies: DataFrame | None, pairs) -> DataFrame:
     """Edges (a, b) among the rows (k, rep, ...) of each key.
 
-    ``sizes`` has (k, leader, rows, blocks): the smallest rep, the number of rows and of blocks. ``bodies`` is joined by
-    rep after the rows are dealt out. ``pairs(table)`` compares all rows of a table, ``star(table)`` its first row with the
-    others. Tasks are dealt by the leader, since keys with one leader mostly hold one group, which is then told once; a
-    leader of many rows is spread.
+    ``sizes`` has (k, leader, rows, blocks): the smallest rep, the number of rows and of blocks. Each row is repeated once
+    per block of its key. ``bodies`` is joined by rep after the rows are dealt out. ``pairs(table)`` compares all rows of a
+    table. Tasks are dealt by the leader, since keys with one leader mostly hold one group, which is then told once; the
+    keys of a leader with many rows are spread.
     """
-    spark, parts = rows.sparkSession, shuffle_partitions(rows.sparkSession)
-    whole = lambda df: df if bodies is None else df.join(bodies, "rep")
-    kind = "k bigint, a bigint, b bigint"
-
-    def met(dealt: DataFrame, work) -> DataFrame:
-        keyed = whole(dealt).repartition(parts, "leader", "i", "j").sortWithinPartitions("k", "i", "j", "rep")
-        return keyed.mapInArrow(_stream_groups(["k", "i", "j"], work), kind)
-
-    load = sizes.groupBy("leader").agg(F.ceil(F.sum("rows") / ROUTE_ROWS).alias("spread"))
-    sizes = sizes.join(load, "leader")
-    small = rows.join(sizes.where("blocks = 1"), "k").withColumn("i", F.pmod(F.xxhash64("k"), "spread")).withColumn("j", F.lit(0))
-    edges = met(small.drop("spread", "rows", "blocks"), pairs).select("a", "b")
-    large = sizes.where("blocks > 1")
-    if not large.limit(1).count():
-        return edges
-    dealt = rows.join(large.withColumn("spread", F.greatest("spread", "blocks")), "k")
-    slots = F.when(F.col("rep") == F.col("leader"), F.sequence(F.lit(0), F.col("spread") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), "spread")))
-    stars = cut(met(dealt.withColumn("i", F.explode(slots)).withColumn("j", F.lit(0)).drop("spread", "rows", "blocks"), star))
-    rest = stars.where("b is null").select("k", F.col("a").alias("rep")).distinct()
-    asked = rest.groupBy("k").agg(F.count(F.lit(1)).alias("n_rest")).join(large, "k").withColumn("asks", F.ceil(F.col("blocks") * F.col("n_rest") / F.col("rows")))
-    asked = asked.select("k", "leader", "blocks", "asks")
-    every = rows.join(asked, "k").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("asks") - 1))).withColumn("j", F.pmod(F.xxhash64("rep"), "blocks"))
-    askers = rows.join(rest, ["k", "rep"]).join(asked, "k").withColumn("i", F.pmod(F.xxhash64("rep", F.lit(1)), "asks")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    again = met(every.unionByName(askers).drop("blocks", "asks").distinct(), pairs)
-    return edges.union(stars.where("b is not null").select("a", "b")).union(again.select("a", "b"))
+    load = sizes.groupBy("leader").agg(F.ceil(F.sum(F.col("rows") * F.col("blocks")) / ROUTE_ROWS).alias("spread"))
+    dealt = rows.join(sizes.join(load, "leader"), "k").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks")).withColumn("slot", F.pmod(F.xxhash64("k"), "spread"))
+    others = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+    dealt = dealt.withColumn("other", F.explode(others)).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    dealt = dealt.drop("own", "other", "rows", "blocks", "spread")
+    dealt = dealt if bodies is None else dealt.join(bodies, "rep")
+    keyed = dealt.repartition(shuffle_partitions(rows.sparkSession), "leader", "slot", "i", "j").sortWithinPartitions("k", "i", "j", "rep")
+    return keyed.mapInArrow(_stream_groups(["k", "i", "j"], pairs), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = K, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -318,25 +298,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     lists = cut(ranked.select("rep", F.explode(F.slice("vs", 1, F.col("take"))["v"]).alias("k")))
     sizes = lists.groupBy("k").agg(F.count(F.lit(1)).alias("rows"), F.min("rep").alias("leader")).where("rows > 1").withColumn("blocks", F.ceil(F.col("rows") / block_rows))
 
-    def rows_of(table: pa.Table) -> tuple[int, list[int], np.ndarray, pa.Table]:
-        ids, first = np.unique(table["rep"].to_numpy(), return_index=True)
-        table = table.take(pa.array(first))
-        return table["k"][0].as_py(), ids.tolist(), table["n"].to_numpy(), table
-
     def candidates(table: pa.Table) -> list[tuple]:
-        key, ids, n, table = rows_of(table)
+        ids, n = table["rep"].to_pylist(), table["n"].to_numpy()
         forest = Forest(len(ids))
         if len(ids) > 1:
             estimated_links(n, table["sketch"].to_pylist(), k, threshold, forest)
-        return [(key, ids[i], ids[j]) for i, j in forest.edges]
-
-    def candidate_star(table: pa.Table) -> list[tuple]:
-        key, ids, n, table = rows_of(table)
-        own = [np.frombuffer(s, dtype=U64) for s in table["sketch"].to_pylist()]
-        fits = np.minimum(n, n[0]) >= threshold * np.maximum(n, n[0]) - 1e-6
-        return [(key, ids[0], ids[i]) if fits[i] and maybe_linked(0, i, n, own, k, threshold) else (key, ids[i], None) for i in range(1, len(ids))]
+        return [(ids[i], ids[j]) for i, j in forest.edges]
 
-    edges = _edges(lists, sizes, reps, candidates, candidate_star).distinct()
+    edges = _edges(lists, sizes, reps, candidates).distinct()
     groups = cut(connected_components(edges).join(classes, F.col("id") == F.col("rep")).select("rep", "doc_id", "n", "digest", F.col("component").alias("k")))
 
     def full_sets(batches):
@@ -353,22 +322,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     sized = sized.select("k", "leader", "rows", F.ceil(F.greatest(F.col("rows") / block_rows, F.col("total") * 8 / block_bytes)).alias("blocks")).where("rows > 1")
 
     def confirmed(table: pa.Table) -> list[tuple]:
-        key, ids, n, table = rows_of(table)
+        ids, n = table["rep"].to_pylist(), table["n"].to_numpy()
         forest = Forest(len(ids))
         if len(ids) > 1:
             exact_links(n, [np.frombuffer(s, dtype=U64) for s in table["shingles"].to_pylist()], percent, forest)
-        return [(key, ids[i], ids[j]) for i, j in forest.edges]
-
-    def confirmed_star(table: pa.Table) -> list[tuple]:
-        key, ids, n, table = rows_of(table)
-        own = [np.frombuffer(s, dtype=U64) for s in table["shingles"].to_pylist()]
-        out = []
-        for i in range(1, len(ids)):
-            both = len(np.intersect1d(own[0], own[i], assume_unique=True))
-            out.append((key, ids[0], ids[i]) if 100 * both >= percent * (n[0] + n[i] - both) else (key, ids[i], None))
-        return out
-
-    links = _edges(sets, sized, None, confirmed, confirmed_star)
+        return [(ids[i], ids[j]) for i, j in forest.edges]
+
+    links = _edges(sets, sized, None, confirmed)
     found = connected_components(links)  # (id, component) of representatives' rows
     named = found.join(classes.select("rep", "doc_id"), F.col("id") == F.col("rep"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
