@@ -77,7 +77,8 @@ def _salted(docs: DataFrame, id_col: str, text_col: str, salts: int, buffer_byte
         .withColumn("norm", _content(text_col))
         .withColumn("rank", F.row_number().over(same))
         .withColumn("rows", F.sum(F.size("members")).over(whole))
-        .withColumn("content", F.xxhash64("norm"))
+        # never null, so that no filter on it goes below the exchange and parts the two plans that read it
+        .withColumn("group", F.concat_ws(":", "digest", "salt", F.xxhash64("norm")))
         .drop("norm")
     )
 
@@ -113,8 +114,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     base = docs.select(F.col(cells(id_col)).cast("bigint").alias("doc_id"), F.col(cells(text_col)).cast("string").alias("text"))
     salted = _salted(base, "doc_id", "text", salts, buffer_bytes)
-    final = _winners(salted, "doc_id", "text").select("digest", "salt", "content", "keep_salt", "keep_id", "group_size")
-    rows = salted.select("digest", "salt", "content", "rank", "members").join(final, ["digest", "salt", "content"])
+    final = _winners(salted, "doc_id", "text").select("group", "keep_salt", "keep_id", "group_size")
+    rows = salted.select("group", "salt", "rank", "members").join(final, "group")
     rows = rows.select("*", F.posexplode("members").alias("place", "doc_id"))
     kept = (F.col("salt") == F.col("keep_salt")) & (F.col("rank") == 1) & (F.col("place") == 0)
-    return rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"))
+    return rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.substring("group", 1, 64).alias("text_sha256"))
