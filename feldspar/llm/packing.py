@@ -22,10 +22,10 @@ from ._common import cells
 CAPACITY = 1024
 GROUP = 192
 #: Most pieces that a Python worker keeps between batches (about 200 bytes each); more cost memory and save encoding.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 250_000
 #: Pieces of more bytes than this are encoded anew in each batch.
 LONGEST_KEPT = 64
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 3 << 20
 PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary, sequence_id bigint, offset bigint"
 
 #: White space in UTF-8, single bytes and longer ones.
