@@ -107,7 +107,7 @@ class TextCNN:
             acc[at] += g * g
             value[at] -= rate * g / np.sqrt(acc[at])
 
-        words = (one, two)
+        words = (one.astype(np.int32), two.astype(np.int32))
         for _ in range(epochs):
             gone = r.random(len(hashes)) < drop  # words left out of this round, so that no single one decides
             one, two = (np.where(gone, 0, x) for x in words)
