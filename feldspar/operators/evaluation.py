@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .search import small
+
 Z = 1.959963984540054
 
 
@@ -19,10 +21,15 @@ def wilson(successes: Column, n: Column) -> tuple[Column, Column]:
 
 
 def rate_table(scores: DataFrame, by: str) -> DataFrame:
-    """Items, passes, rate with its interval, and the failing items, per bucket."""
-    got = scores.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").cast("bigint").alias("passed"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("value") < 1, F.col("question_id")))), lambda x: x.cast("string")), ",").alias("failing"))
+    """Items, passes, and the rate with its interval, per bucket."""
+    got = scores.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").cast("bigint").alias("passed"))
     low, high = wilson(F.col("passed"), F.col("n"))
-    return got.select(by, "n", "passed", F.round(F.col("passed") / F.col("n"), 6).alias("rate"), low.alias("low"), high.alias("high"), "failing")
+    return got.select(by, "n", "passed", F.round(F.col("passed") / F.col("n"), 6).alias("rate"), low.alias("low"), high.alias("high"))
+
+
+def failing_items(scores: DataFrame, by: str) -> DataFrame:
+    """The failing items of each bucket, a row each: a bucket may have any number of them."""
+    return scores.where("value < 1").select(by, "question_id")
 
 
 def item_verdicts(scores: DataFrame) -> DataFrame:
@@ -57,6 +64,26 @@ def nearest_rank(values: Column, percent: int) -> Column:
     return F.element_at(F.array_sort(values), F.ceil(F.lit(percent) / 100 * F.size(values)).cast("int"))
 
 
+def percentiles(rows: DataFrame, by: str, value: str, percents: list[int], ranges: int = 64) -> DataFrame:
+    """(by, median, p<percent>...): the interpolated median and nearest ranks, k = ceil(percent / 100 * n), per group.
+
+    Equal values are counted before the shuffle. Each group's values lie in ``ranges`` ranges of about equal counts,
+    ranked a range at a time, so that no task sorts a group. Ranges are only a matter of balance; ranks are exact.
+    """
+    own = rows.where(F.col(value).isNotNull()).select(F.col(by).alias("_by"), F.col(value).alias("_v"))
+    cuts = own.groupBy(F.col("_by").alias("_b")).agg(F.percentile_approx("_v", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("_cuts"))
+    counts = own.groupBy("_by", "_v").agg(F.count(F.lit(1)).alias("_c")).join(small(cuts), F.col("_by").eqNullSafe(F.col("_b")))
+    counts = counts.select("_by", "_v", "_c", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_r"))
+    group = Window.partitionBy("_by")
+    sums = counts.groupBy("_by", "_r").agg(F.sum("_c").alias("_s"))
+    ahead = sums.select(F.col("_by").alias("_b"), F.col("_r").alias("_q"), (F.sum("_s").over(group.orderBy("_r")) - F.col("_s")).alias("_before"), F.sum("_s").over(group).alias("_n"))
+    within = F.sum("_c").over(Window.partitionBy("_by", "_r").orderBy("_v"))
+    ranked = counts.withColumn("_w", within).join(ahead, F.col("_by").eqNullSafe(F.col("_b")) & (F.col("_r") == F.col("_q"))).withColumn("_hi", F.col("_before") + F.col("_w"))
+    at = lambda k: F.max(F.when((F.col("_hi") - F.col("_c") < k) & (k <= F.col("_hi")), F.col("_v")))
+    low, high = at(F.floor((F.col("_n") + 1) / 2)), at(F.floor(F.col("_n") / 2) + 1)
+    return ranked.groupBy(F.col("_by").alias(by)).agg((0.5 * low + 0.5 * high).alias("median"), *[at(F.ceil(F.lit(p) * F.col("_n") / 100)).alias(f"p{p}") for p in percents])
+
+
 def payload_health(ranked: DataFrame, epsilon: float = 0.005) -> DataFrame:
     """Per query: whether the top two tie, their margin, and the share of repeated contents among the results."""
     nxt = F.lead("score").over(Window.partitionBy("query_id").orderBy("rank"))

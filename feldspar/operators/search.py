@@ -8,8 +8,12 @@ broadcast after a check of its size; in a larger set blocks of ``QUERY_BLOCK`` q
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fusion constant, arm and pool sizes, cap of merged pools; a block of chunks holds many times the arm of
 #: each source, so that most pairs are ranked out before the shuffle.
@@ -30,37 +34,78 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def dot(x: Column, y: Column) -> Column:
-    return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-
-def norm(x: Column) -> Column:
-    return F.sqrt(dot(x, x))
-
-
-def cosine(x: Column, y: Column) -> Column:
-    return dot(x, y) / (norm(x) * norm(y))
+def _matrix(vectors: pa.ChunkedArray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of ``length`` numbers as rows, and where they stand in the column."""
+    at = np.flatnonzero(pc.equal(pc.list_value_length(vectors), length).fill_null(False).to_numpy())
+    flat = pc.list_flatten(vectors.take(pa.array(at)))
+    return flat.to_numpy().astype(np.float64).reshape(len(at), length), at
+
+
+def _nearest(by: list[str], top: int):
+    """The best ``top`` chunks of each query and ``by``, of a batch of chunks and a block of queries, as one product."""
+
+    def best(chunks: pa.Table, queries: pa.Table) -> pa.Table:
+        chunks = chunks.sort_by("chunk_id")
+        lengths = pc.list_value_length(queries["vector"]).drop_null()
+        x, at = _matrix(chunks["vector"], lengths[0].as_py() if len(lengths) else 0)
+        y, asked = _matrix(queries["vector"], x.shape[1])
+        if len(asked) < queries.num_rows:
+            raise ValueError("query vectors must have one length")
+        with np.errstate(invalid="ignore", divide="ignore"):
+            near = np.round(x @ y.T / (np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None]), 6)
+        group = np.zeros(len(at), dtype=np.int64)
+        for c in by:
+            own = chunks[c].take(pa.array(at)).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            group = np.unique(np.stack((group, own), axis=1), axis=0, return_inverse=True)[1].reshape(-1)
+        rows, cols = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for g in np.unique(group):
+            own = np.flatnonzero(group == g)
+            z = np.nan_to_num(near[own], nan=-np.inf)
+            least = np.partition(z, max(0, len(own) - top), axis=0)[max(0, len(own) - top)]
+            r, q = np.nonzero((z >= least) & (z > -np.inf))
+            order = np.lexsort((r, -z[r, q], q))
+            r, q = r[order], q[order]
+            kept = np.arange(len(q)) - np.searchsorted(q, q) < top
+            rows.append(own[r[kept]])
+            cols.append(q[kept])
+        r, q = np.concatenate(rows), np.concatenate(cols)
+        out = chunks.select(["chunk_id", *by]).take(pa.array(at[r])).append_column("similarity", pa.array(near[r, q]))
+        return out.add_column(0, "query_id", queries["query_id"].take(pa.array(q)))
+
+    return best
 
 
 def vector_arm(chunks: DataFrame, queries: DataFrame, by: list[str], top: int = ARM) -> DataFrame:
     """(query_id, chunk_id, by..., similarity, vrank): the nearest chunks of every query, ranked within ``by``.
 
-    An equi-join on the cell of a query block and a chunk block; every chunk meets every query once.
+    Every chunk meets every query once, as a product of matrices: a batch of chunks and all queries where these are at
+    most ``QUERY_BLOCK``, else a block of each, joined on the cell of the two. Only a batch's best leave its task. Chunks
+    without a vector, of another length, or of zeros or nulls alone are like nothing and aren't ranked.
     """
     n = queries.count()
     blocks = -(-n // QUERY_BLOCK) or 1
-    rows = chunks.where("vector is not null").select("chunk_id", *by, "vector", norm(F.col("vector")).alias("_n"))
-    parts = -(-rows.count() // CHUNK_BLOCK) or 1 if blocks > 1 else 1
-    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    own = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
-    q = queries.select("query_id", F.col("vector").alias("_q"), norm(F.col("vector")).alias("_nq"), own("query_id", blocks).alias("_block")).withColumn("_part", every(parts))
-    rows = rows.withColumn("_part", own("chunk_id", parts)).withColumn("_block", every(blocks))
-    if blocks > 1:  # a stated number, or cells of few bytes would be put into one task
-        tasks = min(blocks * parts, 8 * int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        q, rows = q.repartition(tasks, "_part", "_block"), rows.repartition(tasks, "_part", "_block")
+    q = queries.select("query_id", "vector")
+    rows = chunks.where("vector is not null").select("chunk_id", *by, "vector")
+    form = T.StructType([q.schema["query_id"], *[rows.schema[c] for c in ("chunk_id", *by)], T.StructField("similarity", T.DoubleType())])
+    best = _nearest(by, top)
+    if blocks == 1:
+        asked = chunks.sparkSession.sparkContext.broadcast(q.toArrow())  # at most QUERY_BLOCK vectors
+
+        def run(batches):
+            for batch in batches:
+                yield from best(pa.Table.from_batches([batch]), asked.value).to_batches()
+
+        scored = rows.mapInArrow(run, form)
     else:
-        q = F.broadcast(q)
-    scored = rows.join(q, ["_part", "_block"]).withColumn("similarity", F.round(dot(F.col("vector"), F.col("_q")) / (F.col("_n") * F.col("_nq")), 6))
+        parts = -(-rows.count() // CHUNK_BLOCK) or 1
+        every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+        own = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+        q = q.withColumn("_block", own("query_id", blocks)).withColumn("_part", every(parts))
+        rows = rows.withColumn("_part", own("chunk_id", parts)).withColumn("_block", every(blocks))
+        # a stated number, or cells of few bytes would be put into one task
+        tasks = min(blocks * parts, 8 * int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        cell = ["_part", "_block"]
+        scored = rows.repartition(tasks, *cell).groupBy(*cell).cogroup(q.repartition(tasks, *cell).groupBy(*cell)).applyInArrow(lambda x, y: best(x, y), form)
     rank = F.row_number().over(Window.partitionBy("query_id", *by).orderBy(F.desc("similarity"), "chunk_id"))
     return scored.withColumn("vrank", rank).where(F.col("vrank") <= top).select("query_id", "chunk_id", *by, "similarity", "vrank")
 
@@ -115,11 +160,17 @@ def round_robin(pools: DataFrame, cap: int = MERGED_CAP) -> DataFrame:
 
 
 def plan_seats(scored: DataFrame, top: int) -> DataFrame:
-    """Each plan's best chunk has a seat; chunks without a plan at or above the lowest seat come in; then by score."""
-    own = Window.partitionBy("query_id", "plan_code").orderBy(F.desc("score"), "chunk_id")
-    rows = scored.withColumn("seat", F.col("plan_code").isNotNull() & (F.row_number().over(own) == 1))
-    lowest = F.min(F.when(F.col("seat"), F.col("score"))).over(Window.partitionBy("query_id"))
-    rows = rows.withColumn("first", F.col("seat") | (F.col("plan_code").isNull() & F.coalesce(F.col("score") >= lowest, F.lit(False))))
+    """Each plan's best chunk has a seat; chunks without a plan at or above the lowest seat come in; then by score.
+
+    Seats are found by aggregation, so no task holds all chunks of a query, and the last window keeps ``top`` rows of
+    each partition before the shuffle.
+    """
+    best = scored.where("plan_code is not null").groupBy("query_id", "plan_code").agg(F.min(F.struct((-F.col("score")).alias("s"), "chunk_id")).alias("x"))
+    seats = best.select("query_id", "x.chunk_id", (-F.col("x.s")).alias("_s"))
+    lowest = seats.groupBy("query_id").agg(F.min("_s").alias("_lowest"))
+    rows = scored.join(small(seats.select("query_id", "chunk_id", F.lit(True).alias("_seat"))), ["query_id", "chunk_id"], "left").join(small(lowest), "query_id", "left")
+    rows = rows.withColumn("seat", F.coalesce("_seat", F.lit(False)))
+    rows = rows.withColumn("first", F.col("seat") | (F.col("plan_code").isNull() & F.coalesce(F.col("score") >= F.col("_lowest"), F.lit(False)))).drop("_seat", "_lowest")
     order = Window.partitionBy("query_id").orderBy(F.desc("first"), F.desc("score"), "chunk_id")
     return rows.withColumn("position", F.row_number().over(order)).where(F.col("position") <= top)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.identifiers import luhn_valid
 from ..operators import chunking
-from ..operators.near import first_seen, similar_pairs
+from ..operators.near import first_match, first_seen, similar_pairs
 from . import adapters as a
 from .registry import query
 
@@ -138,20 +138,20 @@ ORIGINALS = """steps AS (SELECT b, list(a) AS before, row_number() OVER (ORDER B
 @query("e01_exact_jaccard", f"WITH {PAIRS} SELECT b AS doc_id, min(a) AS first_match FROM pairs GROUP BY 1")
 def e01(spark, d):
     """For each document the smallest earlier one with Jaccard similarity 0.8 or more over three-word shingles."""
-    return similar_pairs(a.table(spark, d, "documents")).groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("first_match"))
+    return first_match(*similar_pairs(a.table(spark, d, "documents")))
 
 
 @query("e02_first_seen", f"WITH RECURSIVE {PAIRS}, {ORIGINALS} SELECT b AS doc_id, min(a) AS duplicate_of FROM pairs WHERE b IN (SELECT doc_id FROM gone) AND a NOT IN (SELECT doc_id FROM gone) GROUP BY 1")
 def e02(spark, d):
     """Duplicates and the original each points to: a duplicate is never matched itself."""
-    return first_seen(similar_pairs(a.table(spark, d, "documents")))
+    return first_seen(*similar_pairs(a.table(spark, d, "documents")))
 
 
 @query("e04_originals_only", f"WITH RECURSIVE {PAIRS}, {ORIGINALS} SELECT source, count(*) AS documents, count(*) FILTER (WHERE doc_id NOT IN (SELECT doc_id FROM gone)) AS searchable FROM documents GROUP BY 1")
 def e04(spark, d):
     """Duplicates keep their row and have no chunks."""
     docs = a.table(spark, d, "documents").select("doc_id", "source", "text")
-    gone = first_seen(similar_pairs(docs)).select("doc_id", F.lit(1).alias("_gone"))
+    gone = first_seen(*similar_pairs(docs)).select("doc_id", F.lit(1).alias("_gone"))
     return docs.select("doc_id", "source").join(gone, "doc_id", "left").groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("_gone").isNull()).alias("searchable"))
 
 

@@ -33,15 +33,20 @@ def t03(spark, d):
 
 @query(
     "t04_rate_table",
-    f"""WITH {SCORE_SQL}, g AS (SELECT category, count(*) AS n, sum(value)::BIGINT AS passed, coalesce(string_agg(question_id, ',' ORDER BY question_id) FILTER (WHERE value < 1), '') AS failing FROM eval WHERE metric = 'quality' GROUP BY 1)
+    f"""WITH {SCORE_SQL}, g AS (SELECT category, count(*) AS n, sum(value)::BIGINT AS passed FROM eval WHERE metric = 'quality' GROUP BY 1)
     SELECT category, n, passed, round(passed / n, 6) AS rate,
       round(greatest(0, ((passed / n) + 3.841458820694124 / (2 * n) - 1.959963984540054 * sqrt((passed / n) * (1 - passed / n) / n + 3.841458820694124 / (4.0 * n * n))) / (1 + 3.841458820694124 / n)), 6) AS low,
-      round(least(1, ((passed / n) + 3.841458820694124 / (2 * n) + 1.959963984540054 * sqrt((passed / n) * (1 - passed / n) / n + 3.841458820694124 / (4.0 * n * n))) / (1 + 3.841458820694124 / n)), 6) AS high, failing FROM g""",
+      round(least(1, ((passed / n) + 3.841458820694124 / (2 * n) + 1.959963984540054 * sqrt((passed / n) * (1 - passed / n) / n + 3.841458820694124 / (4.0 * n * n))) / (1 + 3.841458820694124 / n)), 6) AS high FROM g""",
 )
 def t04(spark, d):
     return ev.rate_table(tidy(spark, d).where("metric = 'quality'"), "category")
 
 
+@query("t04_failing_items", f"""WITH {SCORE_SQL} SELECT category, question_id FROM eval WHERE metric = 'quality' AND value < 1""")
+def t04_items(spark, d):
+    return ev.failing_items(tidy(spark, d).where("metric = 'quality'"), "category")
+
+
 @query(
     "t06_paired_diff",
     f"""WITH {SCORE_SQL}, p AS (SELECT coalesce(x.metric, y.metric) AS metric, x.value AS b, y.value AS a FROM (SELECT * FROM eval WHERE run_id = 0) x
@@ -81,16 +86,17 @@ def ranked(spark, d):
 )
 def t01(spark, d):
     labels = a.table(spark, d, "labels").where("quality = 1").select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(2).cast("bigint"))).alias("query_id"), F.col("doc_id").alias("chunk_id"))
-    return ev.retrieval_metrics(ranked(spark, d).select("query_id", "chunk_id", "rank"), labels)
+    return ev.retrieval_metrics(ranked(spark, d).where("rank <= 10").select("query_id", "chunk_id", "rank"), labels)
 
 
 @query(
     "t08_health",
-    f"""WITH {CHUNKS}, {RANKED}, n AS (SELECT r.*, md5(content) AS h, lead(score) OVER (PARTITION BY query_id ORDER BY rank) AS nxt FROM ranked r JOIN chunks USING (chunk_id))
+    f"""WITH {CHUNKS}, {RANKED}, n AS (SELECT r.*, md5(content) AS h, lead(score) OVER (PARTITION BY query_id ORDER BY rank) AS nxt FROM ranked r JOIN chunks USING (chunk_id) WHERE rank <= 8)
     SELECT query_id, round(max(score - nxt) FILTER (WHERE rank = 1), 6) AS margin, max(score - nxt) FILTER (WHERE rank = 1) < 0.005 AS tied, round(1 - count(DISTINCT h) / count(*), 6) AS duplicate_share FROM n GROUP BY 1""",
 )
 def t08(spark, d):
-    rows = ranked(spark, d).join(a.chunks(spark, d).select("chunk_id", F.md5("content").alias("content_hash")), "chunk_id")
+    """Over what a payload holds: the best eight."""
+    rows = ranked(spark, d).where("rank <= 8").join(a.chunks(spark, d).select("chunk_id", F.md5("content").alias("content_hash")), "chunk_id")
     return ev.payload_health(rows)
 
 
@@ -133,12 +139,8 @@ def j09(spark, d):
     """SELECT event_type, median(value) AS median, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.5) AS p50 FROM events GROUP BY 1""",
 )
 def j12(spark, d):
-    """Latency figures: the interpolated median and nearest-rank percentiles, as window ranks (no collected group)."""
-    own = Window.partitionBy("event_type")
-    e = a.table(spark, d, "events").select("event_type", "value")
-    ranks = e.withColumn("r", F.row_number().over(own.orderBy("value"))).withColumn("n", F.count(F.lit(1)).over(own))
-    at = lambda p: F.max(F.when(F.col("r") == F.ceil(F.lit(p) * F.col("n")), F.col("value")))
-    return ranks.groupBy("event_type").agg(F.percentile("value", 0.5).alias("median"), at(0.95).alias("p95"), at(0.5).alias("p50"))
+    """Latency figures: the interpolated median and nearest-rank percentiles."""
+    return ev.percentiles(a.table(spark, d, "events"), "event_type", "value", [95, 50])
 
 
 @query(

@@ -12,7 +12,7 @@ from . import adapters as a
 from .adapters import CHUNKS, EVIDENCE
 from .registry import query
 
-TERMS = [(0, "the"), (0, "that"), (0, "bleer"), (1, "une"), (1, "laoué"), (1, "est"), (2, "idiot"), (2, "trash"), (3, "licen" + "se"), (3, "apache")]
+TERMS = [(0, "the"), (0, "that"), (0, "bleer"), (1, "une"), (1, "laoué"), (1, "est"), (2, "idiot"), (2, "trash"), (3, "license"), (3, "apache")]
 TERMS_SQL = "terms AS (SELECT * FROM (VALUES " + ", ".join(f"({q}, '{t}')" for q, t in TERMS) + ") t(query_id, term))"
 VECTORS = "q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0)"
 #: exact scan for every stated query vector

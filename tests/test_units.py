@@ -206,3 +206,58 @@ def test_blocks_meet_every_query_and_chunk_once(spark, monkeypatch):
         assert sorted(map(tuple, search.vector_arm(chunks, queries, by, 10).collect())) == want
         assert len(want) == 15 * 10 * (3 if by else 1)
         monkeypatch.undo()
+
+
+def test_near_duplicates_of_many_copies_match_a_plain_loop(spark):
+    import random
+
+    from feldspar.operators.near import first_match, first_seen, similar_pairs
+
+    r = random.Random(3)
+    base = [[f"w{r.randrange(400)}" for _ in range(40)] for _ in range(6)]
+    texts = [None, "", "two words"]
+    for i in range(90):
+        words = list(base[i % 6])
+        for _ in range(r.choice([0, 0, 1, 2, 3])):
+            words[r.randrange(40)] = f"x{r.randrange(9)}"
+        texts.append(" ".join(words))
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in ((t or "").split() for t in texts)]
+    alike = lambda a, b: bool(sets[a] and sets[b]) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    match, of, originals = {}, {}, []
+    for d in range(len(texts)):
+        if earlier := [a for a in range(d) if alike(a, d)]:
+            match[d] = earlier[0]
+        if earlier := [a for a in originals if alike(a, d)]:
+            of[d] = earlier[0]
+        else:
+            originals.append(d)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert dict(map(tuple, first_match(*similar_pairs(docs)).collect())) == match
+    assert dict(map(tuple, first_seen(*similar_pairs(docs)).collect())) == of
+    assert first_seen(*similar_pairs(docs.limit(0))).count() == 0
+
+
+def test_vectors_like_nothing_are_not_ranked(spark, monkeypatch):
+    rows = [(0, [0.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [1.0, None]), (5, [2.0, 0.0]), (6, [0.0, 1.0])]
+    chunks = spark.createDataFrame(rows, "chunk_id bigint, vector array<float>")
+    queries = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(3)], "query_id bigint, vector array<float>")
+    want = sorted((q, c, s, k) for q in range(3) for k, (c, s) in enumerate([(1, 1.0), (5, 1.0)], 1))
+    for block in (256, 2):
+        monkeypatch.setattr(search, "QUERY_BLOCK", block)
+        assert sorted(map(tuple, search.vector_arm(chunks, queries, [], 2).collect())) == want
+        assert search.vector_arm(chunks.limit(0), queries, [], 2).count() == 0
+        assert search.vector_arm(chunks, queries.limit(0), [], 2).count() == 0
+
+
+def test_percentiles_match_sorted_lists(spark):
+    import math
+    import random
+    from statistics import median
+
+    from feldspar.operators.evaluation import percentiles
+
+    r = random.Random(5)
+    groups = {"one": [3.0], "even": [1.0, 2.0], "same": [7.0] * 50, "many": [float(r.randrange(300)) for _ in range(999)], None: [1.0, 5.0, 9.0]}
+    rows = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in [*vs, None]], "g string, v double")
+    want = {g: (median(vs), *(sorted(vs)[math.ceil(p * len(vs) / 100) - 1] for p in (95, 50))) for g, vs in groups.items()}
+    assert {x["g"]: (x["median"], x["p95"], x["p50"]) for x in percentiles(rows, "g", "v", [95, 50], ranges=4).collect()} == want
