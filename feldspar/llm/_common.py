@@ -96,16 +96,21 @@ def join_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 _PARTS = np.array([x < 128 and not chr(x).isalnum() for x in range(256)])
+_BASE = 0xD6E8FEB86659FD93
 _POWERS = np.ones(1, dtype=U64)
 
 
-def _powers(n: int) -> np.ndarray:
+def _powers(n: int, first: int = 0) -> np.ndarray:
+    """The weights of byte positions ``first`` to ``first + n - 1`` of a word; those of short words are kept."""
     global _POWERS
-    if len(_POWERS) < n:
-        k = np.full(max(n, 256), U64(0xD6E8FEB86659FD93), dtype=U64)
-        k[0] = 1
-        _POWERS = mix(np.cumprod(k)) | U64(1)
-    return _POWERS
+    if first == 0 and n <= len(_POWERS):
+        return _POWERS[:n]
+    k = np.full(max(n, 256), U64(_BASE), dtype=U64)
+    k[0] = U64(pow(_BASE, first, 1 << 64))
+    weights = mix(np.cumprod(k)) | U64(1)
+    if first == 0 and len(weights) <= 1 << 16:
+        _POWERS = weights
+    return weights[:n]
 
 
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,32 +120,78 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
+def _plain(data: np.ndarray, lower: bool, letters: bool) -> np.ndarray:
+    if lower:
+        data = data + (((data >= 65) & (data <= 90)).astype(np.uint8) << 5)
+    return np.where(_PARTS[data], np.uint8(32), data) if letters else data
+
+
+def _sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Weighted sums of the bytes of each word; sums of a word's parts add up to the word's."""
+    length = ends - starts
+    before = np.concatenate(([0], np.cumsum(length)[:-1]))
+    inside = np.repeat(starts - before, length) + np.arange(int(length.sum()))
+    weight = _powers(int(length.max()))[inside - np.repeat(starts, length)]
+    return np.add.reduceat((data[inside].astype(U64) + U64(1)) * weight, before)
+
+
+def _named(sums: np.ndarray, length: np.ndarray) -> np.ndarray:
+    return mix(sums ^ (length.astype(U64) * U64(0x9E3779B97F4A7C15)))
+
+
+def _long_hashes(text: bytes, lower: bool, letters: bool, step: int) -> np.ndarray:
+    """Word hashes of one text in windows of ``step`` bytes; a word that a window cuts carries its sum into the next."""
+    out, total, held = [], U64(0), 0  # the open word's sum and bytes so far
+    for at in range(0, len(text), step):
+        data = _plain(np.frombuffer(text, dtype=np.uint8, count=min(step, len(text) - at), offset=at), lower, letters)
+        starts, ends = word_spans(data)
+        if held and (not len(starts) or starts[0]):
+            out.append(_named(np.array([total]), np.array([held])))
+            total, held = U64(0), 0
+        if not len(starts):
+            continue
+        if held:
+            n = int(ends[0])
+            total = np.append((data[:n].astype(U64) + U64(1)) * _powers(n, held), total).sum(dtype=U64)
+            held += n
+            starts, ends = starts[1:], ends[1:]
+            if n == len(data):
+                continue
+            out.append(_named(np.array([total]), np.array([held])))
+            total, held = U64(0), 0
+        if len(starts):
+            sums, length = _sums(data, starts, ends), ends - starts
+            if ends[-1] == len(data):
+                total, held, sums, length = sums[-1], int(length[-1]), sums[:-1], length[:-1]
+            out.append(_named(sums, length))
+    if held:
+        out.append(_named(np.array([total]), np.array([held])))
+    return np.concatenate(out) if out else np.zeros(0, dtype=U64)
+
+
 def word_hashes(texts: list[bytes], lower: bool = False, letters: bool = False, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts, in order, and the number of words of each text.
 
-    ``letters``: ASCII other than letters and digits parts words as well. Works through pieces of about ``step`` bytes, so that temporaries stay small.
+    ``letters``: ASCII other than letters and digits parts words as well. Works through pieces of about ``step`` bytes,
+    inside a text and a word too, so that temporaries don't grow with the longest text.
     """
     hashes, counts, at = [], np.zeros(len(texts), dtype=np.int64), 0
     while at < len(texts):
+        if len(texts[at]) > step:
+            own = _long_hashes(texts[at], lower, letters, step)
+            hashes.append(own)
+            counts[at] = len(own)
+            at += 1
+            continue
         upto, size = at, 0
-        while upto < len(texts) and (size == 0 or size + len(texts[upto]) <= step):
+        while upto < len(texts) and (size == 0 or size + len(texts[upto]) <= step) and len(texts[upto]) <= step:
             size += len(texts[upto]) + 1
             upto += 1
         part = texts[at:upto]
-        data = np.frombuffer(b" ".join(part) + b" ", dtype=np.uint8)
-        if lower:
-            data = data + (((data >= 65) & (data <= 90)).astype(np.uint8) << 5)
-        if letters:
-            data = np.where(_PARTS[data], np.uint8(32), data)
+        data = _plain(np.frombuffer(b" ".join(part) + b" ", dtype=np.uint8), lower, letters)
         starts, ends = word_spans(data)
         if len(starts):
-            length = ends - starts
-            live = np.repeat(starts - np.concatenate(([0], np.cumsum(length)[:-1])), length)
-            inside = live + np.arange(len(live))
-            pos = inside - np.repeat(starts, length)
-            weight = _powers(int(length.max()))[pos]
-            total = np.add.reduceat((data[inside].astype(U64) + U64(1)) * weight, np.concatenate(([0], np.cumsum(length)[:-1])))
-            hashes.append(mix(total ^ (length.astype(U64) * U64(0x9E3779B97F4A7C15))))
+            hashes.append(_named(_sums(data, starts, ends), ends - starts))
             ends_of = np.cumsum([len(x) + 1 for x in part])
             counts[at:upto] = np.bincount(np.searchsorted(ends_of, starts, side="right"), minlength=len(part))
         at = upto

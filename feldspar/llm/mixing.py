@@ -70,7 +70,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, seed:
         joined = plain.join(F.broadcast(rates), on)
     else:
         salted = plain.withColumn("_m_salt", F.pmod(F.xxhash64(own_id), F.lit(salts)))
-        spread = rates.withColumn("_m_salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint"))
+        spread = rates.withColumn("_m_salt2", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
         joined = salted.join(spread, on & (F.col("_m_salt") == F.col("_m_salt2")))
     u = uniform(seed, F.col(own_id))
     draw = F.size(F.filter("_m_steps", lambda c: c <= u))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cells
+from ._common import cells, shuffle_partitions
 
 CAPACITY = 1024
 GROUP = 192
@@ -255,9 +255,11 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     Null and empty texts are the end id alone. Ids may be null or repeat; each row is packed as a document. Long texts
     are cut at multiples of the capacity. An empty table gives no pieces. Other columns may have any names; they are not
-    read. The tokenizer's added tokens in a text are encoded as ``tokenizers`` does by default.
+    read. The tokenizer's added tokens in a text are encoded as ``tokenizers`` does by default. The packing depends on the
+    rows and the number of shuffle partitions, not on how the input is dealt or on which tasks are repeated.
     """
     base = docs.select(F.col(cells(id_col)).cast("bigint").alias("doc_id"), F.col(cells(text_col)).cast("string").alias("text"))
     cut = base.mapInArrow(_cut(tokenizer, capacity, cache_pieces), "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary")
-    dealt = cut.repartition(F.xxhash64("doc_id", "start"))
+    # a fixed number of partitions and an order inside each: a repeated task places its pieces as the first attempt did
+    dealt = cut.repartition(shuffle_partitions(docs.sparkSession), F.xxhash64("doc_id", "start")).sortWithinPartitions("doc_id", "start", "ids")
     return dealt.mapInArrow(_place(capacity, group_rows), PIECES)

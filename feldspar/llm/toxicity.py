@@ -25,6 +25,7 @@ FUNCTION_WORDS = {
 }
 LANGUAGES = [*FUNCTION_WORDS, "other"]
 BITS, DIM, FILTERS, WIDTHS = 15, 8, 4, (1, 2, 3)
+PADS = max(WIDTHS)
 #: Bins of a logit unit in the histogram for thresholds, and the logits of its ends.
 BINS, EDGE = 64, 32
 
@@ -35,11 +36,14 @@ def is_held_out(id_col: str, parts: int):
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of the texts, each followed by two pads (0), and each text's first position with the end."""
+    """Word hashes of the texts, each followed by PADS pads (0), and each text's first position with the end.
+
+    A text without words is its pads: as many as the widest filter reads, so no window reaches another text.
+    """
     hashes, counts = word_hashes(texts, lower=True, letters=True)
-    starts = np.concatenate(([0], np.cumsum(counts + 2)))
+    starts = np.concatenate(([0], np.cumsum(counts + PADS)))
     out = np.zeros(starts[-1], dtype=U64)
-    out[np.arange(len(hashes)) + np.repeat(2 * np.arange(len(texts)), counts)] = hashes
+    out[np.arange(len(hashes)) + np.repeat(PADS * np.arange(len(texts)), counts)] = hashes
     return out, starts
 
 
@@ -116,7 +120,7 @@ class TextCNN:
                 for k, d in enumerate(docs):
                     at, end = starts[d], starts[d + 1]
                     x = self.e[0][one[at:end]] + self.e[1][two[at:end]]
-                    n = max(1, end - at - 2)
+                    n = max(1, end - at - PADS)  # windows start at words, or at the first pad where there are none
                     for i, w in enumerate(WIDTHS):
                         z = sum(x[j : j + n] @ self.w[w][j] for j in range(w)) + self.c[w]
                         own = slice(i * FILTERS, (i + 1) * FILTERS)
@@ -159,20 +163,21 @@ class TextCNN:
             self.tabulate()
         one, two = rows_of(hashes)
         bias = np.concatenate([self.c[w] for w in WIDTHS])
-        n = len(starts) - 1
-        pooled = np.full((n, len(self.o)), -np.inf, dtype=np.float32)
-        at = 0
-        while at < n:  # about ``step`` words at a time; a longer text is one piece
-            upto = max(at + 1, int(np.searchsorted(starts, starts[at] + step, side="right")) - 1)
-            a, b = starts[at], starts[upto]
-            z = self.tables[0][0][one[a:b]] + self.tables[0][1][two[a:b]] + bias
+        first, stop = starts[:-1], np.maximum(starts[1:] - PADS, starts[:-1] + 1)  # where windows start in each text
+        pooled = np.full((len(first), len(self.o)), -np.inf, dtype=np.float32)
+        for a in range(0, len(hashes), step):  # pieces of ``step`` positions, inside long texts too
+            b = min(a + step, len(hashes))
+            z = np.full((b - a + 1, len(self.o)), -np.inf, dtype=np.float32)  # the last row is for reduceat's end
+            z[:-1] = self.tables[0][0][one[a:b]] + self.tables[0][1][two[a:b]] + bias
             for j in range(1, max(WIDTHS)):
                 t1, t2 = self.tables[j]
-                z[: b - a - j, j * FILTERS :] += t1[one[a + j : b]] + t2[two[a + j : b]]
-            ends = np.maximum(starts[at + 1 : upto + 1] - 2, starts[at:upto] + 1) - a
-            cuts = np.stack((starts[at:upto] - a, ends), axis=1).reshape(-1)
-            pooled[at:upto] = np.maximum.reduceat(z, cuts, axis=0)[::2]
-            at = upto
+                upto = min(b + j, len(hashes))
+                z[: upto - a - j, j * FILTERS :] += t1[one[a + j : upto]] + t2[two[a + j : upto]]
+            held = np.arange(int(np.searchsorted(starts, a, side="right")) - 1, int(np.searchsorted(starts, b, side="left")))
+            held = held[np.maximum(first[held], a) < np.minimum(stop[held], b)]
+            if len(held):
+                cuts = np.stack((np.maximum(first[held], a) - a, np.minimum(stop[held], b) - a), axis=1).reshape(-1)
+                pooled[held] = np.maximum(pooled[held], np.maximum.reduceat(z, cuts, axis=0)[::2])
         return np.maximum(pooled, 0) @ self.o + self.b
 
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -243,23 +248,24 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, id_col: s
     """Fits on at most ``sample_rows`` labelled rows outside the held-out part; None where one class is missing.
 
     The sample: half of it from the toxic rows and the rest from the clean ones, lowest hash of the id first, whole
-    texts of any length; the driver holds these rows. One row in five of it isn't fitted. Thresholds are calibrated on
-    all labelled rows outside the held-out part. Without ``seeded`` the network starts from random weights alone.
+    texts of any length (of several texts of one id the smallest). One row in five of the sample isn't fetched or
+    fitted, so that thresholds see rows that the network doesn't know. The driver holds the fitted rows: its memory
+    bounds how long labelled texts may be. Thresholds are calibrated on all labelled rows outside the held-out part.
+    Without ``seeded`` the network starts from random weights alone.
     """
     ids, y = F.col(cells(id_col)), F.col(cells(label_col))
     own = labels.where(y.isNotNull() & ids.isNotNull() & ~is_held_out(id_col, parts)).groupBy(ids.alias("id")).agg(F.max(y).alias("y"))
     lot = F.xxhash64(F.lit("toxicity"), F.col("id"))
     picked = [own.where(F.col("y") == v).orderBy(lot).limit(sample_rows // 2) for v in (1, 0)]
-    few = F.broadcast(picked[0].union(picked[1]))  # at most sample_rows ids
-    got = docs.select(ids.alias("id"), F.col(cells(text_col)).alias("text")).join(few, "id").dropDuplicates(["id"]).toPandas()
+    few = picked[0].union(picked[1]).orderBy("id").collect()  # at most sample_rows ids
+    known = F.broadcast(docs.sparkSession.createDataFrame([r for i, r in enumerate(few) if i % 5], own.schema))
+    got = docs.select(ids.alias("id"), F.col(cells(text_col)).alias("text")).join(known, "id").groupBy("id", "y").agg(F.min("text").alias("text")).toPandas()
     if got.empty or got["y"].nunique() < 2:
         return None
     got = got.sort_values("id", kind="stable")
-    labelled = got["y"].to_numpy(dtype=np.float64)
-    hold = np.arange(len(labelled)) % 5 == 0
     model = TextCNN()
-    hashes, starts = features([(x or "").encode() for x, h in zip(got["text"], hold, strict=True) if not h])
-    model.fit(hashes, starts, labelled[~hold], epochs, seeded=seeded)
+    hashes, starts = features([(x or "").encode() for x in got["text"]])
+    model.fit(hashes, starts, got["y"].to_numpy(dtype=np.float64), epochs, seeded=seeded)
     model.tabulate()
     calibrate(model, docs.where(ids.isNotNull() & ~is_held_out(id_col, parts)), own, id_col, text_col)
     return model

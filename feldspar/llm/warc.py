@@ -51,7 +51,7 @@ ARROW = pa.schema([(n, pa.string()) for n in ("warc_type", "record_id", "target_
 #: Header fields of the columns that predicates can be pushed to. Fixed values of the WARC format, but for the last.
 FIELDS = {"warc_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "refers_to": "WARC-Refers-To", "payload_digest": "WARC-Payload-Digest", "content_length": "Content-Length", "payload_length": "X-Payload-Length"}
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-MANIFEST = "_manifest.json"
+MANIFEST = "_manifest-"
 HEAD = 16_384
 
 
@@ -260,9 +260,12 @@ class WarcReader(DataSourceReader):
         if info.type == pyarrow.fs.FileType.File:
             return [(inner, info.size)]
         found = {x.path: x.size for x in fs.get_file_info(pyarrow.fs.FileSelector(inner)) if x.type == pyarrow.fs.FileType.File}
-        if f"{inner}/{MANIFEST}" in found:
-            with fs.open_input_file(f"{inner}/{MANIFEST}") as f:
-                named = json.loads(f.read())
+        manifests = [p for p in found if p.rpartition("/")[2].startswith(MANIFEST)]
+        if manifests:  # one a write; what no manifest names was left by a task that didn't commit
+            named = set()
+            for path in manifests:
+                with fs.open_input_file(path) as f:
+                    named |= set(json.loads(f.read()))
             return sorted((f"{inner}/{n}", found[f"{inner}/{n}"]) for n in named)
         return sorted((p, n) for p, n in found.items() if re.search(r"\.warc(\.gz)?$", p))
 
@@ -331,8 +334,8 @@ def record(head: dict[str, str], block: bytes, compress: bool) -> bytes:
 class WarcWriter(DataSourceArrowWriter):
     """Rows of (record_id, record_type, target_uri, refers_to, payload_digest, payload_length, payload)."""
 
-    def __init__(self, options: dict) -> None:
-        self.path, self.compress = options["path"], options.get("compression", "gzip") == "gzip"
+    def __init__(self, options: dict, overwrite: bool = False) -> None:
+        self.path, self.compress, self.overwrite = options["path"], options.get("compression", "gzip") == "gzip", overwrite
 
     def write(self, iterator):
         fs, inner = _fs(self.path)
@@ -353,10 +356,18 @@ class WarcWriter(DataSourceArrowWriter):
         return Written(name, n)
 
     def commit(self, messages) -> None:
+        """Adds this write's manifest; an overwriting write then removes those there were, with their files."""
         fs, inner = _fs(self.path)
         fs.create_dir(inner, recursive=True)
-        with fs.open_output_stream(f"{inner}/{MANIFEST}", compression=None) as out:
+        old = [x.path for x in fs.get_file_info(pyarrow.fs.FileSelector(inner)) if x.base_name.startswith(MANIFEST)] if self.overwrite else []
+        with fs.open_output_stream(f"{inner}/{MANIFEST}{uuid.uuid4().hex}.json", compression=None) as out:
             out.write(json.dumps(sorted(m.name for m in messages if m and m.rows)).encode())
+        for path in old:
+            with fs.open_input_file(path) as f:
+                names = json.loads(f.read())
+            fs.delete_file(path)
+            for name in names:
+                fs.delete_file(f"{inner}/{name}")
 
     def abort(self, messages) -> None:
         fs, inner = _fs(self.path)
@@ -377,7 +388,7 @@ class WarcDataSource(DataSource):
         return WarcReader(self.options)
 
     def writer(self, schema, overwrite):
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:

@@ -192,9 +192,37 @@ def test_tabulated_scores_are_the_convolution():
         total = float(model.b)
         for k, w in enumerate(tox.WIDTHS):
             for f in range(tox.FILTERS):
-                z = [sum(float(x[p + j] @ model.w[w][j][:, f]) for j in range(w)) + float(model.c[w][f]) for p in range(max(1, len(own) - 2))]
+                z = [sum(float(x[p + j] @ model.w[w][j][:, f]) for j in range(w)) + float(model.c[w][f]) for p in range(max(1, len(own) - tox.PADS))]
                 total += max(0.0, max(z)) * float(model.o[k * tox.FILTERS + f])
-        assert abs(model.logits(hashes, starts)[i] - total) < 1e-4
+        for step in (1 << 16, 7):
+            assert abs(model.logits(hashes, starts, step)[i] - total) < 1e-4
+
+
+def test_texts_without_words_train_and_score_alone(spark):
+    from feldspar.llm import toxicity as tox
+
+    texts = ["bad bad", "", None, "!!! ...", "bad word", "fine day", "good day", " \n", "fine x"] * 30
+    ids = list(range(len(texts)))
+    labels = spark.createDataFrame([(i, int("bad" in (t or ""))) for i, t in zip(ids, texts, strict=True)], "doc_id bigint, toxic int")
+    model = tox.train(frame(spark, texts), labels)
+    assert model is not None
+    alone = model.score([b""])[0][0]
+    for near in (b"bad bad", b"fine x", b"", b"!!"):
+        assert model.score([b"", near])[0][0] == alone == model.score([near, b""])[0][1]
+    again = frame(spark, ["other text", *texts], [0, *ids])  # a repeated id trains the same way, however the rows lie
+    one, two = (tox.train(x, labels).score([b"bad day"])[0][0] for x in (again, again.repartition(5)))
+    assert one == two
+
+
+def test_hashes_do_not_depend_on_windows():
+    from feldspar.llm import _common
+
+    texts = [b"", b"a", b"  Ab cd\tE  ", b"x" * 50, ("naïve-1 é " * 9).encode(), b" " * 40, b"q" * 16 + b" r"]
+    for how in ({}, {"lower": True}, {"lower": True, "letters": True}):
+        want, counts = _common.word_hashes(texts, **how)
+        for step in range(1, 24):
+            got, n = _common.word_hashes(texts, step=step, **how)
+            assert np.array_equal(got, want) and np.array_equal(n, counts)
 
 
 CLASHES = ["rate", "replica", "draw", "pii_types", "_t_predicted", "_t_score", "kept", "n", "a.b", "c0", "salt", "digest", "members", "rank", "_m_rate", "row", "id", "y"]
@@ -486,6 +514,18 @@ def test_packing(spark, docs):
     assert len(differencing([700, 700, 700])) == 3  # two windows hold the tokens, but not in whole pieces
 
 
+def test_packing_is_repeatable(spark, docs):
+    import public_tokenizers
+
+    from feldspar.llm.packing import pack
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    one, two = (Counter(tuple(r) for r in pack(x, path).collect()) for x in (docs.repartition(3), docs.repartition(11, "text")))
+    assert one == two
+    sequences = {s for _, _, _, _, _, s, _ in one}
+    assert sum(n for _, _, n, _, _, _, _ in one.elements()) > 0.9 * 1024 * len(sequences)  # under a tenth is padding
+
+
 def test_mixing(spark, docs):
     from feldspar.llm import mixing
 
@@ -506,6 +546,10 @@ def test_mixing_with_many_sources(spark, docs, monkeypatch):
     plain = Counter((r.doc_id, r.replica) for r in mixing.mix_sources(docs).collect())
     monkeypatch.setattr(mixing, "INLINE_SOURCES", 3)
     assert Counter((r.doc_id, r.replica) for r in mixing.mix_sources(docs).collect()) == plain
+    monkeypatch.undo()
+    many = docs.withColumn("source", F.concat(F.lit("s"), F.col("doc_id") % 190)).union(spark.range(10_000, 11_500).select(F.col("id").alias("doc_id"), F.lit("t"), F.lit("en"), F.concat(F.lit("m"), "id").alias("source"), F.lit(1).cast("bigint")))
+    assert many.select("source").distinct().count() > mixing.INLINE_SOURCES
+    assert mixing.mix_sources(many, epoch=50.0).select("doc_id").distinct().count() == many.count()
 
 
 def test_warc(spark, sf_dir, tmp_path):
@@ -530,6 +574,18 @@ def test_warc(spark, sf_dir, tmp_path):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_append_and_overwrite(spark, tmp_path):
+    from feldspar.llm import warc
+
+    page = lambda i: spark.createDataFrame([(i, "u", f"page {i}")], "page_id bigint, url string, html string")
+    path = str(tmp_path / "more")
+    for i in (1, 2, 3):
+        warc.write_pages(page(i), path)
+    assert {r.page_id for r in warc.archive_index(spark, path).collect()} == {1, 2, 3}
+    warc.page_records(page(4)).write.format("warc").mode("overwrite").save(path)
+    assert {r.page_id for r in warc.archive_index(spark, path).collect()} == {4}
+
+
 def test_warc_skips_without_inflating(tmp_path):
     import pyarrow.fs
 
