@@ -77,7 +77,13 @@ def op10_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op3_toxicity, op4_exact_dedup, op5_lm_scoring, op6_pii_surrogates, op7_packing, op8_source_mixing, op9_warc, op10_lz_fingerprint)}
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import merkle_manifest
+
+    return merkle_manifest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op3_toxicity, op4_exact_dedup, op5_lm_scoring, op6_pii_surrogates, op7_packing, op8_source_mixing, op9_warc, op10_lz_fingerprint, op13_merkle_manifest)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": r"""
@@ -98,4 +104,38 @@ ORACLE_SQL = {
               FROM u JOIN s ON s.source IS NOT DISTINCT FROM u.src GROUP BY u.doc_id)
         SELECT d.*, x.replica::INTEGER AS replica, round(n.rate, 6) AS rate, n.draw::INTEGER AS draw
         FROM documents d JOIN n USING (doc_id), LATERAL (SELECT unnest(range(0, n.draw)) AS replica) x""",
+    "op13_merkle_manifest": r"""
+        WITH RECURSIVE d AS (
+          SELECT doc_id, source, lang, n_chars, text,
+                 CASE WHEN xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+                        lambda c, b: list_reduce([xor(c, b)] || range(8), lambda a, i: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295) % 2 = 0
+                      THEN replace(text, chr(10), '') ELSE text END AS t
+          FROM documents),
+        f AS (SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                        || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head FROM d),
+        leaf AS (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS h,
+                        sha256(head || coalesce(strlen(t) || ':' || t, '-')) AS x FROM f),
+        l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY source) AS c FROM leaf),
+        t AS (SELECT source, 0 AS lv, i, c, h FROM l
+              UNION ALL SELECT source, lv + 1, i // 3, (c + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE c > 1 GROUP BY source, lv, i // 3, c),
+        s AS (SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS c FROM t WHERE c = 1),
+        u AS (SELECT 0 AS lv, i, c, h FROM s
+              UNION ALL SELECT lv + 1, i // 3, (c + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE c > 1 GROUP BY lv, i // 3, c),
+        -- every level of the two trees as one: the leaf's own place in it, and the runs it meets
+        steps AS (SELECT l.source, l.i AS leaf, t.lv, l.i // power(3, t.lv)::BIGINT AS own, t.i, t.h, 0 AS tree
+                  FROM l JOIN t ON t.source IS NOT DISTINCT FROM l.source AND t.c > 1 AND t.i // 3 = l.i // power(3, t.lv + 1)::BIGINT
+                  UNION ALL
+                  SELECT l.source, l.i, u.lv, s.i // power(3, u.lv)::BIGINT, u.i, u.h, 1
+                  FROM l JOIN s ON s.source IS NOT DISTINCT FROM l.source JOIN u ON u.c > 1 AND u.i // 3 = s.i // power(3, u.lv + 1)::BIGINT),
+        p AS (SELECT source, leaf, sha256(coalesce(string_agg(h, '' ORDER BY tree, lv, i) FILTER (WHERE i <> own), '')) AS proof FROM steps GROUP BY ALL),
+        runs AS (SELECT source, leaf, row_number() OVER (PARTITION BY source, leaf ORDER BY tree, lv) AS k,
+                        coalesce(string_agg(h, '' ORDER BY i) FILTER (WHERE i < own), '') AS lft, coalesce(string_agg(h, '' ORDER BY i) FILTER (WHERE i > own), '') AS rgt
+                 FROM steps GROUP BY source, leaf, tree, lv),
+        fold AS (SELECT source, i AS leaf, 0::BIGINT AS k, x FROM l
+                 UNION ALL SELECT fold.source, fold.leaf, runs.k, sha256(lft || x || rgt) FROM fold JOIN runs ON runs.source IS NOT DISTINCT FROM fold.source AND runs.leaf = fold.leaf AND runs.k = fold.k + 1),
+        ends AS (SELECT source, leaf, arg_max(x, k) AS x FROM fold GROUP BY ALL)
+        SELECT l.doc_id, l.h AS leaf, s.h AS subroot, (SELECT h FROM u WHERE c = 1) AS root, coalesce(p.proof, sha256('')) AS proof_sha256,
+               ends.x AS folded_root, ends.x = (SELECT h FROM u WHERE c = 1) AS verified
+        FROM l JOIN s ON s.source IS NOT DISTINCT FROM l.source JOIN ends ON ends.source IS NOT DISTINCT FROM l.source AND ends.leaf = l.i
+        LEFT JOIN p ON p.source IS NOT DISTINCT FROM l.source AND p.leaf = l.i""",
 }
