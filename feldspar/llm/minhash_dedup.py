@@ -306,6 +306,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
         return [(ids[i], ids[j]) for i, j in forest.edges]
 
     edges = _edges(lists, sizes, reps, candidates).distinct()
+    return confirmed_components(base, sketched, member, classes, edges, words, percent, block_rows, block_bytes)
+
+
+def confirmed_components(base: DataFrame, sketched: DataFrame, member: DataFrame, classes: DataFrame, edges: DataFrame, words: int, percent: int, block_rows: int, block_bytes: int) -> DataFrame:
+    """The rows of ``near_duplicates``, from candidate ``edges`` between classes: exact links in each candidate group."""
     groups = cut(connected_components(edges).join(classes, F.col("id") == F.col("rep")).select("rep", "doc_id", "n", "digest", F.col("component").alias("k")))
 
     def full_sets(batches):

@@ -77,13 +77,25 @@ def op10_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranked_search import ranked_search
+
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import ngram_join
+
+    return ngram_join(table(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .merkle import merkle_manifest
 
     return merkle_manifest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op3_toxicity, op4_exact_dedup, op5_lm_scoring, op6_pii_surrogates, op7_packing, op8_source_mixing, op9_warc, op10_lz_fingerprint, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op3_toxicity, op4_exact_dedup, op5_lm_scoring, op6_pii_surrogates, op7_packing, op8_source_mixing, op9_warc, op10_lz_fingerprint, op11_ranked_search, op12_ngram_join, op13_merkle_manifest)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": r"""
@@ -104,6 +116,18 @@ ORACLE_SQL = {
               FROM u JOIN s ON s.source IS NOT DISTINCT FROM u.src GROUP BY u.doc_id)
         SELECT d.*, x.replica::INTEGER AS replica, round(n.rate, 6) AS rate, n.draw::INTEGER AS draw
         FROM documents d JOIN n USING (doc_id), LATERAL (SELECT unnest(range(0, n.draw)) AS replica) x""",
+    "op11_ranked_search": r"""
+        WITH w AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+        q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL),
+        n AS (SELECT doc_id, count(*) AS n FROM w GROUP BY ALL),
+        g AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM n),
+        m AS (SELECT doc_id, 100 - 50 + ((50 * n * docs) // terms) AS m FROM n, g),
+        df AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS wt FROM tf, g GROUP BY term),
+        s AS (SELECT q.item_id, tf.doc_id, sum(wt * ((1000000000 * tf.tf) // (1000 * tf.tf + 20 * m.m)))::BIGINT AS score
+              FROM q JOIN tf USING (term) JOIN df USING (term) JOIN m ON m.doc_id = tf.doc_id GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50""",
     "op13_merkle_manifest": r"""
         WITH RECURSIVE d AS (
           SELECT doc_id, source, lang, n_chars, text,
