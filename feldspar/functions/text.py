@@ -27,8 +27,8 @@ def template_context(title: Column, section: Column, text: Column) -> Column:
     return F.concat(F.lit("This chunk is from "), title, where, F.lit(".\n\n"), text)
 
 
-def question_phrases(text: Column, stop: list[str], most: int = 4) -> Column:
-    """All runs of 1 to ``most`` words that aren't only stop words; single words of three letters or more."""
+def question_phrases(text: Column, stop: list[str], most: int = 4, least: int = 3) -> Column:
+    """All runs of 1 to ``most`` words that aren't only stop words; single words of ``least`` letters or more."""
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
     stops = F.array(*[F.lit(s) for s in stop])
 
@@ -36,7 +36,7 @@ def question_phrases(text: Column, stop: list[str], most: int = 4) -> Column:
         starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.slice(words, i, F.lit(n)))
 
-    kept = F.filter(F.flatten(F.array(*[of_length(n) for n in range(1, most + 1)])), lambda r: (F.size(F.array_except(r, stops)) > 0) & ((F.size(r) > 1) | (F.length(r[0]) >= 3)))
+    kept = F.filter(F.flatten(F.array(*[of_length(n) for n in range(1, most + 1)])), lambda r: (F.size(F.array_except(r, stops)) > 0) & ((F.size(r) > 1) | (F.length(r[0]) >= least)))
     return F.array_distinct(F.transform(kept, lambda r: F.array_join(r, " ")))
 
 
@@ -87,7 +87,7 @@ def html_table_to_markdown(html: Column) -> Column:
     width = F.array_max(F.transform(rows, lambda r: F.size(r)))
     lines = F.transform(rows, lambda r: pad_table_row(r, width))
     rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
-    return F.when(F.size(rows) > 0, F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, 1_000_000)), "\n"))
+    return F.when(F.size(rows) > 0, F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))), "\n"))
 
 
 def year_neutral(text: Column, change_words: tuple[str, ...] = ("change", "changed", "changes", "compare", "compared", "difference")) -> Column:

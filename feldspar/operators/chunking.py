@@ -18,80 +18,98 @@ CHUNKS = "document_id bigint, chunk_index int, content string, section string, i
 
 
 def split_prose(text: str, hard: int) -> list[str]:
-    """Pieces of at most ``hard`` characters, cut at the last space before it where there is one."""
+    """Pieces of at most ``hard`` characters, cut at the last space inside them where there is one."""
     out = []
     while len(text) > hard:
-        cut = text.rfind(" ", 0, hard + 1)
-        cut = hard if cut <= 0 else cut
-        out.append(text[:cut].rstrip())
-        text = text[cut:].lstrip()
+        at = text.rfind(" ", 1, hard)
+        at = hard if at < 0 else at
+        out.append(text[:at])
+        text = text[at:].lstrip()
     return [*out, text] if text else out
 
 
 def split_table(text: str, limit: int) -> list[str]:
-    """Pieces on row boundaries, each with the header and its rule; a piece takes one row at least."""
+    """Pieces on row boundaries; a piece takes one row at least, and repeats the header where a rule follows the first line."""
     lines = text.split("\n")
-    if len(text) <= limit or len(lines) <= 3:
+    if len(text) <= limit:
         return [text]
-    head, out, rows = lines[:2], [], []
-    for row in lines[2:]:
-        if rows and sum(map(len, head + rows)) + len(head) + len(rows) + len(row) > limit:
+    ruled = len(lines) > 2 and lines[1].strip().startswith("|") and not lines[1].strip().strip("|-: ")
+    head = lines[:2] if ruled else []
+    out, rows, size = [], [], sum(map(len, head)) + len(head)
+    own = size
+    for row in lines[len(head):]:
+        if rows and size + len(row) > limit:
             out.append("\n".join(head + rows))
-            rows = []
+            rows, size = [], own
         rows.append(row)
-    return [*out, "\n".join(head + rows)]
+        size += len(row) + 1
+    return [*out, "\n".join(head + rows)] if rows else out
 
 
-def fold(elements: list[tuple[str, str]], hard: int = HARD, soft: int = SOFT, merge_under: int = MERGE_UNDER) -> list[tuple[str, str | None, bool]]:
-    """(text, section, is a table) of a document's chunks."""
+def fold(elements: list[tuple[str, str]], hard: int = HARD, soft: int = SOFT, merge_under: int = MERGE_UNDER, table_max: int | None = None) -> list[tuple[str, str | None, bool]]:
+    """(text, section, is a table) of a document's chunks.
+
+    Elements over ``hard`` are cut first, and their last piece goes on collecting. Prose closes a chunk that it would bring
+    over ``soft``; a title closes one of ``merge_under`` and more. A table is a chunk of its own, or several of up to
+    ``table_max`` characters.
+    """
     chunks: list[tuple[str, str | None, bool]] = []
     held: list[str] = []
-    size, section, own = 0, None, None
+    section = own = None
+
+    def size() -> int:
+        return len("\n\n".join(held))
 
     def close() -> None:
-        nonlocal held, size
         if held:
-            chunks.extend((p, own, False) for p in split_prose("\n\n".join(held), hard))
-        held, size = [], 0
+            chunks.append(("\n\n".join(held), own, False))
+            held.clear()
 
     for text, category in elements:
         if category == "table":
             close()
-            chunks.extend((p, section, True) for p in split_table(text, hard))
+            chunks += [(p, section, True) for p in split_table(text, min(hard, table_max or hard))]
             continue
         if category == "title":
-            if size >= merge_under:
-                close()
             section = text
-        if held and size + len(text) + 2 > soft:
-            close()
-        if not held:
-            own = section
-        held.append(text)
-        size += len(text) + (2 if size else 0)
+        for piece in [text] if category == "title" else split_prose(text, hard):
+            if held and (size() >= merge_under if category == "title" else size() + len(piece) > soft):
+                close()
+            if not held:
+                own = section
+            held.append(piece)
     close()
     return merge_small(chunks, hard, merge_under)
 
 
 def merge_small(chunks: list[tuple[str, str | None, bool]], hard: int, under: int) -> list[tuple[str, str | None, bool]]:
-    """Small prose folds into the prose before it where both fit; a small first chunk folds forward."""
+    """Small prose folds into the prose before it where both fit; a small first chunk folds forward into prose."""
     out: list[tuple[str, str | None, bool]] = []
     for text, section, table in chunks:
         if out and not table and not out[-1][2] and len(text) < under and len(out[-1][0]) + 2 + len(text) <= hard:
             out[-1] = (f"{out[-1][0]}\n\n{text}", out[-1][1], False)
         else:
             out.append((text, section, table))
-    if len(out) > 1 and not out[0][2] and not out[1][2] and len(out[0][0]) < under and len(out[0][0]) + 2 + len(out[1][0]) <= hard:
-        out[:2] = [(f"{out[0][0]}\n\n{out[1][0]}", out[0][1] or out[1][1], False)]
+    if len(out) > 1 and not out[1][2] and len(out[0][0]) < under and len(out[0][0]) + 2 + len(out[1][0]) <= hard:
+        out[:2] = [(f"{out[0][0]}\n\n{out[1][0]}", out[1][1] or out[0][1], out[0][2])]
     return out
 
 
-def chunk_documents(elements: DataFrame, hard: int = HARD, soft: int = SOFT, merge_under: int = MERGE_UNDER) -> DataFrame:
-    """Chunks of rows (document_id, elements in order)."""
+def record(elements: list[tuple[str, str]], hard: int = HARD, soft: int = SOFT, merge_under: int = MERGE_UNDER) -> list[tuple[str, str | None, bool]]:
+    """A record is one chunk under its first title; one over ``hard`` characters falls back to section chunks."""
+    whole = "\n\n".join(text for text, _ in elements if text.strip()).strip()
+    if whole and len(whole) <= hard:
+        return [(whole, next((t for t, c in elements if c == "title"), None), any(c == "table" for _, c in elements))]
+    return fold(elements, hard, soft, merge_under)
+
+
+def chunk_documents(elements: DataFrame, hard: int = HARD, soft: int = SOFT, merge_under: int = MERGE_UNDER, records: bool = False) -> DataFrame:
+    """Chunks of rows (document_id, elements in order); ``records``: by the record profile."""
+    cut = record if records else fold
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(d, i, text, section, table) for d, es in zip(pdf["document_id"], pdf["elements"], strict=True) for i, (text, section, table) in enumerate(fold([(e["text"], e["category"]) for e in (es if es is not None else [])], hard, soft, merge_under))]
+            rows = [(d, i, text, section, table) for d, es in zip(pdf["document_id"], pdf["elements"], strict=True) for i, (text, section, table) in enumerate(cut([(e["text"], e["category"]) for e in (es if es is not None else [])], hard, soft, merge_under))]
             yield pd.DataFrame(rows, columns=["document_id", "chunk_index", "content", "section", "is_table"])
 
     return elements.select("document_id", "elements").mapInPandas(run, CHUNKS)

@@ -31,9 +31,13 @@ def money(c: Column) -> Column:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_columns(table(spark, sf_dir, "documents"))
+
+
+def chunk_columns(documents: DataFrame) -> DataFrame:
     n = F.substring("source", 4, 3).cast("int")
     start = F.when(F.col("doc_id") % 37 == 5, None).otherwise(F.date_add(F.lit("2021-01-01").cast("date"), (F.col("doc_id") * 13 % 2000).cast("int")))
-    return table(spark, sf_dir, "documents").select(
+    return documents.select(
         F.col("doc_id").alias("chunk_id"),
         F.col("text").alias("content"),
         F.col("source").alias("doc_type"),
