@@ -97,7 +97,33 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op3_toxicity, op4_exact_dedup, op5_lm_scoring, op6_pii_surrogates, op7_packing, op8_source_mixing, op9_warc, op10_lz_fingerprint, op11_ranked_search, op12_ngram_join, op13_merkle_manifest)}
 
+
+
+def _near_sql(percent: int, columns: str) -> str:
+    """Components of links between 4-word shingle sets, ``percent`` of their union or more in common."""
+    return rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM w, LATERAL (SELECT unnest(range(1, greatest(len(w) - 2, 2))) AS i) WHERE len(w) > 0),
+        n AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS key FROM s GROUP BY 1),
+        k AS (SELECT key, min(doc_id) AS class_id FROM n GROUP BY 1),
+        p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= {percent} * (na.n + nb.n - c)),
+        reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+        c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1)
+        SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, coalesce(class_id, c.doc_id) AS class_id{columns} FROM c LEFT JOIN n USING (doc_id) LEFT JOIN k USING (key)"""
+
+
 ORACLE_SQL = {
+    "op1_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+        g AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) > 1 AS again
+              FROM w, LATERAL (SELECT unnest(range(1, len(w) - 18)) AS i)),
+        gone AS (SELECT DISTINCT doc_id, i + k AS pos FROM g, LATERAL (SELECT unnest(range(0, 20)) AS k) WHERE again),
+        flat AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM w),
+        kept AS (SELECT f.doc_id, string_agg(word, ' ' ORDER BY f.pos) AS t, count(*) AS n FROM flat f ANTI JOIN gone USING (doc_id, pos) GROUP BY 1)
+        SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
+    "op2_minhash_near_dedup": _near_sql(80, ", c.doc_id = component_id AS kept"),
+    "op12_ngram_join": _near_sql(85, ""),
     "op4_exact_dedup": r"""
         WITH d AS (
           SELECT doc_id, coalesce(text, '') AS t,

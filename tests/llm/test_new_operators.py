@@ -224,3 +224,8 @@ def test_parity_bounds():
         if different and 100 * both >= percent * len(np.union1d(a, b)):
             assert different <= nj.differing(len(a) + len(b), percent)
             assert len(np.intersect1d(nj.join_keys(a, percent), nj.join_keys(b, percent)))
+
+
+@pytest.mark.parametrize("name", ["op1_substring_dedup", "op2_minhash_near_dedup", "op12_ngram_join"])
+def test_other_sql(spark, duck, sf_dir, name):
+    same_as_sql(spark, duck, sf_dir, name)
