@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.lineage import cut
 from .governance import CITATION_KIND
 
-BUCKETS = 256
+BUCKETS = 64
 COUNTS = "title string, kind string, n bigint, bucket int, batch bigint"
 FLAGS = "document_id bigint, title string, acl_tag string, cited boolean, bucket int, batch bigint"
 
@@ -51,7 +51,8 @@ class FlagStore:
         return rows if before is None else rows.where(F.col("batch") < before)
 
     def _write(self, rows: DataFrame, name: str, batch: int) -> None:
-        rows.drop("batch").write.partitionBy("bucket").mode("overwrite").parquet(f"{self.path}/{name}/batch={batch}")
+        # a file or a few in each bucket's folder
+        rows.drop("batch").repartition("bucket", F.pmod(F.xxhash64("title", rows.columns[0]), F.lit(4))).write.partitionBy("bucket").mode("overwrite").parquet(f"{self.path}/{name}/batch={batch}")
 
     def flags(self, before: int | None = None) -> DataFrame:
         """(document_id, title, acl_tag, cited): the last flag of every document that ever had one."""

@@ -2,7 +2,7 @@
 
 Queries are rows (query_id, and a vector or terms). Chunks are scanned once for all queries; scores are columns and
 ranks are windows over (query, source), so nothing loops on the driver. The query set is small and stated, so it is
-broadcast after a check of its size; in a larger set blocks of ``QUERY_BLOCK`` queries meet blocks of
+broadcast in blocks of ``QUERY_BLOCK`` after a check of its size; in a much larger set blocks of queries meet blocks of
 ``CHUNK_BLOCK`` chunks.
 """
 
@@ -15,11 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.lineage import cut
+
 #: Fusion constant, arm and pool sizes, cap of merged pools; a block of chunks holds many times the arm of
 #: each source, so that most pairs are ranked out before the shuffle.
 RRF_K, ARM, POOL, MERGED_CAP = 60, 100, 50, 600
 K1, B = 1.2, 0.75
-QUERY_BLOCK, CHUNK_BLOCK = 256, 16_384
+QUERY_BLOCK, QUERY_TILE, CHUNK_BLOCK, STREAMED_BLOCKS = 4096, 256, 16_384, 64
 #: A side is broadcast up to so many short rows; beyond, Spark joins it like any other.
 BROADCAST_ROWS = 100_000
 
@@ -75,12 +77,37 @@ def _nearest(by: list[str], top: int):
     return best
 
 
+def _past(asked, best):
+    """Runs a task's vectors, CHUNK_BLOCK at a time, past a broadcast table of questions in tiles, so that a product of
+    matrices has a bounded size."""
+
+    def run(batches):
+        held, rows = [], 0
+
+        def meet():
+            table = pa.Table.from_batches(held)
+            for at in range(0, asked.value.num_rows, QUERY_TILE):
+                yield from best(table, asked.value.slice(at, QUERY_TILE)).to_batches()
+
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= CHUNK_BLOCK:
+                yield from meet()
+                held, rows = [], 0
+        if rows:
+            yield from meet()
+
+    return run
+
+
 def vector_arm(chunks: DataFrame, queries: DataFrame, by: list[str], top: int = ARM) -> DataFrame:
     """(query_id, chunk_id, by..., similarity, vrank): the nearest chunks of every query, ranked within ``by``.
 
-    Every chunk meets every query once, as a product of matrices: a batch of chunks and all queries where these are at
-    most ``QUERY_BLOCK``, else a block of each, joined on the cell of the two. Only a batch's best leave its task. Chunks
-    without a vector, of another length, or of zeros or nulls alone are like nothing and aren't ranked.
+    Every chunk meets every query once, as a product of matrices. Up to STREAMED_BLOCKS blocks of questions, these are
+    broadcast block by block and no vector is shuffled; beyond, blocks of both meet, joined on their cell. Only a block's
+    best leave its task. Chunks without a vector, of another length, or of zeros or nulls alone are like nothing and
+    aren't ranked.
     """
     n = queries.count()
     blocks = -(-n // QUERY_BLOCK) or 1
@@ -88,18 +115,18 @@ def vector_arm(chunks: DataFrame, queries: DataFrame, by: list[str], top: int =
     rows = chunks.where("vector is not null").select("chunk_id", *by, "vector")
     form = T.StructType([q.schema["query_id"], *[rows.schema[c] for c in ("chunk_id", *by)], T.StructField("similarity", T.DoubleType())])
     best = _nearest(by, top)
-    if blocks == 1:
-        asked = chunks.sparkSession.sparkContext.broadcast(q.toArrow())  # at most QUERY_BLOCK vectors
-
-        def run(batches):
-            for batch in batches:
-                yield from best(pa.Table.from_batches([batch]), asked.value).to_batches()
-
-        scored = rows.mapInArrow(run, form)
+    own = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    if blocks <= STREAMED_BLOCKS:
+        # the vectors stay where they lie, and blocks of about QUERY_BLOCK questions are sent past them
+        rows = rows if blocks == 1 else cut(rows)
+        scored = None
+        for block in range(blocks):
+            asked = chunks.sparkSession.sparkContext.broadcast(q.where(own("query_id", blocks) == block).toArrow())
+            near = rows.mapInArrow(_past(asked, best), form)
+            scored = near if scored is None else scored.unionByName(near)
     else:
         parts = -(-rows.count() // CHUNK_BLOCK) or 1
         every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-        own = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
         q = q.withColumn("_block", own("query_id", blocks)).withColumn("_part", every(parts))
         rows = rows.withColumn("_part", own("chunk_id", parts)).withColumn("_block", every(blocks))
         # a stated number, or cells of few bytes would be put into one task
@@ -176,21 +203,29 @@ def plan_seats(scored: DataFrame, top: int) -> DataFrame:
 
 
 def at_most_per_plan(scored: DataFrame, top: int, most: int = 2) -> DataFrame:
-    """By score, at most ``most`` chunks of a plan; chunks without one are free."""
+    """By score, at most ``most`` chunks of a plan; chunks without one are free, and pass by the plans' window."""
     own = F.row_number().over(Window.partitionBy("query_id", "plan_code").orderBy(F.desc("score"), "chunk_id"))
-    rows = scored.withColumn("_own", own).where(F.col("plan_code").isNull() | (F.col("_own") <= most)).drop("_own")
+    planned = scored.where("plan_code is not null").withColumn("_own", own).where(F.col("_own") <= most).drop("_own")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    rows = planned.unionByName(scored.where("plan_code is null"))
     return rows.withColumn("position", F.row_number().over(order)).where(F.col("position") <= top)
 
 
 def year_lanes(scored: DataFrame, years: list[int], top: int) -> DataFrame:
-    """Years take turns, latest first; what is left of the places goes by score."""
+    """Years take turns, latest first; what is left of the places goes by score.
+
+    Both windows have a limit, so tasks keep a few rows of a query: lanes take ``share`` rows a year, and what fills up is
+    among the best ``top`` rows after as many as the lanes may hold.
+    """
     share = top // max(1, len(years))
-    own = F.row_number().over(Window.partitionBy("query_id", "year").orderBy(F.desc("score"), "chunk_id"))
-    rows = scored.where(F.col("year").isin(years)).withColumn("_own", own).withColumn("in_lane", F.col("_own") <= share)
-    turn = F.when(F.col("in_lane"), F.col("_own"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("in_lane"), turn.asc_nulls_last(), F.when(F.col("in_lane"), -F.col("year")), F.desc("score"), "chunk_id")
-    return rows.withColumn("position", F.row_number().over(order)).where(F.col("position") <= top).drop("_own")
+    rows = scored.where(F.col("year").isin(years))
+    lane = F.row_number().over(Window.partitionBy("query_id", "year").orderBy(F.desc("score"), "chunk_id"))
+    lanes = rows.withColumn("_own", lane).where(F.col("_own") <= share).withColumn("in_lane", F.lit(True))
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
+    fill = rows.withColumn("_best", best).where(F.col("_best") <= top + share * len(years)).drop("_best")
+    fill = fill.join(lanes.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").withColumn("_own", F.lit(None).cast("int")).withColumn("in_lane", F.lit(False))
+    order = Window.partitionBy("query_id").orderBy(F.desc("in_lane"), F.col("_own").asc_nulls_last(), F.when(F.col("in_lane"), -F.col("year")), F.desc("score"), "chunk_id")
+    return lanes.unionByName(fill).withColumn("position", F.row_number().over(order)).where(F.col("position") <= top).drop("_own")
 
 
 def abstain(scored: DataFrame, bar: Column) -> DataFrame:

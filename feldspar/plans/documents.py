@@ -185,12 +185,11 @@ def p03(spark, d):
     SELECT sha256('CARD|' || original) AS original_hash, '[CARD-' || lpad(row_number() OVER (ORDER BY original)::VARCHAR, 6, '0') || ']' AS pseudonym FROM e""",
 )
 def f06(spark, d):
-    """Vault pseudonyms numbered by type in order of the original: ranks within hash ranges, plus the ranges before."""
+    """Vault pseudonyms numbered by type in order of the original: sorted by range, plus the rows of the ranges before."""
+    from ..operators.ranks import numbered
+
     found = a.table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[0-9]{16}"), F.lit(0))).alias("original")).distinct()
-    ranged = found.withColumn("_p", F.substring("original", 1, 2))
-    before = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).withColumn("_b", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    number = F.row_number().over(Window.partitionBy("_p").orderBy("original")) + F.col("_b")
-    return ranged.join(before, "_p").select(F.sha2(F.concat(F.lit("CARD|"), "original"), 256).alias("original_hash"), F.concat(F.lit("[CARD-"), F.lpad(number.cast("string"), 6, "0"), F.lit("]")).alias("pseudonym"))
+    return numbered(found, "original").select(F.sha2(F.concat(F.lit("CARD|"), "original"), 256).alias("original_hash"), F.concat(F.lit("[CARD-"), F.lpad(F.col("number").cast("string"), 6, "0"), F.lit("]")).alias("pseudonym"))
 
 
 @query(

@@ -154,11 +154,12 @@ def i19(spark, d):
 
 @query("i20_span_overlap", """WITH s AS (SELECT event_id % 400 AS doc_id, event_id AS id, event_id * 7 % 300 AS start, event_id * 7 % 300 + 20 AS stop FROM events), r AS (SELECT * FROM s WHERE id % 2 = 0), e AS (SELECT * FROM s WHERE id % 2 = 1) SELECT e.id, count(r.id) AS hits FROM e LEFT JOIN r ON r.doc_id = e.doc_id - 1 AND r.start < e.stop AND e.start < r.stop GROUP BY 1""")
 def i20(spark, d):
-    """Found against labelled spans within a document: equal document, overlapping interval."""
+    """Found against labelled spans within a document: equal document, overlapping interval; no pair is made."""
+    from ..operators.ranks import overlap_counts
+
     s = a.table(spark, d, "events").select((F.col("event_id") % 400).alias("doc_id"), F.col("event_id").alias("id"), (F.col("event_id") * 7 % 300).alias("start"), (F.col("event_id") * 7 % 300 + 20).alias("stop"))
-    r = s.where("id % 2 = 0").select((F.col("doc_id") + 1).alias("doc_id"), F.col("id").alias("rid"), F.col("start").alias("rs"), F.col("stop").alias("re"))
-    e = s.where("id % 2 = 1")
-    return e.join(r, (e.doc_id == r.doc_id) & (r.rs < e.stop) & (e.start < r.re), "left").groupBy("id").agg(F.count("rid").alias("hits"))
+    labelled = s.where("id % 2 = 0").select((F.col("doc_id") + 1).alias("doc_id"), "start", "stop")
+    return overlap_counts(s.where("id % 2 = 1"), labelled, "doc_id")
 
 
 @query("i21_evidence_pairs", """SELECT o_custkey AS member_id, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey::VARCHAR) AS claims FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' GROUP BY 1""")

@@ -254,10 +254,9 @@ def seen(spark, d):
 
 @query("s01_visibility", f"WITH {SEEN} " + " UNION ALL ".join(_visible(p) for p in PERSONA_TIERS))
 def s01(spark, d):
-    from functools import reduce
-
-    rows = seen(spark, d)
-    return reduce(lambda x, y: x.unionByName(y), [rows.where(visible(Principal(p))).groupBy("acl_tag").agg(F.count(F.lit(1)).alias("chunks")).withColumn("persona", F.lit(p)) for p in PERSONA_TIERS])
+    """Every chunk is read once, and counts for each persona that may see it."""
+    personas = F.filter(F.array(*[F.when(F.coalesce(visible(Principal(p)), F.lit(False)), F.lit(p)) for p in PERSONA_TIERS]), lambda p: p.isNotNull())
+    return seen(spark, d).select("acl_tag", F.explode(personas).alias("persona")).groupBy("persona", "acl_tag").agg(F.count(F.lit(1)).alias("chunks"))
 
 
 @query("s02_relational", f"WITH {SEEN} SELECT chunk_id, acl_tag, cited FROM seen")

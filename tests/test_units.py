@@ -203,7 +203,10 @@ def test_blocks_meet_every_query_and_chunk_once(spark, monkeypatch):
         want = sorted(map(tuple, search.vector_arm(chunks, queries, by, 10).collect()))
         monkeypatch.setattr(search, "QUERY_BLOCK", 4)
         monkeypatch.setattr(search, "CHUNK_BLOCK", 8)
-        assert sorted(map(tuple, search.vector_arm(chunks, queries, by, 10).collect())) == want
+        monkeypatch.setattr(search, "QUERY_TILE", 3)
+        for streamed in (64, 0):
+            monkeypatch.setattr(search, "STREAMED_BLOCKS", streamed)
+            assert sorted(map(tuple, search.vector_arm(chunks, queries, by, 10).collect())) == want
         assert len(want) == 15 * 10 * (3 if by else 1)
         monkeypatch.undo()
 
@@ -242,8 +245,9 @@ def test_vectors_like_nothing_are_not_ranked(spark, monkeypatch):
     chunks = spark.createDataFrame(rows, "chunk_id bigint, vector array<float>")
     queries = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(3)], "query_id bigint, vector array<float>")
     want = sorted((q, c, s, k) for q in range(3) for k, (c, s) in enumerate([(1, 1.0), (5, 1.0)], 1))
-    for block in (256, 2):
+    for block, streamed in ((256, 64), (2, 64), (2, 0)):
         monkeypatch.setattr(search, "QUERY_BLOCK", block)
+        monkeypatch.setattr(search, "STREAMED_BLOCKS", streamed)
         assert sorted(map(tuple, search.vector_arm(chunks, queries, [], 2).collect())) == want
         assert search.vector_arm(chunks.limit(0), queries, [], 2).count() == 0
         assert search.vector_arm(chunks, queries.limit(0), [], 2).count() == 0

@@ -120,3 +120,20 @@ def test_vector_index(spark, tmp_path, monkeypatch):
     assert vi.summary(some).first().recall == 1.0 and vi.summary(some).first().underfilled == 0
     nothing = vectors.where("chunk_id < 0")
     assert vi.fit_centroids(nothing).shape == (0, 0) and vi.probe(index, queries, np.zeros((0, 0)), 1, 5).count() == 0
+
+
+def test_numbers_and_overlaps(spark):
+    from feldspar.operators.ranks import numbered, overlap_counts
+
+    r = random.Random(6)
+    words = [str(r.randrange(10**6)) for _ in range(500)]
+    rows = spark.createDataFrame([(w,) for w in words], "w string")
+    got = sorted((x.number, x.w) for x in numbered(rows, "w").collect())
+    assert [n for n, _ in got] == list(range(1, 501)) and [w for _, w in got] == sorted(words)
+    assert numbered(rows.limit(0), "w").count() == 0
+    span = lambda: (lambda a: (a, a + r.randint(1, 9)))(r.randint(0, 30))
+    found = [(r.randrange(4), i, *span()) for i in range(120)]
+    labelled = [(r.randrange(3), *span()) for _ in range(90)]
+    f, t = spark.createDataFrame(found, "k int, id int, start int, stop int"), spark.createDataFrame(labelled, "k int, start int, stop int")
+    want = {i: sum(k == j and s < b and a < e for j, s, e in labelled) for k, i, a, b in found}
+    assert {x.id: x.hits for x in overlap_counts(f, t, "k").collect()} == want
