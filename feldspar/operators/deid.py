@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.identifiers import canonical_identifier
+
 LEAST_SCORE = 0.35
 
 
@@ -51,3 +53,77 @@ def translated(question: Column, vault: list[tuple[str, str]], least: int = 4) -
     by the caller: the originals of one member or case."""
     rows = sorted((v for v in vault if len(v[0]) >= least), key=lambda v: (-len(v[0]), v[0], v[1]))
     return reduce(lambda q, v: F.regexp_replace(q, r"(?i)(?<!\w)\Q" + v[0] + r"\E(?!\w)", v[1].replace("\\", r"\\").replace("$", r"\$")), rows, question)
+
+
+#: What is recognised by pattern, its score, the identifier whose check digit decides (if any), and the words
+#: before it that make it likelier.
+RECOGNISERS = (
+    ("MEMBER_ID", r"(?i)\bM[\s-]?[0-9]{3}[\s-]?[0-9]{3}[\s-]?[0-9]{3}\b", 0.7, "member_id", ("member", "id", "subscriber", "mbr", "enrollee")),
+    ("MEMBER_ID", r"\b[0-9]{9}\b", 0.3, "member_id", ("member", "id", "subscriber", "mbr", "enrollee")),
+    ("MRN", r"(?i)\bMRN[\s#:-]*[0-9]{7}\b", 0.8, None, ("mrn", "record", "chart")),
+    ("CLAIM_ID", r"(?i)\bCLM[\s-]?(?:[0-9]{10}|[0-9]{3}[\s-]?[0-9]{3}[\s-]?[0-9]{4})\b", 0.8, "claim_id", ("claim", "clm")),
+    ("CASE_ID", r"(?i)\bAPL[\s-]?[0-9]{7}\b", 0.8, "case_id", ("appeal", "case", "grievance")),
+    ("DATE_TIME", r"\b[0-9]{1,2}[./-][0-9]{1,2}[./-](?:[0-9]{4}|[0-9]{2})\b", 0.6, None, ()),
+    ("DATE_TIME", r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b", 0.6, None, ()),
+    ("PHONE_NUMBER", r"\(?\b[0-9]{3}\)?[\s.-]?[0-9]{3}[\s.-][0-9]{4}\b", 0.5, None, ("phone", "call", "contact", "tel", "cell", "fax", "office")),
+)
+#: What a word of context adds, and how many words before a span are looked at.
+CONTEXT_GAIN, CONTEXT_WORDS = 0.35, 5
+_BEFORE = 80  # characters that hold the words before a span
+
+
+def with_context(text: Column, found: Column, context: dict[str, tuple[str, ...]]) -> Column:
+    """``found`` with the scores of spans raised, to 1 at most, where one of their type's words is among the words before."""
+    known = F.create_map(*[x for kind, words in context.items() for x in (F.lit(kind), F.array(*[F.lit(w) for w in words]))])
+
+    def raised(s: Column) -> Column:
+        before = F.lower(text.substr(F.greatest(s["start"] - _BEFORE, F.lit(0)) + 1, F.least(s["start"], F.lit(_BEFORE))))
+        words = F.slice(F.reverse(F.regexp_extract_all(before, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))), 1, CONTEXT_WORDS)
+        near = F.coalesce(F.arrays_overlap(words, F.element_at(known, s["type"])), F.lit(False))
+        return F.struct(s["type"].alias("type"), s["start"].alias("start"), s["stop"].alias("stop"), F.when(near, F.least(F.lit(1.0), s["score"] + CONTEXT_GAIN)).otherwise(s["score"]).alias("score"))
+
+    return F.transform(found, raised)
+
+
+def _checked(text: Column, identifier: str):
+    return lambda s: canonical_identifier(identifier, text.substr(s["start"] + 1, s["stop"] - s["start"])).isNotNull()
+
+
+def _sure(s: Column) -> Column:
+    return F.struct(s["type"].alias("type"), s["start"].alias("start"), s["stop"].alias("stop"), F.lit(1.0).alias("score"))
+
+
+def recognised(text: Column) -> Column:
+    """Spans of all recognisers: a right check digit scores 1, a wrong one drops the span, words of context raise the rest."""
+    parts = []
+    for kind, pattern, score, identifier, words in RECOGNISERS:
+        own = spans(text, {kind: (pattern, score)})
+        if identifier:
+            parts.append(F.transform(F.filter(own, _checked(text, identifier)), _sure))
+        else:
+            parts.append(with_context(text, own, {kind: words}) if words else own)
+    return F.concat(*parts)
+
+
+def evaluate(documents: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(source, entity, n, found, leaked): type-correct recall and leakage of a manifest of planted entities.
+
+    ``documents`` is (doc_id, source, text, spans, stored): resolved spans and the copy that is kept; ``manifest`` is
+    (doc_id, entity, surface, canonical). An entity is found by a span of its type that covers its surface form, and leaks
+    if its surface or canonical form survives in the stored copy. Entities of documents that aren't there count as leaked
+    in nothing and found by nothing, under a null source.
+    """
+    rows = manifest.join(documents, "doc_id", "left")
+    said = lambda s: F.col("text").substr(s["start"] + 1, s["stop"] - s["start"])
+    covered = F.exists("spans", lambda s: (s["type"] == F.col("entity")) & F.contains(said(s), F.col("surface")))
+    survives = F.contains(F.col("stored"), F.col("surface")) | F.contains(F.col("stored"), F.col("canonical"))
+    return rows.groupBy("source", "entity").agg(F.count(F.lit(1)).alias("n"), F.count_if(covered).alias("found"), F.count_if(survives).alias("leaked"))
+
+
+def over_redaction(documents: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(source, applied, needless): replacements, and those whose text neither holds a manifest surface nor lies in one."""
+    surfaces = manifest.groupBy("doc_id").agg(F.collect_set("surface").alias("_surfaces"))
+    rows = documents.join(surfaces, "doc_id", "left")
+    said = lambda s: F.col("text").substr(s["start"] + 1, s["stop"] - s["start"])
+    protects = lambda s: F.exists(F.coalesce("_surfaces", F.array().cast("array<string>")), lambda x: F.contains(said(s), x) | F.contains(x, said(s)))
+    return rows.groupBy("source").agg(F.sum(F.size("spans")).alias("applied"), F.sum(F.size(F.filter("spans", lambda s: ~protects(s)))).alias("needless"))
