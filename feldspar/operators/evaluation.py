@@ -94,3 +94,37 @@ def payload_health(ranked: DataFrame, epsilon: float = 0.005) -> DataFrame:
 def centroid(vectors: DataFrame, vector: str, by: list[str]) -> DataFrame:
     """(by..., position, mean): element-wise means, combined before the shuffle."""
     return vectors.select(*by, F.posexplode(vector).alias("position", "x")).groupBy(*by, "position").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+
+
+#: The drift sample's size, and the cosine shift between centroids that alerts.
+DRIFT_SAMPLE, DRIFT_ALERT = 500, 0.02
+
+
+def drift(before: DataFrame, now: DataFrame, sample: int = DRIFT_SAMPLE) -> DataFrame:
+    """One row: sample_size, norm_mean, centroid_shift, alert, of two snapshots (key, vector).
+
+    Each snapshot is measured by the ``sample`` vectors that are lowest by md5 of their key, so rebuilt snapshots are
+    measured by the same ones; rows without a vector aren't taken. Norms and sizes are those of ``now``. Without vectors
+    before, or with a centroid of zeros, there is no shift and no alert.
+    """
+    lowest = lambda t: t.where("vector is not null").orderBy(F.md5(F.col("key").cast("string").cast("binary")), "key").limit(sample)
+    old, new = lowest(before).withColumn("_side", F.lit("x")), lowest(now).withColumn("_side", F.lit("y"))
+    means = centroid(old.unionByName(new), "vector", ["_side"]).groupBy("position").agg(F.max(F.when(F.col("_side") == "x", F.col("mean"))).alias("x"), F.max(F.when(F.col("_side") == "y", F.col("mean"))).alias("y"))
+    square = lambda c: F.sqrt(F.sum(F.col(c) * F.col(c)))
+    shift = 1 - F.sum(F.col("x") * F.col("y")) / F.nullif(square("x") * square("y"), F.lit(0.0))
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    sizes = new.agg(F.count(F.lit(1)).alias("sample_size"), F.avg(norm).alias("norm_mean"))
+    both = sizes.crossJoin(means.agg(shift.alias("centroid_shift")))  # a row each
+    return both.select("sample_size", "norm_mean", "centroid_shift", F.coalesce(F.col("centroid_shift") > DRIFT_ALERT, F.lit(False)).alias("alert"))
+
+
+def corpus_hash(documents: DataFrame, levels: int = 4, width: int = 256) -> DataFrame:
+    """One row (corpus_hash) of (id, content_hash): hashes in the order of ids, hashed by ranges of ``width`` ids, and so on
+    up ``levels`` times, so no group is longer than ``width``. Two corpora whose hashes differ are told apart by their
+    leaves. Ids must be unique, from 0 to ``width ** levels``; an empty corpus has no row.
+    """
+    nodes = documents.select(F.col("id").alias("i"), F.col("content_hash").alias("h"))
+    for _ in range(levels):
+        ordered = F.array_sort(F.collect_list(F.struct("i", "h")))["h"]
+        nodes = nodes.groupBy(F.floor(F.col("i") / width).alias("i")).agg(F.sha2(F.array_join(ordered, ","), 256).alias("h"))
+    return nodes.select(F.col("h").alias("corpus_hash"))

@@ -55,3 +55,30 @@ def read_declared_csv(spark, path: str, declared: dict[str, str]) -> DataFrame:
 def write_partitioned(df: DataFrame, path: str, by: str) -> None:
     """Appends by partition; a value with many rows is written by as many tasks as its rows fill."""
     df.repartition(F.col(by), F.pmod(F.xxhash64(*df.columns[:1]), F.lit(8))).write.mode("append").partitionBy(by).parquet(path)
+
+
+def refresh_metadata(stored: DataFrame, fresh: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``stored`` with ``columns`` as ``fresh`` (key, columns) says now, and ``changed`` where one of them differs.
+
+    For files whose content is unchanged: nothing else of a row is touched. Nulls are values: a value that becomes null is
+    changed, two nulls aren't. Rows that ``fresh`` doesn't know stay as they are; rows that only it knows aren't added.
+    """
+    now = fresh.select(key, *[F.col(c).alias(f"_{c}") for c in columns], F.lit(True).alias("_known"))
+    rows = stored.join(now, key, "left")
+    known = F.coalesce("_known", F.lit(False))
+    differs = F.lit(False)
+    for c in columns:
+        differs |= ~F.col(c).eqNullSafe(F.col(f"_{c}"))
+    rows = rows.withColumn("changed", known & differs)
+    return rows.withColumns({c: F.when(known, F.col(f"_{c}")).otherwise(F.col(c)) for c in columns}).select(*stored.columns, "changed")
+
+
+def csv_elements(spark, path: str) -> DataFrame:
+    """Elements of CSV files with a header: (file, category, text), a title "Columns: a, b" a file, and each row as text that
+    stands by itself, "a: 1; b: 2", without empty cells. All values are text; rows without any value give no element."""
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    columns = [c for c in rows.columns]
+    cells = F.filter(F.array(*[F.when(F.coalesce(F.col(f"`{c}`"), F.lit("")) != "", F.concat(F.lit(f"{c}: "), F.col(f"`{c}`"))) for c in columns]), lambda x: x.isNotNull())
+    named = rows.select(F.input_file_name().alias("file"), F.array_join(cells, "; ").alias("text"))
+    titles = named.select("file").distinct().select("file", F.lit("title").alias("category"), F.lit("Columns: " + ", ".join(columns)).alias("text"))
+    return titles.unionByName(named.where("text <> ''").select("file", F.lit("text").alias("category"), "text"))

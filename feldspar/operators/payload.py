@@ -49,7 +49,7 @@ def disclose(payloads: DataFrame, ranked: DataFrame, persona: str, log: str) ->
         F.lit(run).alias("run"), F.lit(persona).alias("persona"), F.current_timestamp().alias("at"), "query_id", "status", "confidence", "payload", F.col("s")["chunk_id"].alias("chunk_ids"), F.col("s")["content_hash"].alias("content_hashes"), F.col("s")["title"].alias("titles"), F.array_distinct(F.col("s")["acl_tag"]).alias("acl_basis")
     )
     rows.write.mode("append").partitionBy("run").parquet(log)
-    return payloads.sparkSession.read.parquet(log).where(F.col("run") == run).select("query_id", "status", "confidence", "payload")
+    return payloads.sparkSession.read.parquet(f"{log}/run={run}").select("query_id", "status", "confidence", "payload")
 
 
 def lineage(log: DataFrame, title_like: str | None = None, persona: str | None = None) -> DataFrame:

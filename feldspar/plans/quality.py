@@ -7,7 +7,9 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..operators import deid, health, search
+from ..functions.lineage import fresh_folder
+from ..functions.text import html_table_to_markdown
+from ..operators import deid, evaluation, health, ingest, search
 from . import adapters as a
 from .assembly import T02, _payloads
 from .lookup import DIGITS, spoken
@@ -81,3 +83,66 @@ def t09_arms(spark, d):
     return health.hits_at(ranked, q.select("query_id", F.col("query_id").alias("chunk_id")), 5)
 
 
+@query(
+    "t11_drift_sample",
+    """WITH s AS (SELECT label % 2 AS g, vec_id, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label % 2 ORDER BY md5(vec_id::VARCHAR), vec_id) AS r FROM embeddings), t AS (SELECT * FROM s WHERE r <= 500),
+    f AS (SELECT g, unnest(v) AS x, generate_subscripts(v, 1) AS p FROM t), m AS (SELECT p, avg(x) FILTER (WHERE g = 0) AS x, avg(x) FILTER (WHERE g = 1) AS y FROM f GROUP BY 1),
+    c AS (SELECT 1 - sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))) AS shift FROM m)
+    SELECT count(*) AS sample_size, round(avg(sqrt(list_dot_product(v, v))), 5) AS norm_mean, round(any_value(shift), 5) AS centroid_shift, any_value(shift) > 0.02 AS alert FROM t, c WHERE g = 1""",
+)
+def t11_sample(spark, d):
+    """Drift between two snapshots (labels by parity), by the 500 vectors of each that are lowest by md5."""
+    rows = a.table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"), (F.col("label") % 2).alias("g"))
+    got = evaluation.drift(rows.where("g = 0").drop("g"), rows.where("g = 1").drop("g"))
+    return got.select("sample_size", F.round("norm_mean", 5).alias("norm_mean"), F.round("centroid_shift", 5).alias("centroid_shift"), "alert")
+
+
+@query(
+    "j05_corpus_hash",
+    """WITH a AS (SELECT doc_id // 256 AS i, sha256(string_agg(md5(text), ',' ORDER BY doc_id)) AS h FROM documents GROUP BY 1),
+    b AS (SELECT i // 256 AS i, sha256(string_agg(h, ',' ORDER BY i)) AS h FROM a GROUP BY i // 256), c AS (SELECT i // 256 AS i, sha256(string_agg(h, ',' ORDER BY i)) AS h FROM b GROUP BY i // 256)
+    SELECT sha256(string_agg(h, ',' ORDER BY i)) AS corpus_hash FROM c""",
+)
+def j05(spark, d):
+    """One hash of all documents in order."""
+    return evaluation.corpus_hash(a.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.md5("text").alias("content_hash")))
+
+
+@query(
+    "c04_refreshed",
+    """SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN CASE WHEN doc_id % 3 > 0 THEN source END WHEN doc_id % 6 > 0 THEN source END AS source, CASE WHEN doc_id % 5 = 4 THEN lang ELSE upper(lang) END AS lang, doc_id % 5 < 4 AS changed FROM documents""",
+)
+def c04_refreshed(spark, d):
+    """Stored metadata after a refresh of four files in five: sources that come or go as null, languages in capitals."""
+    docs, k = a.table(spark, d, "documents"), F.col("doc_id")
+    stored = docs.select("doc_id", F.when(k % 3 > 0, F.col("source")).alias("source"), "lang")
+    fresh = docs.where(k % 5 < 4).select("doc_id", F.when(k % 6 > 0, F.col("source")).alias("source"), F.upper("lang").alias("lang"))
+    return ingest.refresh_metadata(stored, fresh, "doc_id", ["source", "lang"])
+
+
+@query(
+    "a02_csv_elements",
+    """SELECT 'title' AS category, 'Columns: c_custkey, c_name, note' AS text UNION ALL
+    SELECT 'text', 'c_custkey: ' || c_custkey || '; c_name: ' || c_name || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '; note: said "yes, ' || c_mktsegment || '"' || chr(10) || 'twice' END FROM customer""",
+)
+def a02_elements(spark, d):
+    """Customers written as CSV, with quotes, commas, line breaks and empty cells, and read as elements."""
+    path, k = fresh_folder(spark, "csv"), F.col("c_custkey")
+    note = F.when(k % 3 > 0, F.concat(F.lit('said "yes, '), "c_mktsegment", F.lit('"\ntwice')))
+    a.table(spark, d, "customer").select(k, "c_name", note.alias("note")).coalesce(1).write.option("header", True).option("escape", '"').csv(path)
+    return ingest.csv_elements(spark, path).select("category", "text")
+
+
+@query(
+    "a04_html_tables",
+    """WITH r AS (SELECT p_partkey // 8 AS chunk_id, p_partkey AS k, '| ' || p_name || ' | ' || p_type || '/x | ' || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_size::VARCHAR END || ' |' AS row FROM part)
+    SELECT chunk_id, md5('| Part | Type | Size |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg(row, chr(10) ORDER BY k)) AS markdown_md5 FROM r GROUP BY 1""",
+)
+def a04_tables(spark, d):
+    """HTML tables of eight parts each as Markdown: short rows are padded, a bar in a cell becomes a slash."""
+    k = F.col("p_partkey")
+    size = F.when(k % 3 > 0, F.concat(F.lit("<td align=right>"), "p_size", F.lit("</td>"))).otherwise("")
+    row = F.concat(F.lit("<tr class='r'>\n<td><b>"), "p_name", F.lit("</b></td><TD>"), "p_type", F.lit("|x</TD>"), size, F.lit("</tr>"))
+    body = a.table(spark, d, "part").groupBy(F.floor(k / 8).alias("chunk_id")).agg(F.array_join(F.array_sort(F.collect_list(F.struct(k, row.alias("r"))))["r"], "\n").alias("rows"))
+    html = F.concat(F.lit("<table border=1><tr><th>Part</th><th> Type </th><th>Size</th></tr>"), "rows", F.lit("</table>"))
+    return body.select("chunk_id", F.md5(html_table_to_markdown(html)).alias("markdown_md5"))

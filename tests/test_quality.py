@@ -53,3 +53,40 @@ def test_hits_of_arms(spark):
     ranked = spark.createDataFrame([("v", 1, 1, 1), ("v", 2, 9, 1), ("v", 2, 2, 6), ("l", 2, 2, 5), ("l", 2, 2, 5)], "arm string, query_id int, chunk_id int, rank int")
     wanted = spark.createDataFrame([(1, 1), (2, 2), (3, 3)], "query_id int, chunk_id int")
     assert {tuple(r) for r in health.hits_at(ranked, wanted, 5).collect()} == {("v", 3, 1), ("l", 3, 1)}
+
+
+def test_drift_and_corpus_hash(spark):
+    import hashlib
+
+    from feldspar.operators import evaluation
+
+    rows = lambda *vs: spark.createDataFrame(list(enumerate(vs)), "key bigint, vector array<float>")
+    same = evaluation.drift(rows([1.0, 0.0], [0.0, 1.0]), rows([2.0, 0.0], [0.0, 2.0], None)).first()
+    assert same.sample_size == 2 and same.norm_mean == 2.0 and abs(same.centroid_shift) < 1e-12 and not same.alert
+    assert abs(evaluation.drift(rows([1.0, 0.0]), rows([0.0, 1.0])).first().centroid_shift - 1) < 1e-12
+    for before in (rows(), rows([0.0, 0.0])):
+        row = evaluation.drift(before, rows([0.0, 1.0])).first()
+        assert row.centroid_shift is None and not row.alert
+    few = evaluation.drift(rows(*[[float(i), 1.0] for i in range(30)]), rows(*[[float(i), 1.0] for i in range(30)]), sample=5).first()
+    assert few.sample_size == 5 and abs(few.centroid_shift) < 1e-12
+    docs = spark.createDataFrame([(i, f"h{i}") for i in range(30)], "id bigint, content_hash string")
+    nodes = {i: f"h{i}" for i in range(30)}
+    for _ in range(3):
+        nodes = {j: hashlib.sha256(",".join(nodes[i] for i in sorted(nodes) if i // 4 == j).encode()).hexdigest() for j in {i // 4 for i in nodes}}
+    assert [r.corpus_hash for r in evaluation.corpus_hash(docs.repartition(3), 3, 4).collect()] == list(nodes.values())
+    assert evaluation.corpus_hash(docs.limit(0)).count() == 0
+
+
+def test_metadata_and_csv_elements(spark, tmp_path):
+    from feldspar.operators import ingest
+
+    stored = spark.createDataFrame([(1, "a", None, 5), (2, None, "x", 6), (3, "c", "y", 7)], "k int, m string, n string, other int")
+    fresh = spark.createDataFrame([(1, "a", None), (2, "b", None), (4, "d", "d")], "k int, m string, n string")
+    assert sorted(map(tuple, ingest.refresh_metadata(stored, fresh, "k", ["m", "n"]).collect())) == [(1, "a", None, 5, False), (2, "b", None, 6, True), (3, "c", "y", 7, False)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "t.csv").write_text('a,b c,d\n1,"x, ""y""",\n,,\n2,"two\nlines",z\n')
+    got = [(r.category, r.text) for r in ingest.csv_elements(spark, str(tmp_path / "in")).collect()]
+    assert got == [("title", "Columns: a, b c, d"), ("text", 'a: 1; b c: x, "y"'), ("text", "a: 2; b c: two\nlines; d: z")]
+    ingest.write_partitioned(stored, f"{tmp_path}/out", "k")
+    ingest.write_partitioned(stored.where("k = 1"), f"{tmp_path}/out", "k")
+    assert spark.read.parquet(f"{tmp_path}/out").groupBy("k").count().where("k = 1").first()["count"] == 2
