@@ -207,12 +207,12 @@ def e03(spark, d):
     return first.unionByName(index.add(docs.where("doc_id % 2 = 1"), 1))
 
 
-#: Names that no text of the tables holds; a customer's are chosen by its key.
+#: Names that no text of the tables holds; a customer's are chosen by its key, and of each list two are no customer's.
 FIRST = "Quillon Zebediah Marguerite Ottoline Peregrine Thaddeus Wilhelmina Xiomara Yevgenia Bartholomew".split()
 LAST = "Ostrander Vanterpool Quackenbush Featherstone Abernathy Macgillicuddy Zimmerwald Lockridge Throckmorton Winterbourne".split()
 NAMED = f"""b AS (SELECT doc_id, source, text, {FIRST}[doc_id % 10 + 1] AS f, {LAST}[(doc_id // 10) % 10 + 1] AS l, doc_id % 5 AS how FROM documents),
   t AS (SELECT *, CASE how WHEN 0 THEN f || ' ' || l WHEN 1 THEN l || ', ' || f WHEN 2 THEN f || ' then ' || l WHEN 3 THEN f ELSE l || ' ' || f END AS said FROM b),
-  r AS (SELECT DISTINCT {FIRST}[c_custkey % 10 + 1] AS f, {LAST}[(c_custkey // 10) % 10 + 1] AS l FROM customer WHERE c_custkey % 100 < 60)"""
+  r AS (SELECT DISTINCT {FIRST}[c_custkey % 8 + 1] AS f, {LAST}[(c_custkey % 8 + c_custkey // 8 % 4) % 8 + 1] AS l FROM customer)"""
 
 
 @query(
@@ -231,7 +231,7 @@ def f02(spark, d):
     said = F.when(how == 0, F.concat(f, F.lit(" "), last)).when(how == 1, F.concat(last, F.lit(", "), f)).when(how == 2, F.concat(f, F.lit(" then "), last)).when(how == 3, f).otherwise(F.concat(last, F.lit(" "), f))
     docs = a.table(spark, d, "documents").select("doc_id", F.concat(F.lit("Spoke to "), said, F.lit(". "), F.coalesce("text", F.lit(""))).alias("text"))
     c = F.col("c_custkey")
-    names = a.table(spark, d, "customer").where(c % 100 < 60).select(pick(FIRST, c % 10).alias("first"), pick(LAST, F.floor(c / 10) % 10).alias("last"))
+    names = a.table(spark, d, "customer").select(pick(FIRST, c % 8).alias("first"), pick(LAST, (c % 8 + F.floor(c / 8) % 4) % 8).alias("last"))
     found = roster.roster_spans(docs, names).select("doc_id", deid.resolve(F.col("spans")).alias("s")).where(F.size("s") > 0)
     shown = F.transform(F.array_sort(F.transform("s", lambda s: F.struct(s["start"], s["stop"], s["score"]))), lambda s: F.concat(s["start"], F.lit("-"), s["stop"], F.lit(":"), s["score"].cast("string")))
     return found.select("doc_id", F.array_join(shown, " ").alias("spans"))
