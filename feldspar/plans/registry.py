@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     from ..streaming import batches  # noqa: F401
-    from . import assembly, catalog, composition, documents, evaluation, ingestion, lookup, maintenance, quality, retrieval, upkeep, warehouse  # noqa: F401
+    from . import accounts, assembly, catalog, composition, documents, evaluation, ingestion, lookup, maintenance, quality, retrieval, upkeep, warehouse  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
