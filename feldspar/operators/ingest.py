@@ -44,9 +44,12 @@ def rebuild_copies(chunks: DataFrame, index_text: Column) -> DataFrame:
     return chunks.withColumn("_changed", changed).withColumn("index_text", index_text).withColumn("vector", F.when(F.col("_changed"), None).otherwise(F.col("vector"))).drop("_changed")
 
 
-def read_declared_csv(spark, path: str, declared: dict[str, str]) -> DataFrame:
-    """CSV by header: declared columns that the header has are cast, others are left out, missing ones and '' are null."""
-    raw = spark.read.csv(path, header=True)
+def read_declared_csv(spark, path: str, declared: dict[str, str], multi_line: bool = False) -> DataFrame:
+    """CSV by header: declared columns that the header has are cast, others are left out, missing ones and '' are null.
+
+    A quote inside a quoted cell is doubled. Cells with line breaks need ``multi_line``, which reads each file in one task.
+    """
+    raw = spark.read.csv(path, header=True, escape='"', multiLine=multi_line)
     have = {c.lower(): c for c in raw.columns}
     value = lambda c: F.nullif(F.col(f"`{have[c]}`"), F.lit(""))
     return raw.select(*[(value(c) if c in have else F.lit(None)).try_cast(t).alias(c) for c, t in declared.items()])

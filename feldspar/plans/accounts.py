@@ -1,4 +1,5 @@
-"""Queries of re-identification by entitlement, released spans, recorded runs, explained items and what questions say."""
+"""Queries of re-identification by entitlement, released spans, recorded runs, explained items, what questions say, who is
+served, and what is stored beside a chunk."""
 
 from __future__ import annotations
 
@@ -7,7 +8,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..functions.lineage import fresh_folder
-from ..operators import reading, reidentify, runs, search
+from ..operators import identity, ingest, reading, reidentify, runs, search
 from . import adapters as a
 from .lookup import DIGITS, spoken
 from .registry import query
@@ -164,3 +165,59 @@ def p07(spark, d):
     got = rows.select("question_id", F.array_join(reading.asked_options(F.col("q"), ("Basic", "Basic Plus", "High", "Standard"), shy=("High", "Standard"), pairs=(("High", "Standard"),)), ",").alias("options"), reading.boundary(F.col("q"), "Larkspur Plans", ("Umber Health", "Teal Mutual"), 2021, 2026).alias("b"))
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     return got.select("question_id", "options", "b.scope", blank("b.value").alias("value"), blank("b.note").alias("note"))
+
+
+GROUPS = [("1-URGENT", "admin"), ("2-HIGH", "care_team"), ("3-MEDIUM", "appeals")]
+GRANTS = [("ask", "1-URGENT", "whole"), ("ask", "2-HIGH", "care"), ("ask", "3-MEDIUM", "appeals"), ("desk", "2-HIGH", "care"), ("desk", "1-URGENT", "whole")]
+_VALUES = lambda rows: "(VALUES " + ", ".join(str(r) for r in rows) + ")"
+
+
+@query(
+    "s12_served_requests",
+    f"""WITH g AS (SELECT * FROM {_VALUES(GROUPS)} t(grp, persona)), m AS (SELECT * FROM {_VALUES(GRANTS)} t(surface, grp, module)),
+    u AS (SELECT o_custkey AS user_id, min(grp) AS grp FROM orders JOIN g ON grp = o_orderpriority GROUP BY 1), k AS (SELECT c_custkey AS user_id, grp, persona FROM customer LEFT JOIN u ON c_custkey = u.user_id LEFT JOIN g USING (grp)),
+    r AS (SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 10 = 9 THEN -1 ELSE o_custkey END AS user_id, CASE WHEN o_orderkey % 3 = 0 THEN 'desk' ELSE 'ask' END AS surface, o_orderkey % 7 = 0 AS forged FROM orders),
+    s AS (SELECT request_id, CASE WHEN forged THEN 400 WHEN k.user_id IS NULL THEN 401 WHEN module IS NULL THEN 403 ELSE 200 END AS status, module, persona FROM r LEFT JOIN k USING (user_id) LEFT JOIN m USING (surface, grp))
+    SELECT request_id, status, CASE WHEN status = 200 THEN module END AS module, CASE WHEN status = 200 THEN persona END AS persona FROM s""",
+)
+def s12(spark, d):
+    """A request for every order, by its customer: forged identities, unknown users and surfaces that aren't granted."""
+    orders, k = a.table(spark, d, "orders"), F.col("o_orderkey")
+    users = a.table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
+    groups, grants = spark.createDataFrame(GROUPS, "group string, persona string"), spark.createDataFrame(GRANTS, "surface string, group string, module string")
+    known = identity.identities(users, orders.select(F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("group")), groups)
+    fields = F.when(k % 7 == 0, F.array(F.lit("question"), F.lit("Role"))).when(k % 2 == 0, F.array(F.lit("question")))
+    requests = orders.select(k.alias("request_id"), F.when(k % 10 == 9, -1).otherwise(F.col("o_custkey")).alias("user_id"), F.when(k % 3 == 0, "desk").otherwise("ask").alias("surface"), fields.alias("fields"))
+    return identity.served(requests, known, grants)
+
+
+@query(
+    "d09_chunk_metadata",
+    f"""WITH {a.CHUNKS} SELECT chunk_id, year, plan_code, acl_tag, doc_type, '{{' || array_to_string(list_filter(['"title":"' || title || '"', '"program":"' || CASE WHEN plan_code LIKE '%P' THEN 'PSHB' WHEN plan_code IS NOT NULL THEN 'FEHB' END || '"',
+      CASE WHEN len(section_options) > 0 THEN '"section_options":["' || array_to_string(section_options, '","') || '"]' END, '"effective_date":"' || effective_from || '"', CASE WHEN policy_id IS NOT NULL THEN '"record":{{"policy_id":"' || policy_id || '"}}' END], lambda x: x IS NOT NULL), ',') || '}}' AS metadata FROM chunks""",
+)
+def d09(spark, d):
+    """Every chunk as it is stored: typed columns that filters use, and a JSON text of what describes it."""
+    described = {
+        "title": F.col("title"),
+        "program": F.when(F.col("plan_code").endswith("P"), "PSHB").when(F.col("plan_code").isNotNull(), "FEHB"),
+        "section_options": F.when(F.size("section_options") > 0, F.col("section_options")),
+        "effective_date": F.col("effective_from").cast("string"),
+        "record": F.when(F.col("policy_id").isNotNull(), F.struct("policy_id")),
+    }
+    return identity.chunk_rows(a.chunks(spark, d), ["chunk_id", "year", "plan_code", "acl_tag", "doc_type"], described)
+
+
+@query(
+    "a06_linked_encounters",
+    """SELECT o_orderkey AS encounter_id, CASE WHEN o_orderkey % 4 = 3 THEN 'P' || o_orderkey % 50 WHEN o_orderkey % 3 > 0 THEN 'P' || o_orderkey % 60 END AS provider, CASE WHEN o_orderkey % 4 < 3 THEN 'said "O", ' || o_orderkey % 7 END AS organization, o_orderkey % 4 < 3 AS changed FROM orders""",
+)
+def a06(spark, d):
+    """Encounters linked to providers and organizations by a file of links: its header is in another order, has a column that
+    nobody declared, and empty cells; encounters that it doesn't name stay as they are."""
+    k, path = F.col("o_orderkey"), fresh_folder(spark, "links")
+    orders = a.table(spark, d, "orders")
+    orders.where(k % 4 < 3).select(F.concat(F.lit('said "O", '), k % 7).alias("ORGANIZATION"), F.lit("x").alias("note"), F.when(k % 3 > 0, F.concat(F.lit("P"), k % 60)).alias("Provider"), k.alias("Id")).write.option("header", True).option("escape", '"').csv(path)
+    links = ingest.read_declared_csv(spark, path, {"id": "bigint", "provider": "string", "organization": "string"}).withColumnRenamed("id", "encounter_id")
+    stored = orders.select(k.alias("encounter_id"), F.concat(F.lit("P"), k % 50).alias("provider"), F.lit(None).cast("string").alias("organization"))
+    return ingest.refresh_metadata(stored, links, "encounter_id", ["provider", "organization"])

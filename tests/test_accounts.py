@@ -83,3 +83,25 @@ def test_readings(spark):
     scope = reading.boundary(F.col("q"), "Own", ("Other Co",), 2021, 2026)
     table = spark.createDataFrame([(0, "other co in 2019"), (1, "Other Co against own"), (2, None), (3, "medicare penalty"), (4, "2020")], "i int, q string")
     assert [r.s for r in table.orderBy("i").select(scope["scope"].alias("s")).collect()] == ["other_carrier", "in_scope", "in_scope", "medicare_program", "out_of_year"]
+
+
+def test_identities_and_served_requests(spark):
+    from feldspar.operators import identity
+
+    users = spark.createDataFrame([(1,), (2,), (3,)], "user_id int")
+    members = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, "zz"), (2, None), (9, "a")], "user_id int, group string")
+    groups = spark.createDataFrame([("a", "admin"), ("b", "care_team"), (None, "x")], "group string, persona string")
+    known = identity.identities(users, members, groups)
+    assert sorted(map(tuple, known.collect())) == [(1, "a", "admin"), (2, None, None), (3, None, None)]
+    grants = spark.createDataFrame([("ask", "a", "m2"), ("ask", "a", "m1")], "surface string, group string, module string")
+    asked = spark.createDataFrame([(1, 1, "ask", None), (2, 1, "desk", []), (3, 2, "ask", ["question"]), (4, 8, "ask", ["question"]), (5, None, "ask", ["Persona"]), (6, 1, None, None)], "request_id int, user_id int, surface string, fields array<string>")
+    got = sorted(map(tuple, identity.served(asked, known, grants).collect()))
+    assert got == [(1, 200, "m1", "admin"), (2, 403, None, None), (3, 403, None, None), (4, 401, None, None), (5, 400, None, None), (6, 403, None, None)]
+
+
+def test_metadata_json(spark):
+    from feldspar.operators import identity
+
+    rows = spark.createDataFrame([(1, 'a "b"\n', [1, 2]), (2, None, None)], "k int, t string, l array<int>")
+    got = identity.chunk_rows(rows, ["k"], {"t": F.col("t"), "l": F.col("l")}).orderBy("k").collect()
+    assert [tuple(r) for r in got] == [(1, '{"t":"a \\"b\\"\\n","l":[1,2]}'), (2, "{}")]
