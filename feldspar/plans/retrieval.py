@@ -105,12 +105,18 @@ def _arms(spark, d, chunks=None):
     return vec, search.bm25_arm(rows, question_terms(spark, d, q), ["doc_type"])
 
 
+def _fused(spark, d, pool=10_000):
+    """Both arms of every question per source, fused."""
+    q, rows = query_vectors(spark, d), a.chunks(spark, d)
+    vectors = a.table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    return search.hybrid(rows, rows.select("chunk_id", "doc_type").join(vectors, "chunk_id"), q, question_terms(spark, d, q), ["doc_type"], pool=pool)
+
+
 @query("h05_rrf", f"WITH {CHUNKS}, {ARMS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, chunk_id) AS rank FROM fused) SELECT query_id, chunk_id, doc_type, vrank, trank, rrf, rank FROM r WHERE rank <= 50")
 def h05(spark, d):
     """The flagship: both arms per source, fused, the 50 best of each question."""
-    vec, txt = _arms(spark, d)
     own = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rrf"), "chunk_id"))
-    fused = search.fuse(vec, txt, ["doc_type"], pool=10_000).drop("rank").withColumn("rank", own).where("rank <= 50")
+    fused = _fused(spark, d).drop("rank").withColumn("rank", own).where("rank <= 50")
     return fused.select("query_id", "chunk_id", "doc_type", F.col("vrank").cast("bigint").alias("vrank"), F.col("trank").cast("bigint").alias("trank"), "rrf", F.col("rank").cast("bigint").alias("rank"))
 
 
