@@ -123,7 +123,7 @@ def h05(spark, d):
 @query("h06_pools", f"WITH {CHUNKS}, {ARMS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_type ORDER BY rrf DESC, chunk_id) AS rank FROM fused) SELECT query_id, chunk_id, doc_type, rrf, rank FROM r WHERE rank <= 50")
 def h06(spark, d):
     """A pool of 50 for each source."""
-    return search.fuse(*_arms(spark, d), ["doc_type"]).select("query_id", "chunk_id", "doc_type", "rrf", F.col("rank").cast("bigint").alias("rank"))
+    return _fused(spark, d, search.POOL).select("query_id", "chunk_id", "doc_type", "rrf", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(

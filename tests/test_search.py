@@ -51,3 +51,14 @@ def test_hybrid_is_the_fusion_of_both_arms(chunks, terms, blocks):
     columns = ["query_id", "chunk_id", "doc_type", "vrank", "trank", "rrf", "rank"]
     by = lambda r: tuple(-1 if x is None else x for x in r)
     assert sorted(map(tuple, got.select(columns).collect()), key=by) == sorted(map(tuple, want.select(columns).collect()), key=by)
+
+
+def joins_on_terms(query, spark, sf_dir):
+    from feldspar.plans import registry
+
+    plan = registry.queries()[query](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    return [line for line in plan.splitlines() if "Join" in line and "term#" in line]
+
+
+def test_pools_make_no_pairs_of_questions_and_words(spark, sf_dir):
+    assert joins_on_terms("h06_pools", spark, sf_dir) == []
