@@ -134,9 +134,8 @@ def h06(spark, d):
 )
 def h07(spark, d):
     """One global pool of 50, and three of each source that it has too few of."""
-    fused = search.fuse(*_arms(spark, d), ["doc_type"], pool=10_000).select("query_id", "chunk_id", "doc_type", "rrf")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rrf"), "chunk_id"))
-    return search.with_floor(fused.withColumn("rank", rank).where("rank <= 50").drop("rank"), fused, "doc_type", 3)
+    fused = _fused(spark, d).select("query_id", "chunk_id", "doc_type", "rrf")
+    return search.pool_with_floor(fused, "doc_type", 50, 3)
 
 
 @query(

@@ -62,3 +62,11 @@ def joins_on_terms(query, spark, sf_dir):
 
 def test_pools_make_no_pairs_of_questions_and_words(spark, sf_dir):
     assert joins_on_terms("h06_pools", spark, sf_dir) == []
+
+
+def test_pool_and_floor_read_their_candidates_once(spark, sf_dir):
+    rows = spark.createDataFrame([(q, c, f"s{c % 4}", ((c * 7 + q) % 11) / 100) for q in range(3) for c in range(40)], "query_id bigint, chunk_id bigint, doc_type string, rrf double")
+    top = rows.orderBy("query_id", F.desc("rrf"), "chunk_id").collect()
+    pooled = spark.createDataFrame([r for q in range(3) for r in [x for x in top if x.query_id == q][:5]], rows.schema)
+    assert sorted(map(tuple, search.pool_with_floor(rows, "doc_type", 5, 2).collect())) == sorted(map(tuple, search.with_floor(pooled, rows, "doc_type", 2).collect()))
+    assert joins_on_terms("h07_floor", spark, sf_dir) == []
