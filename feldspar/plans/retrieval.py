@@ -149,10 +149,10 @@ def h07(spark, d):
 )
 def h09(spark, d):
     """A reading per edition year and one over all years, merged turn by turn under the cap."""
-    fused = search.fuse(*_arms(spark, d), ["doc_type"], pool=10_000).select("query_id", "chunk_id", "rrf")
+    fused = _fused(spark, d).select("query_id", "chunk_id", "rrf")
     years = a.chunks(spark, d).select("chunk_id", F.explode(F.array(F.col("year"), F.lit(0))).alias("reading"))
     position = F.row_number().over(Window.partitionBy("query_id", "reading").orderBy(F.desc("rrf"), "chunk_id"))
-    pools = fused.join(years, "chunk_id").withColumn("position", position)
+    pools = fused.join(years, "chunk_id").withColumn("position", position).where(F.col("position") <= search.MERGED_CAP)  # later ones are past the cap
     return search.round_robin(pools).select("query_id", "chunk_id", "reading", F.col("position").cast("bigint").alias("position"), F.col("merged_rank").cast("bigint").alias("merged_rank"))
 
 

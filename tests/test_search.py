@@ -70,3 +70,15 @@ def test_pool_and_floor_read_their_candidates_once(spark, sf_dir):
     pooled = spark.createDataFrame([r for q in range(3) for r in [x for x in top if x.query_id == q][:5]], rows.schema)
     assert sorted(map(tuple, search.pool_with_floor(rows, "doc_type", 5, 2).collect())) == sorted(map(tuple, search.with_floor(pooled, rows, "doc_type", 2).collect()))
     assert joins_on_terms("h07_floor", spark, sf_dir) == []
+
+
+def test_merged_pools_make_no_pairs_of_questions_and_words(spark, sf_dir):
+    assert joins_on_terms("h09_merge_cap", spark, sf_dir) == []
+
+
+def test_arms_without_a_source_make_no_pairs(spark, sf_dir):
+    assert joins_on_terms("t09_arms_and_sabotage", spark, sf_dir) == []
+
+
+def test_explained_pools_make_no_pairs(spark, sf_dir):
+    assert joins_on_terms("t20_explained_items", spark, sf_dir) == []
