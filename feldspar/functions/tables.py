@@ -55,7 +55,7 @@ def table_rows(content: Column) -> Column:
     A table's header is its first row; other lines between rows end a table.
     """
     lines = F.transform(F.split(F.coalesce(content, F.lit("")), "\n"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
-    cells = lambda s: F.transform(F.split(F.regexp_replace(s, r"^\|+|\|+$", ""), r"\|"), F.trim)
+    cells = lambda s: F.transform(F.split(F.regexp_replace(s, r"^\|+|\|+$", ""), r"\|"), lambda c: F.trim(c))
     is_row = lambda s: s.startswith("|") & s.endswith("|")
     is_rule = lambda s: F.forall(cells(s), lambda c: ~c.rlike("[^-: ]"))
     empty = F.lit(None).cast("array<string>")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def sentences(text: Column) -> Column:
     """Split after . ; ! ? before white space, and at line breaks; trimmed, empties dropped."""
     parts = F.split(text, r"(?<=[.;!?])\s+|\n")
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    # a function of one argument: trim's own second one would be the sentence's place, whose digits it would take off
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def expand_shorthand(text: Column, words: dict[str, str]) -> Column:
