@@ -49,6 +49,8 @@ def health_summary(health: DataFrame) -> DataFrame:
 def hits_at(ranked: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(arm, questions, hits): of the questions of ``wanted`` (query_id, chunk_id), how many find a wanted chunk among the
     best k of each arm of ``ranked`` (arm, query_id, chunk_id, rank); arms without any row aren't there."""
-    found = ranked.where(F.col("rank") <= k).join(wanted, ["query_id", "chunk_id"]).select("arm", "query_id").distinct().withColumn("hit", F.lit(1))
-    asked = ranked.select("arm").distinct().crossJoin(F.broadcast(wanted.agg(F.countDistinct("query_id").alias("questions"))))  # a row an arm
-    return asked.join(found.groupBy("arm").agg(F.count("hit").alias("hits")), "arm", "left").select("arm", "questions", F.coalesce("hits", F.lit(0)).alias("hits"))
+    # one reading of the arms: each of their rows may be dear
+    near = ranked.select("arm", F.when(F.col("rank") <= k, F.col("query_id")).alias("query_id"), "chunk_id")
+    found = near.join(wanted.select("query_id", "chunk_id", F.col("query_id").alias("_hit")).distinct(), ["query_id", "chunk_id"], "left")
+    asked = F.broadcast(wanted.agg(F.countDistinct("query_id").alias("questions")))  # one row
+    return found.groupBy("arm").agg(F.countDistinct("_hit").alias("hits")).crossJoin(asked).select("arm", "questions", "hits")
