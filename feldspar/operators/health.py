@@ -24,9 +24,14 @@ def payload_health(payloads: DataFrame) -> DataFrame:
     """
     chunks, legs = F.coalesce("chunks", F.array().cast(CHUNKS)), F.coalesce("legs", F.array().cast(LEGS))
     key = lambda c: F.concat_ws("\x01", F.coalesce(c["title"], F.lit("")), F.coalesce(c["pages"], F.lit("")), F.substring(_plain(c["text"]), 1, 80))
-    keyed = F.transform(chunks, lambda c: F.struct(key(c).alias("k"), F.coalesce(c["score"], F.lit(0.0)).alias("s")))
-    distinct = F.array_distinct(F.transform(keyed, lambda x: x["k"]))
-    best = F.sort_array(F.transform(distinct, lambda k: F.greatest(F.lit(0.0), F.array_max(F.transform(F.filter(keyed, lambda x: x["k"] == k), lambda x: x["s"])))), asc=False)
+    # best first: of equal keys the first has the best score; keys are made once a chunk, as a column
+    keyed = F.sort_array(F.transform(chunks, lambda c: F.struct(F.greatest(F.lit(0.0), F.coalesce(c["score"], F.lit(0.0))).alias("s"), key(c).alias("k"))), asc=False)
+    payloads = payloads.select("payload_id", chunks.alias("chunks"), legs.alias("legs"), keyed.alias("_keyed"))
+    distinct = F.array_distinct(F.transform("_keyed", lambda x: x["k"]))
+    chunks, legs = F.col("chunks"), F.col("legs")
+    # two scores are enough: the best, and the best of another key
+    first = F.get("_keyed", F.lit(0))
+    best = F.array(first["s"], F.get(F.filter("_keyed", lambda x: x["k"] != first["k"]), F.lit(0))["s"])
     index = F.filter(chunks, lambda c: F.coalesce(c["section"], F.lit("")).rlike(INDEX_PAGE) | _plain(c["text"]).rlike(INDEX_PAGE))
     asked = F.transform(legs, lambda x: F.concat_ws("\x01", F.coalesce(x["kind"], F.lit("")), F.coalesce(x["query_name"], F.lit("")), F.array_join(F.array_sort(F.coalesce(x["sources"], F.array().cast("array<string>"))), ",")))
     rows = payloads.select("payload_id", chunks.alias("c"), best.alias("b"), distinct.alias("d"), index.alias("i"), asked.alias("l"))

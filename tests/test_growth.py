@@ -20,3 +20,28 @@ def test_arms_are_read_once(spark):
     made = health.hits_at(ranked.withColumn("rank", F.col("rank") + F.lit(0)), wanted, 5)
     assert optimized(made).count("arm#") and optimized(made).count("LogicalRDD [arm#") == 1
     assert {tuple(r) for r in made.collect()} == {("v", 2, 1), ("l", 2, 0)}
+
+
+def test_payloads_deal_lines_once(spark, sf_dir):
+    assert executed(registry.queries()["t08_payload_health"](spark, sf_dir)).count("Exchange hashpartitioning") == 1
+
+
+def test_best_scores_of_many_alike_chunks(spark):
+    chunk = lambda t, s: (t, None, "x", None, s)
+    rows = [(1, [chunk("a", 0.5), chunk("a", 0.9), chunk("b", 0.9), chunk("c", -1.0)], None), (2, [chunk("a", 0.3), chunk("a", 0.4)], None), (3, [chunk("a", None), chunk("b", -2.0)], None)]
+    table = spark.createDataFrame(rows, f"payload_id int, chunks {health.CHUNKS}, legs {health.LEGS}")
+    got = {r.payload_id: (r.top_gap, r.tie, r.duplicates) for r in health.payload_health(table).collect()}
+    assert got == {1: (0.0, True, 1), 2: (None, None, 1), 3: (0.0, True, 0)}
+
+
+def test_rules_meet_payloads_as_lists(spark, sf_dir):
+    plan = executed(registry.queries()["t02_declared_checks"](spark, sf_dir))
+    assert plan.index("Generate explode") < plan.index("Join")  # rules are parted after they met
+    assert plan.count("Exchange hashpartitioning") == 2  # the keys, and the lines
+
+
+def test_rules_of_one_check_are_counted_together(spark):
+    payloads = spark.createDataFrame([(1, "ok", [2024], None, None, None, True, None, [("q", {"n": "nan", "v": "a"})], None)], checks.PAYLOAD)
+    rules = [(1, "expect_status", None, ["ok"], None), (1, "expect_status", None, ["no"], None), (1, "expect_status", None, ["nay"], None), (1, "expected_rows", "q", ["v=A"], 1), (2, "allow", None, None, None)]
+    got = {(r.item_id, r.check): (r.verdict, r.failed) for r in checks.run_checks(payloads, spark.createDataFrame(rules, checks.RULE)).collect()}
+    assert got == {(1, "expect_status"): ("fail", 2), (1, "expected_rows"): ("pass", 0), (2, "allow"): ("skipped", 0)}
