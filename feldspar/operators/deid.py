@@ -19,8 +19,6 @@ def spans(text: Column, patterns: dict[str, tuple[str, float]]) -> Column:
     """
 
     def of(kind: str, pattern: str, score: float) -> Column:
-        gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        pairs = F.arrays_zip(F.transform(gaps, F.length).alias("g"), F.transform(hits, F.length).alias("h"))
         none = F.array().cast("array<struct<type:string,start:int,stop:int,score:double>>")
 
         def step(acc: Column, p: Column) -> Column:
@@ -28,7 +26,12 @@ def spans(text: Column, patterns: dict[str, tuple[str, float]]) -> Column:
             one = F.struct(F.lit(kind).alias("type"), start.alias("start"), (start + p["h"]).alias("stop"), F.lit(score).alias("score"))
             return F.struct((start + F.coalesce(p["h"], F.lit(0))).alias("at"), F.when(p["h"].isNull(), acc["all"]).otherwise(F.concat(acc["all"], F.array(one))).alias("all"))
 
-        return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("all")), step)["all"]
+        def placed(hits: Column) -> Column:
+            pairs = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.length).alias("g"), F.transform(hits, F.length).alias("h"))
+            # a text without a match isn't split
+            return F.when(F.size(hits) == 0, none).otherwise(F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("all")), step)["all"])
+
+        return F.get(F.transform(F.array(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), placed), F.lit(0))
 
     return F.concat(*[of(k, p, s) for k, (p, s) in patterns.items()])
 
@@ -113,11 +116,19 @@ def evaluate(documents: DataFrame, manifest: DataFrame) -> DataFrame:
     if its surface or canonical form survives in the stored copy. Entities of documents that aren't there count as leaked
     in nothing and found by nothing, under a null source.
     """
-    rows = manifest.join(documents, "doc_id", "left")
+    planted = manifest.groupBy("doc_id").agg(F.collect_list(F.struct("entity", "surface", "canonical")).alias("planted"))
+    return evaluate_listed(planted.join(documents, "doc_id", "left"))
+
+
+def evaluate_listed(documents: DataFrame) -> DataFrame:
+    """``evaluate`` of documents (source, text, spans, stored) that bring their entities (entity, surface, canonical) along
+    in a list ``planted``: no text leaves its task."""
     said = lambda s: F.col("text").substr(s["start"] + 1, s["stop"] - s["start"])
-    covered = F.exists("spans", lambda s: (s["type"] == F.col("entity")) & F.contains(said(s), F.col("surface")))
-    survives = F.contains(F.col("stored"), F.col("surface")) | F.contains(F.col("stored"), F.col("canonical"))
-    return rows.groupBy("source", "entity").agg(F.count(F.lit(1)).alias("n"), F.count_if(covered).alias("found"), F.count_if(survives).alias("leaked"))
+    covered = lambda e: F.coalesce(F.exists("spans", lambda s: (s["type"] == e["entity"]) & F.contains(said(s), e["surface"])), F.lit(False))
+    survives = lambda e: F.coalesce(F.contains("stored", e["surface"]) | F.contains("stored", e["canonical"]), F.lit(False))
+    judged = F.transform("planted", lambda e: F.struct(e["entity"].alias("entity"), covered(e).alias("found"), survives(e).alias("leaked")))
+    rows = documents.select("source", F.explode(judged).alias("e"))
+    return rows.groupBy("source", F.col("e.entity").alias("entity")).agg(F.count(F.lit(1)).alias("n"), F.count_if("e.found").alias("found"), F.count_if("e.leaked").alias("leaked"))
 
 
 def over_redaction(documents: DataFrame, manifest: DataFrame) -> DataFrame:

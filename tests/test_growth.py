@@ -45,3 +45,7 @@ def test_rules_of_one_check_are_counted_together(spark):
     rules = [(1, "expect_status", None, ["ok"], None), (1, "expect_status", None, ["no"], None), (1, "expect_status", None, ["nay"], None), (1, "expected_rows", "q", ["v=A"], 1), (2, "allow", None, None, None)]
     got = {(r.item_id, r.check): (r.verdict, r.failed) for r in checks.run_checks(payloads, spark.createDataFrame(rules, checks.RULE)).collect()}
     assert got == {(1, "expect_status"): ("fail", 2), (1, "expected_rows"): ("pass", 0), (2, "allow"): ("skipped", 0)}
+
+
+def test_planted_entities_travel_with_their_text(spark, sf_dir):
+    assert "Join" not in optimized(registry.queries()["f09_deid_recall"](spark, sf_dir))
