@@ -47,5 +47,15 @@ def test_rules_of_one_check_are_counted_together(spark):
     assert got == {(1, "expect_status"): ("fail", 2), (1, "expected_rows"): ("pass", 0), (2, "allow"): ("skipped", 0)}
 
 
+def test_newest_lines_are_dealt_in_a_stated_number(spark, sf_dir, tmp_path):
+    plan = executed(registry.queries()["l06_newest_per_patient"](spark, sf_dir))
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "dense_rank" in plan  # equal rows have one place; none are kept to compare
+    lines = [(k, f"2024-01-{d:02}") for k in (1, 2, 3) for d in (1, 2, 2, 2)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_shipdate string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 7), (2, 7), (3, 8)], "o_orderkey bigint, o_custkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    got = registry.queries()["l06_newest_per_patient"](spark, str(tmp_path)).collect()
+    assert sorted((r.member_id, r.claim_id, r.service_date.day, r.r) for r in got) == [(7, 1, 1, 3), (7, 1, 2, 1), (7, 2, 1, 4), (7, 2, 2, 2), (8, 3, 1, 2), (8, 3, 2, 1)]
+
+
 def test_planted_entities_travel_with_their_text(spark, sf_dir):
     assert "Join" not in optimized(registry.queries()["f09_deid_recall"](spark, sf_dir))
