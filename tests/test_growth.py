@@ -1,5 +1,6 @@
 """Steps whose shuffles, memory or work must grow no faster than the input."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from feldspar.operators import checks, health
@@ -59,3 +60,39 @@ def test_newest_lines_are_dealt_in_a_stated_number(spark, sf_dir, tmp_path):
 
 def test_planted_entities_travel_with_their_text(spark, sf_dir):
     assert "Join" not in optimized(registry.queries()["f09_deid_recall"](spark, sf_dir))
+
+
+def test_shingles_of_one_set_are_sent_once(spark, monkeypatch):
+    from feldspar.operators import near
+
+    kept = []
+    monkeypatch.setattr(near, "cut", lambda df: kept.append(df) or df)
+    sets = spark.createDataFrame([(1, [1, 2, 3, 4, 5]), (2, [1, 2, 3, 4, 6]), (3, [1, 7]), (4, [8, 9]), (5, [1, 2, 3, 4, 5, 10])], "doc_id bigint, s array<bigint>")
+    assert sorted(map(tuple, near.alike(sets, 0.6).collect())) == [(1, 2), (1, 5)]
+    assert "LeftOuter" not in optimized(kept[0])
+
+
+def test_shingles_are_those_of_every_document(spark, monkeypatch):
+    from feldspar.operators import near
+
+    monkeypatch.setattr(near, "BYTES_AT_ONCE", 9)  # batches are cut between documents
+    rows = [(1, "a b c d"), (2, "A, b; c d!"), (3, "a b"), (4, None), (5, "a b c a b c a"), (6, "c b a d"), (7, "x y z " * 9), (8, "ab c d"), (9, "a bc d")]
+    got = {r.doc_id: (r.s, r.key) for r in near.shingle_sets(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)).collect()}
+    assert {k: len(s) for k, (s, _) in got.items()} == {1: 2, 2: 2, 5: 3, 6: 2, 7: 3, 8: 1, 9: 1}
+    assert got[1] == got[2] and set(got[1][0]) & set(got[5][0]) and all(s == sorted(s) for s, _ in got.values())
+    assert len({key for _, key in got.values()}) == 6
+    assert len({v for s, _ in got.values() for v in s}) == 11  # two copies share two, and 1 and 5 one
+
+
+def test_shingles_are_not_made_word_by_word(spark):
+    from feldspar.operators import near
+
+    from feldspar.operators.search import tokens
+
+    texts = ["", "Ünï 1a2-b", "a", "b c", "É", "x" * 40 + " ab", "abc", "\u212aelvin \u0130x", "ab c", "a bc"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", F.lower("t").alias("t"), tokens(F.col("t")).alias("w")).orderBy("i").collect()
+    h, doc = near._words(pa.array([r.t for r in df]))
+    words = [(w, r.i) for r in df for w in r.w]
+    assert doc.tolist() == [i for _, i in words] and len(set(h.tolist())) == len({w for w, _ in words})
+    assert len(set(zip(h.tolist(), [w for w, _ in words], strict=True))) == len({w for w, _ in words})
+    assert "lambdafunction" not in optimized(near.shingle_sets(spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string")))
