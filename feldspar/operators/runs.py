@@ -41,18 +41,22 @@ def reranked(pool: DataFrame) -> DataFrame:
     return pool.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "chunk_id")))
 
 
-def explained(ranked: DataFrame, expected: DataFrame, shown: int = 400) -> DataFrame:
+def explained(ranked: DataFrame, expected: DataFrame, shown: int = 400, texts: DataFrame | None = None) -> DataFrame:
     """(query_id, spec_id, in_pool, pool_rank, position, score, scored_text): where an expected source got lost.
 
     ``ranked`` is a reranked pool (query_id, chunk_id, title, doc_type, year, pool_rank, position, score, text). A
     specification of ``expected`` (query_id, spec_id, title, doc_type, year) fits chunks whose title contains its title and
     whose source and year equal its own; null asks for nothing, and one that asks for nothing fits none. ``pool_rank``
-    is the best of all that fit, the other columns are of the one that was ranked best.
+    is the best of all that fit, the other columns are of the one that was ranked best. With ``texts`` (chunk_id, text)
+    the pool needs none: only the chunks that were ranked best get theirs.
     """
     spec = expected.select("query_id", "spec_id", *[F.col(c).alias(f"_{c}") for c in ("title", "doc_type", "year")]).where(F.coalesce("_title", "_doc_type", F.col("_year").cast("string")).isNotNull())
     asks = lambda c, holds: F.col(f"_{c}").isNull() | holds
     fits = asks("title", F.contains("title", "_title")) & asks("doc_type", F.col("doc_type") == F.col("_doc_type")) & asks("year", F.col("year") == F.col("_year"))
-    best = F.min_by(F.struct("position", "score", F.substring("text", 1, shown).alias("scored_text")), "position")
-    found = spec.join(ranked, "query_id").where(fits).groupBy("query_id", "spec_id").agg(F.min("pool_rank").alias("pool_rank"), best.alias("b"))
+    own = F.substring("text", 1, shown).alias("scored_text")
+    best = F.min_by(F.struct("position", "score", own if texts is None else "chunk_id"), "position")
+    found = spec.join(ranked, "query_id").where(fits).groupBy("query_id", "spec_id").agg(F.min("pool_rank").alias("pool_rank"), best.alias("b")).select("query_id", "spec_id", "pool_rank", "b.*")
+    if texts is not None:
+        found = found.join(texts.select("chunk_id", own), "chunk_id", "left")
     rows = expected.select("query_id", "spec_id").join(found, ["query_id", "spec_id"], "left")
-    return rows.select("query_id", "spec_id", F.col("pool_rank").isNotNull().alias("in_pool"), "pool_rank", "b.position", "b.score", "b.scored_text")
+    return rows.select("query_id", "spec_id", F.col("pool_rank").isNotNull().alias("in_pool"), "pool_rank", "position", "score", "scored_text")

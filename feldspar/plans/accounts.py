@@ -129,12 +129,12 @@ HASHED = "round(('0x' || substr(md5(query_id || ':' || chunk_id), 1, 4))::BIGINT
 def t20(spark, d):
     """For every question's expected sources: whether they were found, at which rank, and what the reranker saw."""
     asked, chunks = query_vectors(spark, d), a.chunks(spark, d)
-    best = search.bm25_arm(chunks, question_terms(spark, d, asked), ["doc_type"], rank_by=[]).where("trank <= 50").select("query_id", "chunk_id", F.col("trank").cast("bigint").alias("pool_rank"))
+    best = search.bm25_arm(chunks, question_terms(spark, d, asked), ["doc_type"], 50, rank_by=[]).select("query_id", "chunk_id", F.col("trank").cast("bigint").alias("pool_rank"))
     h = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("query_id").cast("string"), F.col("chunk_id").cast("string"))), 1, 4), 16, 10).cast("double")
-    pool = best.join(chunks.select("chunk_id", "title", "doc_type", "year", F.col("content").alias("text")), "chunk_id").withColumn("score", F.round(h / 65535.0, 6))
+    pool = best.join(chunks.select("chunk_id", "title", "doc_type", "year"), "chunk_id").withColumn("score", F.round(h / 65535.0, 6))
     k, none = F.col("query_id"), lambda t: F.lit(None).cast(t)
     specs = F.array(*[F.struct(F.lit(i).alias("spec_id"), t.alias("title"), none("string").alias("doc_type"), y.cast("int").alias("year")) for i, t, y in ((1, F.concat(F.lit("doc-"), k), none("int")), (2, none("string"), 2021 + k % 6), (3, F.lit("no such"), F.lit(2021)))])
-    got = runs.explained(runs.reranked(pool), asked.select("query_id", F.explode(specs).alias("s")).select("query_id", "s.*"))
+    got = runs.explained(runs.reranked(pool), asked.select("query_id", F.explode(specs).alias("s")).select("query_id", "s.*"), texts=chunks.select("chunk_id", F.col("content").alias("text")))
     return got.select("query_id", "spec_id", "in_pool", "pool_rank", F.col("position").cast("bigint").alias("position"), "score", F.md5("scored_text").alias("text_md5"))
 
 

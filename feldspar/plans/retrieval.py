@@ -92,9 +92,10 @@ fused AS (SELECT coalesce(v.query_id, t.query_id) AS query_id, coalesce(v.chunk_
 
 
 def question_terms(spark, d, questions):
-    words = F.explode(F.slice(search.tokens(F.col("text")), 1, QUESTION_WORDS)).alias("term")
-    docs = a.table(spark, d, "documents").where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
-    return docs.join(questions.select("query_id"), "query_id", "left_semi").select("query_id", words).distinct()
+    words = F.slice(search.tokens(F.col("text")), 1, QUESTION_WORDS).alias("_words")
+    docs = a.table(spark, d, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), words)
+    # an inner join: a semi join would be moved below the words, and whole texts be shuffled
+    return docs.join(questions.select("query_id"), "query_id").select("query_id", F.explode("_words").alias("term")).distinct()
 
 
 def _arms(spark, d, chunks=None):

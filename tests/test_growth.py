@@ -1,5 +1,7 @@
 """Steps whose shuffles, memory or work must grow no faster than the input."""
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -114,3 +116,20 @@ def test_scores_of_a_block_are_one_table():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(told) == 1 and peak < 2 * 8192 * 256 * 8
+
+
+def test_pools_are_explained_without_their_texts(spark, sf_dir):
+    made = registry.queries()["t20_explained_items"](spark, sf_dir)
+    whole = [line for line in optimized(made).splitlines() if "Project" in line and re.search(r"\btext#", line) and "substring(text#" not in line and "regexp_extract_all(" not in line]
+    assert whole == []  # a text leaves its scan as what is shown
+
+
+def test_texts_of_the_best_alone(spark):
+    from feldspar.operators import runs
+
+    pool = spark.createDataFrame([(1, 10, "t", "s", 2024, 2, 0.5), (1, 11, "t", "s", 2024, 1, 0.1), (2, 12, "u", "s", 2024, 1, 0.9), (2, 13, "t", "s", 2024, 2, 0.9)], "query_id int, chunk_id int, title string, doc_type string, year int, pool_rank int, score double")
+    texts = spark.createDataFrame([(10, "abcdef"), (11, "ghi"), (12, "jkl")], "chunk_id int, text string")  # the best of 2 has none
+    expected = spark.createDataFrame([(q, i, t, None, None) for q in (1, 2, 3) for i, t in ((1, "t"), (2, "none"))], "query_id int, spec_id int, title string, doc_type string, year int")
+    got = sorted(map(tuple, runs.explained(runs.reranked(pool), expected, 3, texts).collect()))
+    assert got == sorted(map(tuple, runs.explained(runs.reranked(pool.join(texts, "chunk_id", "left")), expected, 3).collect()))
+    assert got[0] == (1, 1, True, 1, 1, 0.5, "abc") and got[2] == (2, 1, True, 2, 2, 0.9, None) and got[4] == (3, 1, False, None, None, None, None)
