@@ -1,7 +1,8 @@
 """A partitioned vector index: centroids from a bounded sample, every row in the cell of its nearest one, queries probe a
 few cells; and its recall against the exact scan, for all rows and for what a persona may see.
 
-A cell that holds many rows is met in blocks, so no task holds a whole cell. The policy's filter comes before the rank.
+Blocks of questions are sent past the index, whose rows stay where they lie; a block of rows scores those of its cells, and
+only rows from a question's bound on leave a task, however many cells are probed. The policy's filter comes before the rank.
 """
 
 from __future__ import annotations
@@ -12,10 +13,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .search import CHUNK_BLOCK, _matrix, _nearest
+from ..functions.lineage import cut
+from .search import CHUNK_BLOCK, QUERY_BLOCK, STREAMED_BLOCKS, _by_cell, _matrix, _nearest, _ranked, _streamed
 
 #: At most so many rows are fitted on (the lowest by a hash of the id), and at most so many cells are made.
 SAMPLE_ROWS, MOST_CELLS = 20_000, 4096
+#: So many rows at once find their cells.
+TILE = 1024
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -50,49 +54,62 @@ def fit_centroids(vectors: DataFrame, cells: int | None = None, sample_rows: int
     return centroids
 
 
-def nearest_cells(vectors: DataFrame, centroids: np.ndarray, id_col: str, probes: int = 1) -> DataFrame:
-    """(id, cell): the ``probes`` nearest cells of every row that has a vector, in Arrow batches."""
+def with_cells(vectors: DataFrame, centroids: np.ndarray, probes: int = 1) -> DataFrame:
+    """The rows of ``vectors`` (..., vector) that have a vector, and ``cells``: their ``probes`` nearest cells, best first."""
     shared = vectors.sparkSession.sparkContext.broadcast(centroids)  # at most MOST_CELLS vectors
     many = max(1, min(probes, len(centroids)))
+    rows = vectors.where("vector is not null")
+    form = T.StructType([*rows.schema, T.StructField("cells", T.ArrayType(T.IntegerType()))])
+    place = rows.columns.index("vector")
 
     def run(batches):
-        for batch in batches:
-            own = shared.value
-            x, at = _matrix(pa.chunked_array([batch.column(1)]), own.shape[1])
-            near = unit(x) @ own.T
-            best = np.argsort(-near, axis=1, kind="stable")[:, :many].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(at, many))), pa.array(best.reshape(-1))], [id_col, "cell"])
-
-    rows = vectors.where("vector is not null").select(id_col, "vector")
+        for whole in batches:
+            for i in range(0, whole.num_rows, TILE):
+                batch, own = whole.slice(i, TILE), shared.value
+                x, at = _matrix(pa.chunked_array([batch.column(place)]), own.shape[1])
+                best = np.argsort(-(unit(x) @ own.T), axis=1, kind="stable")[:, :many].astype(np.int32)
+                cells = pa.ListArray.from_arrays(pa.array(np.arange(0, best.size + 1, many, dtype=np.int32)), pa.array(best.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at)).columns, cells], form.names)
+
     if not len(centroids):
-        return rows.limit(0).select(id_col, F.lit(0).alias("cell"))
-    return rows.mapInArrow(run, T.StructType([rows.schema[id_col], T.StructField("cell", T.IntegerType())]))
+        return rows.limit(0).withColumn("cells", F.lit(None).cast("array<int>"))
+    return rows.mapInArrow(run, form)
 
 
 def write_index(vectors: DataFrame, centroids: np.ndarray, path: str) -> None:
-    """Every row of ``vectors`` (chunk_id, vector, ...) with its cell, a folder a cell, so that probes prune the others."""
-    cells = nearest_cells(vectors, centroids, "chunk_id")
-    rows = vectors.join(cells, "chunk_id").withColumn("_salt", F.pmod(F.xxhash64("chunk_id"), F.lit(8)))
-    rows.repartition("cell", "_salt").drop("_salt").write.partitionBy("cell").mode("overwrite").parquet(path)
+    """Every row of ``vectors`` (chunk_id, vector, ...) with its cell, a folder a cell, so that probes prune the others. Rows
+    go to as many tasks as a cell's size asks for."""
+    rows = with_cells(vectors, centroids).withColumn("cell", F.col("cells")[0]).drop("cells")
+    rows.hint("rebalance", F.col("cell")).write.partitionBy("cell").mode("overwrite").parquet(path)
 
 
 def probe(index: DataFrame, queries: DataFrame, centroids: np.ndarray, probes: int, top: int) -> DataFrame:
     """(query_id, chunk_id, similarity, vrank): the best ``top`` rows of the ``probes`` cells nearest to each query.
 
-    ``index`` is what ``write_index`` wrote, filtered by whatever policy holds; ``queries`` is (query_id, vector). Cells of
-    more than CHUNK_BLOCK rows are met block by block.
+    ``index`` is what ``write_index`` wrote, filtered by whatever policy holds; ``queries`` is (query_id, vector).
+    """
+    return _ranked(probe_scores(index, queries, centroids, probes, [], top), [], "similarity", "vrank", top).select("query_id", "chunk_id", "similarity", "vrank")
+
+
+def probe_scores(index: DataFrame, queries: DataFrame, centroids: np.ndarray, probes: int, by: list[str], top: int) -> DataFrame:
+    """(query_id, chunk_id, by..., similarity), among them the best ``top`` rows of every query and ``by`` in its cells.
+
+    Up to STREAMED_BLOCKS blocks of questions, these are sent past the index, as in ``vector_scores``; beyond, questions go
+    to their cells, and cells of more than CHUNK_BLOCK rows are met block by block.
     """
-    asked = nearest_cells(queries, centroids, "query_id", probes).join(queries, "query_id")
-    wanted = [r.cell for r in asked.select("cell").distinct().collect()]  # at most MOST_CELLS numbers; prunes folders
-    rows = index.where(F.col("cell").isin(wanted)).select("chunk_id", "vector", "cell")
+    asked = with_cells(queries.select("query_id", "vector"), centroids, probes)
+    wanted = [r.cell for r in asked.select(F.explode("cells").alias("cell")).distinct().collect()]  # at most MOST_CELLS numbers; prunes folders
+    rows = index.where(F.col("cell").isin(wanted)).select("chunk_id", *by, "vector", "cell")
+    blocks = -(-queries.count() // QUERY_BLOCK) or 1
+    if blocks <= STREAMED_BLOCKS:
+        return _streamed(rows, asked, blocks, _by_cell, by, by, "similarity", top)
     sizes = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CHUNK_BLOCK).alias("_blocks"))
     rows = rows.join(F.broadcast(sizes), "cell").withColumn("_block", F.pmod(F.xxhash64("chunk_id"), F.col("_blocks"))).drop("_blocks")
-    asked = asked.join(F.broadcast(sizes), "cell").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1))).drop("_blocks")
-    form = T.StructType([queries.schema["query_id"], rows.schema["chunk_id"], T.StructField("similarity", T.DoubleType())])
-    best = _nearest([], top)
-    met = rows.groupBy("cell", "_block").cogroup(asked.groupBy("cell", "_block")).applyInArrow(lambda x, y: best(x, y) if x.num_rows and y.num_rows else form_table(form), form)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id"))
-    return met.withColumn("vrank", rank).where(F.col("vrank") <= top)
+    asked = asked.withColumn("cell", F.explode("cells")).drop("cells").join(F.broadcast(sizes), "cell")
+    asked = asked.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1))).drop("_blocks")
+    form = T.StructType([queries.schema["query_id"], *[rows.schema[c] for c in ("chunk_id", *by)], T.StructField("similarity", T.DoubleType())])
+    best = _nearest(by, top)
+    return rows.groupBy("cell", "_block").cogroup(asked.groupBy("cell", "_block")).applyInArrow(lambda x, y: best(x, y) if x.num_rows and y.num_rows else form_table(form), form)
 
 
 def form_table(form: T.StructType) -> pa.Table:
@@ -125,7 +142,7 @@ def calibrated_probes(rows: DataFrame, index: DataFrame, queries: DataFrame, cen
     """
     from .search import vector_arm
 
-    few = queries.orderBy(F.xxhash64(F.lit("probes"), "query_id"), "query_id").limit(sample)
+    few = cut(queries.orderBy(F.xxhash64(F.lit("probes"), "query_id"), "query_id").limit(sample))
     exact = vector_arm(rows, few, [], k).cache()
     tried: list[tuple[int, float]] = []
     for step in range(1, steps + 1):

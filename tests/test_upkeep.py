@@ -137,3 +137,37 @@ def test_numbers_and_overlaps(spark):
     f, t = spark.createDataFrame(found, "k int, id int, start int, stop int"), spark.createDataFrame(labelled, "k int, start int, stop int")
     want = {i: sum(k == j and s < b and a < e for j, s, e in labelled) for k, i, a, b in found}
     assert {x.id: x.hits for x in overlap_counts(f, t, "k").collect()} == want
+
+
+def test_few_rows_leave_many_cells(spark, tmp_path, monkeypatch):
+    from feldspar.operators import search
+
+    r = np.random.default_rng(3)
+    x = r.normal(size=(640, 8))
+    x[100] = 0
+    vectors = spark.createDataFrame([(i, v.tolist(), f"g{i % 2}") for i, v in enumerate(x)], "chunk_id bigint, vector array<double>, grp string")
+    queries = vectors.where("chunk_id % 40 = 1").select(F.col("chunk_id").alias("query_id"), "vector")
+    centroids = vi.fit_centroids(vectors, cells=40)
+    vi.write_index(vectors, centroids, f"{tmp_path}/index")
+    index = spark.read.parquet(f"{tmp_path}/index").cache()
+    for name, value in (("QUERY_BLOCK", 5), ("CHUNK_BLOCK", 32), ("QUERY_TILE", 2)):
+        monkeypatch.setattr(search, name, value)
+    monkeypatch.setattr(vi, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(vi, "TILE", 7)
+    u, own = vi.unit(x), {r.chunk_id: r.cell for r in index.select("chunk_id", "cell").collect()}
+    assert own == {i: int(c) for i, c in enumerate((u @ centroids.T).argmax(axis=1))}
+    want = {}
+    for q in range(1, 640, 40):
+        near = set(np.argsort(-(u[q] @ centroids.T), kind="stable")[:25].tolist())
+        for g in (0, 1):
+            scored = sorted((-round(float(u[q] @ u[i]), 6), i) for i in range(640) if i % 2 == g and own[i] in near and i != 100)
+            want[q, f"g{g}"] = [i for _, i in scored[:4]]
+    for most in (64, 0):  # sent past the index, and met cell by cell
+        monkeypatch.setattr(vi, "STREAMED_BLOCKS", most)
+        scores = vi.probe_scores(index, queries, centroids, 25, ["grp"], 4)
+        got = {}
+        for row in search._ranked(scores, ["grp"], "similarity", "vrank", 4).orderBy("vrank").collect():
+            got.setdefault((row.query_id, row.grp), []).append(row.chunk_id)
+        assert got == want
+        if most:  # not by the cells that are probed: 25 of each question
+            assert scores.count() < 16 * 2 * 4 * 3
