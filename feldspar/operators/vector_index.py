@@ -7,6 +7,8 @@ only rows from a question's bound on leave a task, however many cells are probed
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -118,15 +120,16 @@ def form_table(form: T.StructType) -> pa.Table:
     return to_arrow_schema(form).empty_table()
 
 
-def recall(exact: DataFrame, found: DataFrame, k: int, eps: float = 1e-9) -> DataFrame:
-    """(query_id, recall, underfilled): the share of the k nearest that were found, by distance.
+def recall(exact: DataFrame, found: DataFrame, k: int, eps: float = 1e-9, by: Sequence[str] = ()) -> DataFrame:
+    """(query_id, by..., recall, underfilled): the share of the k nearest that were found, by distance.
 
-    ``exact`` and ``found`` are (query_id, similarity, vrank); what is as near as the exact kth counts, whichever row it
+    ``exact`` and ``found`` are (query_id, by..., similarity, vrank); what is as near as the exact kth counts, whichever row it
     is. Queries with fewer than k exact rows are measured by these; without any their recall is 1.
     """
-    truth = exact.where(F.col("vrank") <= k).groupBy("query_id").agg(F.min("similarity").alias("_kth"), F.count(F.lit(1)).alias("_n"))
-    hits = found.where(F.col("vrank") <= k).join(truth, "query_id", "right").groupBy("query_id", "_n").agg(F.count_if(F.col("similarity") >= F.col("_kth") - eps).alias("_hit"), F.count("similarity").alias("_got"))
-    return hits.select("query_id", F.least(F.lit(1.0), F.col("_hit") / F.col("_n")).alias("recall"), (F.col("_got") < F.col("_n")).alias("underfilled"))
+    own = ["query_id", *by]
+    truth = exact.where(F.col("vrank") <= k).groupBy(*own).agg(F.min("similarity").alias("_kth"), F.count(F.lit(1)).alias("_n"))
+    hits = found.where(F.col("vrank") <= k).join(truth, own, "right").groupBy(*own, "_n").agg(F.count_if(F.col("similarity") >= F.col("_kth") - eps).alias("_hit"), F.count("similarity").alias("_got"))
+    return hits.select(*own, F.least(F.lit(1.0), F.col("_hit") / F.col("_n")).alias("recall"), (F.col("_got") < F.col("_n")).alias("underfilled"))
 
 
 def summary(measured: DataFrame, *by: str) -> DataFrame:

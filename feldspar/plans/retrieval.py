@@ -258,11 +258,15 @@ def seen(spark, d):
     return with_citations(a.chunks(spark, d), a.appeal_evidence(spark, d))
 
 
+def readers():
+    """The personas that may see a chunk (acl_tag, cited)."""
+    return F.filter(F.array(*[F.when(F.coalesce(visible(Principal(p)), F.lit(False)), F.lit(p)) for p in PERSONA_TIERS]), lambda p: p.isNotNull())
+
+
 @query("s01_visibility", f"WITH {SEEN} " + " UNION ALL ".join(_visible(p) for p in PERSONA_TIERS))
 def s01(spark, d):
     """Every chunk is read once, and counts for each persona that may see it."""
-    personas = F.filter(F.array(*[F.when(F.coalesce(visible(Principal(p)), F.lit(False)), F.lit(p)) for p in PERSONA_TIERS]), lambda p: p.isNotNull())
-    return seen(spark, d).select("acl_tag", F.explode(personas).alias("persona")).groupBy("persona", "acl_tag").agg(F.count(F.lit(1)).alias("chunks"))
+    return seen(spark, d).select("acl_tag", F.explode(readers()).alias("persona")).groupBy("persona", "acl_tag").agg(F.count(F.lit(1)).alias("chunks"))
 
 
 @query("s02_relational", f"WITH {SEEN} SELECT chunk_id, acl_tag, cited FROM seen")

@@ -171,3 +171,23 @@ def test_few_rows_leave_many_cells(spark, tmp_path, monkeypatch):
         assert got == want
         if most:  # not by the cells that are probed: 25 of each question
             assert scores.count() < 16 * 2 * 4 * 3
+
+
+def test_personas_are_scored_at_once(spark, sf_dir, monkeypatch):
+    from feldspar.operators.governance import PERSONA_TIERS, Principal, visible
+    from feldspar.plans import registry, retrieval, upkeep
+
+    scans, real, made = [], upkeep.vi.recall, {}
+    monkeypatch.setattr(vi, "recall", lambda exact, found, k, **more: scans.append(more) or real(exact, found, k, **more))
+    monkeypatch.setattr(vi, "calibrated_probes", lambda *_: (2, []))
+    build = upkeep._index
+    monkeypatch.setattr(upkeep, "_index", lambda *x: made.setdefault("index", build(*x)))
+    got = {r.persona: tuple(r)[1:] for r in registry.queries()["t12_persona_recall"](spark, sf_dir).collect()}
+    assert scans == [{"by": ["persona"]}]
+    rows, index, centroids = made["index"]
+    queries, cited = retrieval.query_vectors(spark, sf_dir), retrieval.seen(spark, sf_dir).select("chunk_id", "cited")
+    for persona in PERSONA_TIERS:
+        own = lambda t: t.join(cited, "chunk_id").where(visible(Principal(persona)))  # noqa: B023, E731
+        one = vi.summary(real(vector_arm(own(rows), queries, [], 50), vi.probe(own(index), queries, centroids, 2, 50), 50)).first()
+        assert got[persona] == tuple(one)
+    assert len(got) == len(PERSONA_TIERS) and len({x for x, *_ in got.values()}) > 1
