@@ -191,3 +191,15 @@ def test_personas_are_scored_at_once(spark, sf_dir, monkeypatch):
         one = vi.summary(real(vector_arm(own(rows), queries, [], 50), vi.probe(own(index), queries, centroids, 2, 50), 50)).first()
         assert got[persona] == tuple(one)
     assert len(got) == len(PERSONA_TIERS) and len({x for x, *_ in got.values()}) > 1
+
+
+def test_groups_are_cut_before_personas_part_them(spark):
+    from feldspar.plans import upkeep
+
+    scores = spark.createDataFrame([(1, i, round(1 - i / 100, 6), "a,b" if i % 3 else "b") for i in range(60)] + [(2, 7, 0.5, "a")], "query_id bigint, chunk_id bigint, similarity double, readers string")
+    made = upkeep._by_reader(scores, 5)
+    got = sorted((r.query_id, r.persona, r.vrank, r.chunk_id) for r in made.collect())
+    near = {"a": [1, 2, 4, 5, 7], "b": [0, 1, 2, 3, 4]}
+    assert got == sorted([(1, p, n, c) for p, ids in near.items() for n, c in enumerate(ids, 1)] + [(2, "a", 1, 7)])
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan[plan.index("Generate") :]
