@@ -92,7 +92,9 @@ fused AS (SELECT coalesce(v.query_id, t.query_id) AS query_id, coalesce(v.chunk_
 
 
 def question_terms(spark, d, questions):
-    words = F.slice(search.tokens(F.col("text")), 1, QUESTION_WORDS).alias("_words")
+    # the text up to the last word that is asked, so that the others aren't taken apart
+    start = F.regexp_extract(F.lower("text"), f"^(?:[^a-z0-9]*+[a-z0-9]++){{1,{QUESTION_WORDS}}}", 0)
+    words = search.tokens(start).alias("_words")
     docs = a.table(spark, d, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), words)
     # an inner join: a semi join would be moved below the words, and whole texts be shuffled
     return docs.join(questions.select("query_id"), "query_id").select("query_id", F.explode("_words").alias("term")).distinct()
@@ -153,7 +155,8 @@ def h09(spark, d):
     fused = _fused(spark, d).select("query_id", "chunk_id", "rrf")
     years = a.chunks(spark, d).select("chunk_id", F.explode(F.array(F.col("year"), F.lit(0))).alias("reading"))
     position = F.row_number().over(Window.partitionBy("query_id", "reading").orderBy(F.desc("rrf"), "chunk_id"))
-    pools = fused.join(years, "chunk_id").withColumn("position", position).where(F.col("position") <= search.MERGED_CAP)  # later ones are past the cap
+    # dealt once, by question: all that is ranked after belongs to one
+    pools = fused.join(years, "chunk_id").repartition("query_id").withColumn("position", position).where(F.col("position") <= search.MERGED_CAP)  # later ones are past the cap
     return search.round_robin(pools).select("query_id", "chunk_id", "reading", F.col("position").cast("bigint").alias("position"), F.col("merged_rank").cast("bigint").alias("merged_rank"))
 
 
