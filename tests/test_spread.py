@@ -39,3 +39,13 @@ def test_pairs_meet_in_single_precision_and_are_ranked_in_double(spark, monkeypa
     assert {(r.query_id, r.chunk_id, r.doc_type, r.similarity, r.vrank) for r in got.collect()} == set(want)
     far = search.vector_arm(df, spark.createDataFrame([(7, [1.0] * 8)], "query_id bigint, vector array<double>"), [], 400).where("chunk_id = 302").collect()
     assert [r.similarity for r in far] == [0.0]  # its length is past the largest number, as before
+
+
+def test_asked_terms_are_counted_in_arrow(spark, monkeypatch):
+    texts = [(0, "a", "The cat, the CAT; ünder the-cat 7x"), (1, "a", None), (2, "b", ""), (3, None, "Kelvin cat" * 3), (4, "b", "none"), (5, "b", "cat")]
+    df = spark.createDataFrame(texts, "chunk_id bigint, doc_type string, content string")
+    words = {r.chunk_id: r.w for r in df.select("chunk_id", search.tokens(F.col("content")).alias("w")).collect()}
+    monkeypatch.setattr(search, "tokens", lambda text: pytest.fail("words are rows"))
+    asked = ["7x", "cat", "kelvin", "nder", "the"]
+    got = search.asked_terms(df, pa.array(asked), ["doc_type"]).collect()
+    assert {r.chunk_id: (r.length, dict(zip(r.terms, r.tfs, strict=True))) for r in got} == {i: (None if w is None else len(w), {k: w.count(t) for k, t in enumerate(asked) if w and t in w}) for i, w in words.items()}
