@@ -49,3 +49,7 @@ def test_asked_terms_are_counted_in_arrow(spark, monkeypatch):
     asked = ["7x", "cat", "kelvin", "nder", "the"]
     got = search.asked_terms(df, pa.array(asked), ["doc_type"]).collect()
     assert {r.chunk_id: (r.length, dict(zip(r.terms, r.tfs, strict=True))) for r in got} == {i: (None if w is None else len(w), {k: w.count(t) for k, t in enumerate(asked) if w and t in w}) for i, w in words.items()}
+def test_scores_are_told_by_tile_and_group():
+    chunks, queries = table(4000, "chunk_id", 2), table(300, "query_id")
+    told = list(search._meet(chunks, queries, search._by_vector(queries), ["doc_type"], search._tell(["doc_type"], 20)))
+    assert sum(t.num_rows for t in told) == 2 * -(-300 // search.QUERY_TILE)
