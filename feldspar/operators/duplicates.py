@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from .near import alike, first_seen
+from .near import first_seen, named_pairs
+from .search import small
 
 SIGNATURES = "source string, doc_id bigint, key string, s array<bigint>, run bigint"
 FORGOTTEN = "doc_id bigint, run bigint, how string"
@@ -54,7 +55,7 @@ class DuplicateIndex:
         if before is not None:  # what run ``before`` itself replaced isn't known yet, what was asked of it is
             gone = gone.where((F.col("run") < before) | ((F.col("run") == before) & (F.col("how") == "asked")))
         gone = gone.groupBy("doc_id").agg(F.max("run").alias("_gone"))
-        return rows.join(gone, "doc_id", "left").where(F.col("_gone").isNull() | (F.col("_gone") <= F.col("run"))).select("source", "doc_id", "key", "s")
+        return rows.join(small(gone), "doc_id", "left").where(F.col("_gone").isNull() | (F.col("_gone") <= F.col("run"))).select("source", "doc_id", "key", "s")
 
     def forget(self, ids: DataFrame, run: int) -> None:
         """Takes ids (doc_id) out that earlier runs stored, so that later copies point at rows that exist."""
@@ -67,22 +68,20 @@ class DuplicateIndex:
         originals only. Of several alike originals the smallest id is named. A record whose id is stored replaces what was
         stored. Rows with null ids are left out; ids of a run must differ.
         """
-        new = record_sets(records.where("doc_id is not null")).withColumn("fresh", F.lit(1))
+        new = cut(record_sets(records.where("doc_id is not null")))  # the only copy of sets besides the index itself
         stored = self.originals(run)
         replaced = stored.select("doc_id").join(records.select("doc_id"), "doc_id", "left_semi")
         replaced.write.mode("overwrite").parquet(f"{self.path}/forgotten/run={run}/how=replaced")
-        known = stored.join(records.select("doc_id"), "doc_id", "left_anti").select("doc_id", "source", "s", "key").withColumn("fresh", F.lit(0))
-        every = cut(known.unionByName(new))
-        # equal sets are one class, led by the first in order
-        lead = every.groupBy("key").agg(F.min(F.struct("fresh", "doc_id")).alias("o"), F.first("s").alias("s"), F.first("source").alias("source"))
-        lead = cut(lead.select("key", "o.fresh", "o.doc_id", "s", "source"))
-        pairs = alike(lead.select("doc_id", "s"), self.least)
-        place = lead.select("doc_id", "fresh")
-        both = pairs.join(place.select(F.col("doc_id").alias("a"), F.col("fresh").alias("fa")), "a").join(place.select(F.col("doc_id").alias("b"), F.col("fresh").alias("fb")), "b").where("fa = 1 or fb = 1")
-        first = (F.col("fa") < F.col("fb")) | ((F.col("fa") == F.col("fb")) & (F.col("a") < F.col("b")))
-        ordered = both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"))
-        members = every.where("fresh = 1").select("doc_id", "key").join(lead.select("key", F.col("doc_id").alias("first")), "key").select("doc_id", "first")
+        replaced = self.spark.read.schema("doc_id bigint").parquet(f"{self.path}/forgotten/run={run}/how=replaced")
+        known = stored.join(small(replaced), "doc_id", "left_anti")
+        # equal sets have one name, led by the first in order
+        place = lambda fresh: F.struct(F.lit(fresh).alias("fresh"), F.col("doc_id").cast("bigint").alias("doc_id")).alias("_place")
+        pairs, names = named_pairs(known.select(place(0), "s").unionByName(new.select(place(1), "s")), self.least)
+        lead = cut(names.groupBy("name").agg(F.min("_place").alias("o")))
+        both = pairs.join(lead.select(F.col("name").alias("a"), F.col("o").alias("oa")), "a").join(lead.select(F.col("name").alias("b"), F.col("o").alias("ob")), "b").where("oa.fresh = 1 or ob.fresh = 1")
+        ordered = both.select(F.least("oa", "ob")["doc_id"].alias("a"), F.greatest("oa", "ob")["doc_id"].alias("b"))
+        members = names.where("_place.fresh = 1").join(lead, "name").select(F.col("_place.doc_id").alias("doc_id"), F.col("o.doc_id").alias("first"))
         found = cut(first_seen(ordered, members))
-        stays = lead.where("fresh = 1").join(found.select("doc_id"), "doc_id", "left_anti")
+        stays = new.join(small(found.select("doc_id")), "doc_id", "left_anti")
         stays.select("source", "doc_id", "key", "s").write.mode("overwrite").parquet(f"{self.path}/originals/run={run}")
         return found
